@@ -85,7 +85,7 @@ def _features(m: BoundaryModel, before: str, stop: str, closed: bool, glued: boo
     letters = sum(x.isalpha() for x in prev)
     return [
         1.0,
-        max(-4.0, min(4.0, a)),
+        max(-4.0, min(0.5, a + 1.0)),
         float(a < -2.5),
         max(-0.7, min(3.0, s)),
         max(-3.0, min(3.0, s)) * (-2.5 <= a < -0.5),
