@@ -343,10 +343,9 @@ def sentence_ends(df: DataFrame, model: BoundaryModel, key: list[str], text: str
     empty table no rows. A blank line ends a sentence, a single line break does not. Equal rows stay equal rows.
     """
     schema = df.select(*key).withColumn("ends", F.array().cast("array<bigint>")).schema
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Splitter(shared.value).ends
+        ends = Splitter(model).ends
         for b in batches:
             found = pa.array([ends(t) if t else [] for t in column(b, "__text")], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), found], names=[*key, "ends"])
