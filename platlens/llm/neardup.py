@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.lineage import cut
+from ..plans.lineage import broadcast_if_small, cut
 from .words import WordCodes, column, mix64, shingle_codes, words
 
 BITS = 128
@@ -125,26 +126,28 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[
     return np.concatenate(found_i or [none]), np.concatenate(found_j or [none])
 
 
-_FOUND = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
-_FOUND_SQL = "ra bigint, rb bigint, key bigint, block bigint, hi bigint, lo bigint"
+_FOUND = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("corpus", pa.string()), ("doc", pa.string())])
+_FOUND_SQL = "ra bigint, rb bigint, key bigint, block bigint, hi bigint, lo bigint, corpus string, doc string"
 
 
 def _pairs_batch(ra: np.ndarray, rb: np.ndarray) -> pa.RecordBatch:
     """Pairs with the smaller reference first, each once."""
     p = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], axis=1), axis=0)
     p = p[p[:, 0] != p[:, 1]]
-    void = pa.nulls(len(p), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), void, void, void, void], schema=_FOUND)
+    void, text = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), void, void, void, void, text, text], schema=_FOUND)
 
 
 def _index_search(most: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key, then in Gray order. A node's rows may span batches; beyond BLOCK rows it is handed on in blocks."""
+        """Rows come by key, then in Gray order. A node's rows may span batches; beyond BLOCK rows it is handed on in blocks.
+        Rows that name a document pass through."""
         held: list[np.ndarray] = []
         key_held, blocks = None, 0
 
         def hand_on(rows: np.ndarray, block: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 3]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), pa.array(np.full(len(rows), block)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], schema=_FOUND)
+            text = pa.nulls(len(rows), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 3]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), pa.array(np.full(len(rows), block)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), text, text], schema=_FOUND)
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             """All pairs of complete nodes: small ones by offsets over all nodes at once, larger ones by their trees."""
@@ -175,6 +178,12 @@ def _index_search(most: int):
                     yield _pairs_batch(a[c : c + 200_000], b[c : c + 200_000])
 
         for batch in batches:
+            named = batch.column(5).is_valid()
+            own = batch.filter(named)
+            if len(own):
+                void = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column(3), void, void, void, void, void, own.column(4), own.column(5)], schema=_FOUND)
+            batch = batch.filter(pc.invert(named))
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
             if not len(rows):
                 continue
@@ -368,14 +377,14 @@ class NearDuplicates:
             yield from flush()
 
         found = _arranged(self.pieces).mapInArrow(entries, "key bigint, hi bigint, lo bigint, ref bigint, corpus string, doc string").repartition("key")
-        self.members = found.where("doc is not null").select("corpus", "ref", "doc").distinct()
         most = most_different(self.threshold)
         # Gray order is that of unsigned words; flipping the first bit gives it to signed ones.
         order = [F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("bigint")) for c in ("hi", "lo")]
-        nodes = found.where("doc is null").select("key", "hi", "lo", "ref").sortWithinPartitions("key", *order, "ref")
+        nodes = found.select("key", "hi", "lo", "ref", "corpus", "doc").sortWithinPartitions("key", *order, "ref")
         got = cut(nodes.mapInArrow(_index_search(most), _FOUND_SQL).distinct())
+        self.members = got.where("doc is not null").select("corpus", F.col("ra").alias("ref"), "doc")
         pairs = got.where("rb is not null").select("ra", "rb")
-        large = got.where("rb is null")
+        large = got.where("key is not null")
         if large.limit(1).count():
             pairs = pairs.unionByName(_split_nodes(large, most)).distinct()
         self.candidates = pairs
@@ -385,7 +394,7 @@ class NearDuplicates:
         k, least = self.k, self.threshold
         wanted = self.candidates.select(F.col("ra").alias("ref")).unionByName(self.candidates.select(F.col("rb").alias("ref"))).distinct()
         chosen = self.members.join(wanted, "ref", "left_semi").groupBy("corpus", "ref").agg(F.min("doc").alias("doc"))
-        texts = _arranged(self.pieces).join(chosen.select("corpus", "doc"), ["corpus", "doc"], "left_semi").sortWithinPartitions("corpus", "doc", "n")
+        texts = _arranged(self.pieces.join(broadcast_if_small(chosen.select("corpus", "doc")), ["corpus", "doc"], "left_semi"))
         schema = pa.schema([("ref", pa.int64()), ("codes", pa.binary())])
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
