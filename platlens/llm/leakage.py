@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WORD, column, emit
+from .words import WORD, BatchWords, column, emit, in_blocks
 
 #: Items beyond this number are taken in several passes, so that what is sent to the executors stays bounded.
 ITEMS_A_PASS = 20_000
@@ -98,24 +99,41 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text
         ids, listed = [i for i, _ in own], [(n, w) for n, (_, w) in enumerate(own)]
         vocabulary = frozenset(w for _, x in own for w in x)
 
-        def frequencies(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
-            fold, seen = _Folding(), {}
+        listed_words = sorted(vocabulary)
+
+        def frequencies(batches: Iterator[pa.RecordBatch], listed_words=listed_words) -> Iterator[pa.RecordBatch]:
+            words_of = BatchWords(fold=True)
+            sought, _ = words_of(listed_words)
+            order = np.argsort(sought)
+            seen = np.zeros(len(sought), dtype=np.int64)
             for b in batches:
-                for t in column(b, "t"):
-                    for w in vocabulary.intersection(plain_words(t, fold)):
-                        seen[w] = seen.get(w, 0) + 1
-            yield from emit(list(seen.items()), pa.schema([("w", pa.string()), ("n", pa.int64())]))
+                held = column(b, "t")
+                for i, j in in_blocks(held):
+                    codes, at = words_of(held[i:j])
+                    k = np.minimum(np.searchsorted(sought, codes, sorter=order), len(sought) - 1)
+                    hit = np.flatnonzero(sought[order[k]] == codes)
+                    pair = np.unique(np.stack([np.searchsorted(at, hit, side="right"), order[k[hit]]]), axis=1)
+                    seen += np.bincount(pair[1], minlength=len(seen))
+            yield from emit([(w, int(n)) for w, n in zip(listed_words, seen) if n], pa.schema([("w", pa.string()), ("n", pa.int64())]))
 
         counted = texts.select("t").mapInArrow(frequencies, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect() if own else []
         probe = _Probe(listed, {r.w: r.n for r in counted}, size)
 
         def search(batches: Iterator[pa.RecordBatch], probe=probe, ids=ids) -> Iterator[pa.RecordBatch]:
-            fold = _Folding()
+            words_of, fold = BatchWords(fold=True), _Folding()
+            sought = np.sort(words_of(sorted(probe.prefixes))[0])
             for b in batches:
                 out = []
-                for d, t in zip(column(b, "d"), column(b, "t")):
-                    for n, (run, at) in probe.find(plain_words(t, fold)).items():
-                        out.append((d, ids[n], run, at, len(probe.items[n])))
+                docs_, held = column(b, "d"), column(b, "t")
+                for i, j in in_blocks(held):
+                    codes, at = words_of(held[i:j])
+                    if not len(sought) or not len(codes):
+                        continue
+                    k = np.minimum(np.searchsorted(sought, codes), len(sought) - 1)
+                    hit = np.flatnonzero(sought[k] == codes)
+                    for x in np.unique(np.searchsorted(at, hit, side="right") - 1):  # documents with a prefix word
+                        for n, (run, place) in probe.find(plain_words(held[i + x], fold)).items():
+                            out.append((docs_[i + x], ids[n], run, place, len(probe.items[n])))
                 if out:
                     yield from emit(out, schema)
 

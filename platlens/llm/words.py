@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,3 +75,72 @@ def emit(rows: list[tuple], schema: pa.Schema, step: int = 50_000) -> Iterator[p
     for i in range(0, len(rows), step):
         part = rows[i : i + step]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+class BatchWords:
+    """Words of many texts at once, as 64-bit codes, without making a string of each word.
+
+    Characters are looked up in tables over all code points: whether they belong to words and, if `fold` is set, what is
+    left of them without combining marks after canonical decomposition. A word's code is a polynomial of its characters.
+    """
+
+    DROP = np.uint32(0xFFFFFFFF)
+
+    def __init__(self, fold: bool = False) -> None:
+        n = sys.maxunicode + 1
+        self.alnum = np.fromiter((chr(c).isalnum() for c in range(n)), dtype=bool, count=n)
+        self.table = None
+        if fold:
+            table = np.arange(n, dtype=np.uint32)
+            self.long = np.zeros(n, dtype=bool)
+            for c in range(0x80, n):
+                if unicodedata.decomposition(chr(c)) or unicodedata.combining(chr(c)) or 0xAC00 <= c < 0xD7A4:
+                    left = [x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x)]
+                    self.long[c] = len(left) > 1
+                    table[c] = ord(left[0]) if left else self.DROP
+            self.table = table
+        self.powers = np.ones(64, dtype=np.uint64)
+        self._grow(64)
+
+    def _grow(self, most: int) -> None:
+        self.powers = np.cumprod(np.r_[np.ones(1, dtype=np.uint64), np.full(most, 0x9E3779B97F4A7C15, dtype=np.uint64)], dtype=np.uint64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all words in order, offsets): the words of text i are codes[offsets[i] : offsets[i + 1]]."""
+        lows = [t.lower() for t in texts]
+        chars = np.frombuffer("\n".join(lows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if self.table is not None and self.long[chars].any():  # rare: decompositions of several characters are spelled out
+            lows = ["".join(c if c.isascii() or not self.long[ord(c)] else unicodedata.normalize("NFD", c) for c in t) for t in lows]
+            chars = np.frombuffer("\n".join(lows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        ends = np.cumsum(np.fromiter(map(len, lows), dtype=np.int64, count=len(lows)) + 1) - 1
+        if self.table is not None:
+            chars = self.table[chars]
+            kept = chars != self.DROP
+            if not kept.all():
+                ends = np.r_[0, np.cumsum(kept)][ends]
+                chars = chars[kept]
+        inside = np.concatenate([[False], self.alnum[chars], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        lengths = stops - starts
+        letters = chars[inside[1:-1]].astype(np.uint64)
+        first = np.cumsum(lengths) - lengths
+        if int(lengths.max()) >= len(self.powers):
+            self._grow(2 * int(lengths.max()))
+        place = np.arange(len(letters), dtype=np.int64) - np.repeat(first, lengths)
+        codes = mix64(np.add.reduceat((letters + np.uint64(0x51)) * self.powers[place], first) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+        return codes, np.r_[0, np.searchsorted(starts, ends)]
+
+
+def in_blocks(texts: list[str], most: int = 4_000_000):
+    """Consecutive slices (from, to) of texts of about so many characters."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
