@@ -1,4 +1,4 @@
-"""Registered queries of the core operators and their DuckDB twins."""
+"""All registered queries of the core and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import catalog
+from .catalog import cells, classify, estimators, metrics, relational, sampling, segment, streams, tokens, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(catalog.SQL)
