@@ -15,6 +15,7 @@ from .mixing import SourceMix
 from .neardup import NearDuplicates, pieces_of
 from .quality import text_quality
 from .quota_sample import TargetSample
+from .scan_repair import fit, repaired
 from .sentences import fit_on, sentence_ends, sentences
 from .site_lines import SiteLines
 
@@ -85,6 +86,19 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).cleaned().distinct()
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, BR)
+    return repaired(chunks, fit(chunks))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("chunk_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).distinct()
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     topics = table(spark, d, "chunk_topics").where("topic >= 0").select("chunk_id", F.col("topic").cast("bigint").alias("topic")).distinct()
     texts = table(spark, d, US).where("chunk_text is not null").select("chunk_id", "doc_id", "chunk_text")
@@ -142,7 +156,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_term_frequencies, p2_found, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_cleaned,
+        p1_found, p1_term_frequencies, p2_found, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_cleaned, p6_found, p6_repaired,
         p7_found, p7_residuals, p8_found, p8_leaked_items, p9_found, p9_report, p9_mix, p10_found, p10_statistics,
     )
     return {f.__name__: f for f in own}
