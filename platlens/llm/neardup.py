@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.lineage import broadcast_if_small, cut
-from .words import WordCodes, column, mix64, shingle_codes, words
+from .words import BatchWords, column, mix64, shingle_codes
 
-BITS = 128
+#: Min-hashes of a document; two bits of each make its fingerprint of WORDS 64-bit words.
+MINIMA = 128
+WORDS = 2 * MINIMA // 64
+CODE = tuple(f"g{i}" for i in range(WORDS))
 #: Rows of one index node that a task takes at a time; larger nodes are split over tasks.
 BLOCK = 20_000
 LEAF = 32
@@ -23,54 +26,60 @@ LEAF = 32
 COPIES_SPELLED_OUT = 100
 
 _rng = np.random.default_rng(20_240_601)
-_A = (_rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 2**32, BITS, dtype=np.uint32)[:, None]
+_A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
+_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
 
 
 def masks_for(threshold: float) -> tuple[int, int]:
-    """(masks, minima in each): chances of missing a pair just at the threshold stay near one percent."""
-    rows = next((r for r in (8, 6, 5, 4, 3, 2) if 1 - (1 - threshold**r) ** (BITS // r) >= 0.985), 1)
-    return BITS // rows, rows
+    """(masks, minima in each): the longest patterns of which twenty suffice to miss a pair just at the threshold with no
+    more than one percent."""
+    for rows in (12, 10, 8, 6, 5, 4, 3, 2):
+        masks = math.ceil(math.log(0.01) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        if masks <= 20 and masks * rows <= MINIMA:
+            return masks, rows
+    return min(MINIMA, max(20, math.ceil(math.log(0.01) / math.log(1 - threshold)))), 1
 
 
 def most_different(threshold: float) -> int:
     """Bits in which fingerprints of a pair at the threshold may differ: the mean and 3.2 standard deviations."""
-    p = (1 - threshold) / 2
-    return math.ceil(BITS * p + 3.2 * math.sqrt(BITS * p * (1 - p)))
+    p = 1 - threshold
+    return math.ceil(MINIMA * p + 3.2 * math.sqrt(MINIMA * (1.5 * p - p * p)))
 
 
 def sketch(codes: np.ndarray) -> np.ndarray:
     """The minima of 128 hash functions over a set of shingle codes."""
     x = (codes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BITS, 2**32 - 1, dtype=np.uint32)
+    out = np.full(MINIMA, 2**32 - 1, dtype=np.uint32)
     for i in range(0, len(x), 4096):
         np.minimum(out, (x[i : i + 4096][None, :] * _A + _B).min(axis=1), out=out)
     return out
 
 
-def fingerprint(minima: np.ndarray) -> tuple[int, int]:
-    """128 bits, one of each minimum, as two 64-bit words; equal sets have equal ones."""
-    bits = (mix64(minima.astype(np.uint64) + np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    hi, lo = np.packbits(bits).view(">u8")
-    return int(hi), int(lo)
+def fingerprint(minima: np.ndarray) -> list[int]:
+    """Two bits of each minimum, as 64-bit words; equal sets have equal ones."""
+    two = mix64(minima.astype(np.uint64) + (np.arange(MINIMA, dtype=np.uint64) << np.uint64(32)))
+    bits = np.stack([two & np.uint64(1), (two >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8).ravel()
+    return [int(x) for x in np.packbits(bits).view(">u8")]
 
 
-def _prefix_xor(x: int) -> int:
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> s
-    return x
-
-
-def gray_rank(hi: int, lo: int) -> tuple[int, int]:
-    """The place of a code in Gray order, as two 64-bit words."""
-    a, b = _prefix_xor(hi), _prefix_xor(lo)
-    return a, b ^ (2**64 - 1 if a & 1 else 0)
+def gray_rank(code: list[int]) -> list[int]:
+    """The place of a code in Gray order, in 64-bit words from the highest."""
+    out, odd = [], 0
+    for x in code:
+        for s in (1, 2, 4, 8, 16, 32):
+            x ^= x >> s
+        x ^= 2**64 - 1 if odd else 0
+        out.append(x)
+        odd = x & 1
+    return out
 
 
-def gray_codes(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes at these places in Gray order."""
+def gray_codes(ranks: np.ndarray) -> np.ndarray:
+    """The codes at these places (one a row, in words from the highest) in Gray order."""
     one = np.uint64(1)
-    return hi ^ (hi >> one), lo ^ ((lo >> one) | ((hi & one) << np.uint64(63)))
+    out = ranks ^ (ranks >> one)
+    out[:, 1:] ^= (ranks[:, :-1] & one) << np.uint64(63)
+    return out
 
 
 def _signed(x: int) -> int:
@@ -126,8 +135,8 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[
     return np.concatenate(found_i or [none]), np.concatenate(found_j or [none])
 
 
-_FOUND = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("corpus", pa.string()), ("doc", pa.string())])
-_FOUND_SQL = "ra bigint, rb bigint, key bigint, block bigint, hi bigint, lo bigint, corpus string, doc string"
+_FOUND = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), *((c, pa.int64()) for c in CODE), ("corpus", pa.string()), ("doc", pa.string())])
+_FOUND_SQL = "ra bigint, rb bigint, key bigint, block bigint, " + ", ".join(f"{c} bigint" for c in CODE) + ", corpus string, doc string"
 
 
 def _pairs_batch(ra: np.ndarray, rb: np.ndarray) -> pa.RecordBatch:
@@ -135,7 +144,7 @@ def _pairs_batch(ra: np.ndarray, rb: np.ndarray) -> pa.RecordBatch:
     p = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], axis=1), axis=0)
     p = p[p[:, 0] != p[:, 1]]
     void, text = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), void, void, void, void, text, text], schema=_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *(void,) * (2 + WORDS), text, text], schema=_FOUND)
 
 
 def _index_search(most: int):
@@ -147,29 +156,28 @@ def _index_search(most: int):
 
         def hand_on(rows: np.ndarray, block: int) -> pa.RecordBatch:
             text = pa.nulls(len(rows), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 3]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), pa.array(np.full(len(rows), block)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), text, text], schema=_FOUND)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, -1]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0]), pa.array(np.full(len(rows), block)), *(pa.array(rows[:, 1 + i]) for i in range(WORDS)), text, text], schema=_FOUND)
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             """All pairs of complete nodes: small ones by offsets over all nodes at once, larger ones by their trees."""
-            key, ref = rows[:, 0], rows[:, 3]
-            hi, lo = gray_codes(rows[:, 1].view(np.uint64), rows[:, 2].view(np.uint64))
+            key, ref = rows[:, 0], rows[:, -1]
+            code = gray_codes(np.ascontiguousarray(rows[:, 1:-1]).view(np.uint64))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[starts, len(key)])
             each = np.repeat(size, size)
             mid = (each > 1) & (each <= LEAF)
             out_a, out_b = [], []
             if mid.any():
-                k, h, l, r = key[mid], hi[mid], lo[mid], ref[mid]
+                k, c, r = key[mid], code[mid], ref[mid]
                 for d in range(1, min(LEAF, int(each[mid].max()))):
                     near = np.flatnonzero(k[d:] == k[:-d])
                     if not len(near):
                         break
-                    ok = near[np.bitwise_count(h[near + d] ^ h[near]) + np.bitwise_count(l[near + d] ^ l[near]) <= most]
+                    ok = near[np.bitwise_count(c[near + d] ^ c[near]).sum(axis=1) <= most]
                     out_a.append(r[ok])
                     out_b.append(r[ok + d])
             for s, n in zip(starts[size > LEAF], size[size > LEAF]):
-                codes = np.stack([hi[s : s + n], lo[s : s + n]], axis=1)
-                i, j = close_pairs(codes, None, most)
+                i, j = close_pairs(code[s : s + n], None, most)
                 out_a.append(ref[s + i])
                 out_b.append(ref[s + j])
             if out_a:
@@ -178,13 +186,13 @@ def _index_search(most: int):
                     yield _pairs_batch(a[c : c + 200_000], b[c : c + 200_000])
 
         for batch in batches:
-            named = batch.column(5).is_valid()
+            named = batch.column(3 + WORDS).is_valid()
             own = batch.filter(named)
             if len(own):
                 void = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(3), void, void, void, void, void, own.column(4), own.column(5)], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([own.column(1 + WORDS), *(void,) * (3 + WORDS), own.column(2 + WORDS), own.column(3 + WORDS)], schema=_FOUND)
             batch = batch.filter(pc.invert(named))
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + WORDS)], axis=1)
             if not len(rows):
                 continue
             held.append(rows)
@@ -226,34 +234,36 @@ def _index_search(most: int):
 def _split_nodes(rows: DataFrame, most: int) -> DataFrame:
     """Pairs within nodes too large for one task: blocks of Gray order are compared pairwise, each pair of blocks in a
     task of its own, unless their shared patterns already differ in too many bits."""
-    rows = rows.select("key", "block", "hi", "lo", F.col("ra").alias("ref"))
-    code_hi = F.col("hi").bitwiseXOR(F.shiftrightunsigned("hi", 1))
-    code_lo = F.col("lo").bitwiseXOR(F.shiftrightunsigned("lo", 1).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(F.lit(1).cast("bigint")), 63)))
-    coded = rows.select("key", "block", "ref", code_hi.alias("h"), code_lo.alias("l"))
-    node = coded.groupBy("key", "block").agg(F.bit_and("h").alias("h1"), F.bit_and("l").alias("l1"), F.bit_and(F.bitwise_not("h")).alias("h0"), F.bit_and(F.bitwise_not("l")).alias("l0"))
+    one = F.lit(1).cast("bigint")
+    before = [None, *CODE[:-1]]
+    carried = [F.lit(0).cast("bigint") if p is None else F.shiftleft(F.col(p).bitwiseAND(one), 63) for p in before]
+    codes = [F.col(c).bitwiseXOR(F.shiftrightunsigned(c, 1).bitwiseOR(p)).alias(f"c{i}") for i, (c, p) in enumerate(zip(CODE, carried))]
+    coded = rows.select("key", "block", F.col("ra").alias("ref"), *codes)
+    words = [f"c{i}" for i in range(WORDS)]
+    node = coded.groupBy("key", "block").agg(*(F.bit_and(c).alias(c + "1") for c in words), *(F.bit_and(F.bitwise_not(c)).alias(c + "0") for c in words))
     x, y = node.alias("x"), node.alias("y")
 
     def differ(w: str):
         a, b = F.col(f"x.{w}1").bitwiseAND(F.col(f"y.{w}0")), F.col(f"x.{w}0").bitwiseAND(F.col(f"y.{w}1"))
         return F.bit_count(a.bitwiseOR(b))
 
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).where(differ("h") + differ("l") <= most)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).where(sum(map(differ, words), F.lit(0)) <= most)
     pairs = pairs.select(F.col("x.key").alias("key"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))
     sent = pairs.select("key", "i", "j", sides.alias("s")).select("key", "i", "j", "s.block", "s.side").where("side = 0 or i <> j")
-    work = sent.join(coded, ["key", "block"]).select("key", "i", "j", "side", "h", "l", "ref")
+    work = sent.join(coded, ["key", "block"]).select("key", "i", "j", "side", *words, "ref")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             a, b = rows[rows[:, 3] == 0], rows[rows[:, 3] == 1]
-            right = None if rows[0, 1] == rows[0, 2] else b[:, 4:6].view(np.uint64)
-            i, j = close_pairs(a[:, 4:6].view(np.uint64), right, most)
-            yield _pairs_batch(a[i, 6], (a if right is None else b)[j, 6])
+            right = None if rows[0, 1] == rows[0, 2] else np.ascontiguousarray(b[:, 4:-1]).view(np.uint64)
+            i, j = close_pairs(np.ascontiguousarray(a[:, 4:-1]).view(np.uint64), right, most)
+            yield _pairs_batch(a[i, -1], (a if right is None else b)[j, -1])
 
         for batch in batches:
-            rows = np.ascontiguousarray(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1))
+            rows = np.ascontiguousarray(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5 + WORDS)], axis=1))
             edges = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             for part in np.split(rows, edges):
                 if not len(part):
@@ -265,33 +275,46 @@ def _split_nodes(rows: DataFrame, most: int) -> DataFrame:
         if held:
             yield from settle(np.ascontiguousarray(np.concatenate(held)))
 
-    return work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "h", "l").mapInArrow(compare, _FOUND_SQL).select("ra", "rb")
+    return work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", *words).mapInArrow(compare, _FOUND_SQL).select("ra", "rb")
 
 
 class _Documents:
     """Documents of a stream of rows sorted by (corpus, doc, n): for each, the sorted distinct shingle codes."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.code = k, WordCodes()
+        self.k, self.words_of = k, BatchWords()
 
     def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, np.ndarray]]:
-        now, parts, tail, n_before = None, [], np.empty(0, dtype=np.uint64), None
+        k = self.k
+        name, held, last_n = None, np.empty(0, dtype=np.uint64), None
         for b in batches:
+            if not b.num_rows:
+                continue
+            names, texts, first = [], [], []
+            now = name
             for c, d, n, t in zip(*(column(b, x) for x in ("corpus", "doc", "n", "t"))):
-                if (c, d) != now:
-                    if now is not None:
-                        yield (*now, np.unique(np.concatenate(parts)) if parts else tail[:0])
-                    now, parts, tail, n_before = (c, d), [], tail[:0], None
-                if n is not None and n == n_before:
+                if now is None or c != now[1] or d != now[0]:
+                    now, last_n = (d, c), None
+                    names.append(now)
+                    first.append(len(texts))
+                elif n is not None and n == last_n:
                     continue  # a row delivered twice
-                n_before = n
-                run = np.concatenate([tail, self.code(words(t))])
-                own = shingle_codes(run, self.k)
-                if len(own):
-                    parts.append(own)
-                tail = run[-(self.k - 1) :] if self.k > 1 else run[:0]
-        if now is not None:
-            yield (*now, np.unique(np.concatenate(parts)) if parts else tail[:0])
+                last_n = n
+                texts.append(t)
+            codes, at = self.words_of(texts)
+            if name is not None:  # the document that the batch before ended in goes on, if only for a moment
+                codes, at = np.concatenate([held, codes]), at + len(held)
+                names.insert(0, name)
+                first.insert(0, 0)
+                at[0] = 0
+            starts = at[np.array(first)]
+            stops = np.r_[starts[1:], len(codes)]
+            runs = shingle_codes(codes, k)
+            for (d, c), i, j in zip(names[:-1], starts[:-1], stops[:-1]):
+                yield c, d, np.unique(runs[i : max(i, j - k + 1)])
+            name, held = names[-1], codes[starts[-1] :].copy()
+        if name is not None:
+            yield name[1], name[0], np.unique(shingle_codes(held, k))
 
 
 def _reference(corpus: str, codes: np.ndarray) -> int:
@@ -314,7 +337,7 @@ class NearDuplicates:
 
     1. Pieces are brought together by document and read as a sorted stream. Documents with equal sets get the same
        reference; each task hands on a reference once, so that a group of copies never grows beyond one row a task.
-    2. A document's fingerprint has one bit of each of 128 min-hashes. The index has several upper nodes for it: masked
+    2. A document's fingerprint has two bits of each of 128 min-hashes. The index has several upper nodes for it: masked
        patterns of some of the minima, which alike documents share. Below a node fingerprints lie in Gray order, in a
        tree whose inner nodes keep the bits that all below share; whole pairs of subtrees are left out as soon as
        their shared bits differ in too many places. Nodes of more than BLOCK rows are split over tasks by block.
@@ -334,25 +357,25 @@ class NearDuplicates:
 
     def _index(self) -> None:
         k, (masks, rows) = self.k, masks_for(self.threshold)
-        schema = pa.schema([("key", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("ref", pa.int64()), ("corpus", pa.string()), ("doc", pa.string())])
+        schema = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in CODE), ("ref", pa.int64()), ("corpus", pa.string()), ("doc", pa.string())])
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             handed: set[int] = set()
             mask_salt = mix64(np.arange(1, masks + 1, dtype=np.uint64))
             keys: list[np.ndarray] = []
-            tails: list[tuple[int, int, int]] = []
+            tails: list[tuple[int, ...]] = []
             members: list[tuple[int, str, str]] = []
 
             def flush() -> Iterator[pa.RecordBatch]:
                 if members:
                     void = pa.nulls(len(members), pa.int64())
                     ref, c, d = zip(*members)
-                    yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), void, void, pa.array(ref, pa.int64()), pa.array(c), pa.array(d)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), *(void,) * WORDS, pa.array(ref, pa.int64()), pa.array(c), pa.array(d)], schema=schema)
                 if keys:
                     all_keys = np.concatenate(keys).view(np.int64)
                     t = np.repeat(np.array(tails, dtype=np.int64), masks, axis=0)
                     text = pa.nulls(len(all_keys), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(all_keys), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(t[:, 2]), text, text], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(all_keys), *(pa.array(t[:, i]) for i in range(WORDS + 1)), text, text], schema=schema)
                 keys.clear()
                 tails.clear()
                 members.clear()
@@ -369,18 +392,17 @@ class NearDuplicates:
                     key = mask_salt + np.uint64(hash_of(c))
                     for j in range(rows):
                         key = mix64(key ^ pattern[:, j]) + np.uint64(j + 1)
-                    a, b = gray_rank(*fingerprint(low))
                     keys.append(key)
-                    tails.append((_signed(a), _signed(b), ref))
+                    tails.append((*map(_signed, gray_rank(fingerprint(low))), ref))
                 if len(members) >= 2000:
                     yield from flush()
             yield from flush()
 
-        found = _arranged(self.pieces).mapInArrow(entries, "key bigint, hi bigint, lo bigint, ref bigint, corpus string, doc string").repartition("key")
+        found = _arranged(self.pieces).mapInArrow(entries, "key bigint, " + ", ".join(f"{c} bigint" for c in CODE) + ", ref bigint, corpus string, doc string").repartition("key")
         most = most_different(self.threshold)
         # Gray order is that of unsigned words; flipping the first bit gives it to signed ones.
-        order = [F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("bigint")) for c in ("hi", "lo")]
-        nodes = found.select("key", "hi", "lo", "ref", "corpus", "doc").sortWithinPartitions("key", *order, "ref")
+        order = [F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("bigint")) for c in CODE]
+        nodes = found.select("key", *CODE, "ref", "corpus", "doc").sortWithinPartitions("key", *order, "ref")
         got = cut(nodes.mapInArrow(_index_search(most), _FOUND_SQL).distinct())
         self.members = got.where("doc is not null").select("corpus", F.col("ra").alias("ref"), "doc")
         pairs = got.where("rb is not null").select("ra", "rb")

@@ -36,26 +36,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordCodes:
-    """64-bit codes of words, remembered while the memory they take stays bounded."""
-
-    def __init__(self, most: int = 1_000_000) -> None:
-        from xxhash import xxh3_64_intdigest
-
-        self._hash, self._known, self._most = xxh3_64_intdigest, {}, most
-
-    def __call__(self, items: list[str]) -> np.ndarray:
-        known, out = self._known, []
-        if len(known) > self._most:
-            known.clear()
-        for w in items:
-            c = known.get(w)
-            if c is None:
-                c = known[w] = self._hash(w)
-            out.append(c)
-        return np.array(out, dtype=np.uint64)
-
-
 def shingle_codes(codes: np.ndarray, k: int) -> np.ndarray:
     """Codes of all runs of k consecutive words, in order; empty if there are fewer words."""
     n = len(codes) - k + 1
