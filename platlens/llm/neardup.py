@@ -302,12 +302,10 @@ class _Documents:
                 last_n = n
                 texts.append(t)
             codes, at = self.words_of(texts)
+            starts = at[np.array(first, dtype=np.int64)]
             if name is not None:  # the document that the batch before ended in goes on, if only for a moment
-                codes, at = np.concatenate([held, codes]), at + len(held)
+                codes, starts = np.concatenate([held, codes]), np.r_[0, starts + len(held)]
                 names.insert(0, name)
-                first.insert(0, 0)
-                at[0] = 0
-            starts = at[np.array(first)]
             stops = np.r_[starts[1:], len(codes)]
             runs = shingle_codes(codes, k)
             for (d, c), i, j in zip(names[:-1], starts[:-1], stops[:-1]):
