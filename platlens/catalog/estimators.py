@@ -1 +1,124 @@
-"""Queries that fit positions."""
+"""Queries that fit positions and topic models."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..estimators import joint as joint_model
+from ..estimators.counts import correspondence, fit_poisson
+from ..estimators.packed import Packed
+from ..estimators.stance import fit_stance
+from ..operators import tokens
+from . import query
+from .base import CELLS
+from .cells import cells_of
+from .tokens import _chunks
+
+
+def _packed(spark: SparkSession, d: str) -> Packed:
+    return Packed.of(cells_of(spark, d))
+
+
+def _positions(p: Packed) -> DataFrame:
+    return p.table.select(F.col("doc").alias("doc_id"), F.round("theta", 6).alias("theta"))
+
+
+def _items(spark: SparkSession, p: Packed, **values: np.ndarray) -> DataFrame:
+    rows = [(t, *(float(v[i]) for v in values.values())) for i, t in enumerate(p.items)]
+    return spark.createDataFrame(rows, "topic int, " + ", ".join(f"{k} double" for k in values))
+
+
+@query(CELLS + """, c AS (SELECT doc_id, topic, CAST(y AS DOUBLE) AS y, s / CAST(y AS DOUBLE) AS m FROM cells), r AS (SELECT doc_id, sum(y * m) / sum(y) AS raw FROM c GROUP BY 1),
+t AS (SELECT doc_id, (raw - (SELECT avg(raw) FROM r)) / (SELECT stddev_pop(raw) FROM r) AS t FROM r),
+k AS (SELECT topic, sum(y) AS w, sum(y * t) AS wt, sum(y * t * t) AS wtt, sum(y * m) AS ws, sum(y * t * m) AS wts FROM c JOIN t USING (doc_id) GROUP BY 1)
+SELECT topic, round(ws / w - (wts - wt * ws / w) / (wtt - wt * wt / w) * wt / w, 6) AS alpha, round((wts - wt * ws / w) / (wtt - wt * wt / w), 6) AS beta FROM k WHERE wtt - wt * wt / w > 1e-9""")
+def stance_als_1sweep(spark, d):
+    """The first item update in plain aggregates: standardized mean stances, then a weighted line per topic."""
+    c = cells_of(spark, d).select("doc_id", "topic", F.col("y").cast("double").alias("y"), F.col("mean_stance").alias("m"))
+    r = c.groupBy("doc_id").agg((F.sum(F.col("y") * F.col("m")) / F.sum("y")).alias("raw"))
+    s = r.agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("sd"))
+    t = r.select("doc_id", ((F.col("raw") - s.select("mean").scalar()) / s.select("sd").scalar()).alias("t"))
+    y, x, m = F.col("y"), F.col("t"), F.col("m")
+    k = c.join(t, "doc_id").groupBy("topic").agg(F.sum(y).alias("w"), F.sum(y * x).alias("wt"), F.sum(y * x * x).alias("wtt"), F.sum(y * m).alias("ws"), F.sum(y * x * m).alias("wts"))
+    v = lambda n: F.col(n)
+    k = k.withColumn("sxx", v("wtt") - v("wt") * v("wt") / v("w")).where("sxx > 1e-9").withColumn("beta", (v("wts") - v("wt") * v("ws") / v("w")) / v("sxx"))
+    return k.select("topic", F.round(v("ws") / v("w") - v("beta") * v("wt") / v("w"), 6).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
+@query()
+def stance_als_fit(spark, d):
+    return _positions(fit_stance(_packed(spark, d)).packed)
+
+
+@query()
+def stance_als_items(spark, d):
+    f = fit_stance(_packed(spark, d))
+    return _items(spark, f.packed, alpha=f.alpha, beta=f.beta)
+
+
+@query()
+def joint_fit(spark, d):
+    return _positions(joint_model.fit_joint(_packed(spark, d)).packed)
+
+
+@query()
+def joint_items(spark, d):
+    """Item parameters of the joint fit with robust standard errors."""
+    j = joint_model.fit_joint(_packed(spark, d))
+    se = joint_model.sandwich(j)
+    c = j.counts
+    return _items(spark, j.packed, alpha=j.alpha, beta=j.beta, lam=c.lam, rho=c.rho, kap=c.kap, se_alpha=se[0], se_beta=se[1], se_lam=se[2], se_rho=se[3], se_kap=se[4])
+
+
+@query()
+def two_stage_fit(spark, d):
+    return _positions(joint_model.fit_two_stage(_packed(spark, d)).packed)
+
+
+@query()
+def poisson_irt(spark, d):
+    return _positions(fit_poisson(_packed(spark, d)).packed)
+
+
+def _words(spark: SparkSession, d: str, target: int) -> Packed:
+    dfm = tokens.fold_to_target(tokens.fold_rare(_chunks(spark, d), "doc_id", "tokens", 20, 10), "doc_id", target)
+    return Packed.of(dfm.select("doc_id", F.col("token").alias("topic"), F.col("n").alias("y"), F.lit(0).alias("s")))
+
+
+@query()
+def wordfish(spark, d):
+    """Word counts, capped at 50, on one axis."""
+    return _positions(fit_poisson(_words(spark, d, 2000), sweeps=25, cap=50.0).packed)
+
+
+@query()
+def corresp_analysis(spark, d):
+    return _positions(correspondence(_words(spark, d, 8000))[0])
+
+
+@query()
+def lda_topics(spark, d):
+    """Variational LDA over the chunks, the declared substitute for a Gibbs sampler: top terms by topic."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    c = _chunks(spark, d).select("chunk_id", "tokens")
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=5).fit(c)
+    top = LDA(k=10, maxIter=10, seed=3, docConcentration=[5.0], topicConcentration=0.01).fit(cv.transform(c)).describeTopics(10)
+    words = F.array(*map(F.lit, cv.vocabulary))
+    return top.select(F.col("topic"), F.transform("termIndices", lambda i: F.get(words, i)).alias("terms"))
+
+
+@query()
+def word_embedding_positions(spark, d):
+    """Mean word vectors of documents and their first principal component, the declared substitute for document vectors."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.vectors import principal_scores
+
+    docs = tokens.token_stream(_chunks(spark, d).withColumn("n", F.regexp_extract("chunk_id", "#s([0-9]+)$", 1).cast("bigint")), "doc_id", "n", "tokens").select("doc_id", F.split("tokens", " ").alias("w"))
+    model = Word2Vec(vectorSize=32, minCount=10, seed=5, maxIter=2, inputCol="w", outputCol="v").fit(docs)
+    return principal_scores(model.transform(docs).select("doc_id", vector_to_array("v").alias("v")), "doc_id", "v", 32)
