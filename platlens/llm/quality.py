@@ -29,32 +29,34 @@ _SPACELESS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
 _FOREIGN = re.compile(r"[ɐ-῿Ⰰ-\ud7ff豈-ﷻﹰ-ﻼ]")
 _COMBINING = re.compile(r"[̀-ͯऀ-ःऺ-ॏॢॣঁ-ঃ়-্ૢ-ૣา-ฺ็-๎ါ-ှា-៓ً-ٰٟ]")
 _ODD = re.compile("[ÃÂ\ufffd]|ï¿½")
-_SEEN = "\x1f"
+_SEEN, _BLANK = "\x1f", "\x1e"
 _DIGIT = re.compile(r"\d")
 _BLANKS, _WIDE_BLANKS = " \n\t\r\v\f", "\x85\xa0\u2002\u2003\u2009\u2028\u202f\u3000"
 
 COUNTS = ("words", "letters", "digits", "symbols", "lines", "lines_closed", "lines_marked", "common", "sentences", "inner_letters", "prose_letters")
-#: What is known of a stretch between two ends: words, letters, common words, cells, marked lines, spaceless letters, odd characters.
-FRAGMENT = 7
+#: What is known of a stretch between two ends: words, letters, common words, cells, marked lines, letters of scripts without
+#: spaces, odd characters, letters of other scripts than Latin. All of it adds up.
+FRAGMENT = 8
 
 
 def is_sentence(f: list[int]) -> bool:
     """Whether a closed stretch reads as a sentence: long enough, of plausible words, not laid out in cells or items."""
-    words, letters, common, cells, marked, spaceless, odd = f
+    words, letters, common, cells, marked, spaceless, odd, foreign = f
     if spaceless * 2 > letters:
         return letters >= 5
-    return 3 <= words <= 120 and letters * 2 >= 3 * words and cells <= 1 + words // 25 and marked <= 1 and odd * 20 <= letters and (common < 0 or common * 9 >= words)
+    return 3 <= words <= 120 and letters * 2 >= 3 * words and cells <= 1 + words // 25 and marked <= 1 and odd * 20 <= letters and (foreign * 2 > letters or common * 9 >= words)
 
 
 def _between(text: str, cut: int) -> int:
-    """A cut moved behind what it would break: to white space if any is near, else to the end of the word."""
-    if not 0 < cut < len(text) or text[cut - 1].isspace() or text[cut].isspace():
+    """A cut moved behind what it would break: to the next end of a word before white space, if any is near, else to the
+    end of the run of letters and digits."""
+    if not 0 < cut < len(text):
         return cut
-    near = text[cut : cut + CONTEXT]
-    k = next((i for i, c in enumerate(near) if c.isspace()), -1)
-    if k < 0 and (m := _WORD.match(near)) and text[cut - 1].isalnum():
+    near = text[cut - 1 : cut + CONTEXT]
+    k = next((i for i in range(1, len(near)) if near[i].isspace() and not near[i - 1].isspace()), 0)
+    if not k and (m := _WORD.match(near, 1)) and near[0].isalnum():
         k = m.end()
-    return cut + max(k, 0)
+    return cut + max(k - 1, 0)
 
 
 class Measure:
@@ -65,18 +67,17 @@ class Measure:
 
     def fragment(self, text: str, foreign: bool, odd: bool) -> list[int]:
         words = _WORD.findall(text)
-        known = sum(map(self.common.__contains__, words))
-        letters = len("".join(words))
-        self.alnum += letters
+        self.alnum += len("".join(words))
+        other: list[str] = []
         spaceless = 0
-        if foreign and len(_FOREIGN.findall(text)) * 2 > letters:
-            known = -1
+        if foreign and _FOREIGN.search(text):  # other scripts may join letters with marks: their words end at white space
+            words = [w for w in words if not _FOREIGN.search(w)]
+            other = [w for w in text.split() if _FOREIGN.search(w)]
             spaceless = len(_SPACELESS.findall(text))
-            if spaceless * 2 <= letters:
-                words = [w for w in text.split() if any(map(str.isalnum, w))]
-                letters = sum(map(len, words))
+        known = sum(map(self.common.__contains__, words))
+        more = sum(map(len, other))
         cells = text.count("\t") + text.count(";") + text.count("|") + (len(_GAP.findall(text)) if "  " in text else 0)
-        return [len(words), letters, known, cells, 0, spaceless, len(_ODD.findall(text)) if odd else 0]
+        return [len(words) + len(other), len("".join(words)) + more, known, cells, 0, spaceless, len(_ODD.findall(text)) if odd else 0, more]
 
     def loose(self, text: str, foreign: bool, odd: bool) -> int:
         """Letters of unclosed lines that still read as prose: long, of many common words, not enumerated."""
@@ -101,9 +102,9 @@ class Measure:
         foreign = not plain and _FOREIGN.search(text) is not None
         odd = not plain and any(c in text for c in ("Ã", "Â", "\ufffd", "ï¿½"))
         marks = [m for m in _MARK.finditer(text) if lead <= m.start() < stop] if whole or "\n" in text or not lead else []
-        clean = _MARK.sub(lambda m: " " * (len(m.group()) - 1) + _SEEN, text).lower() if marks else text.lower()
+        clean = _MARK.sub(lambda m: _BLANK * (len(m.group()) - 1) + _SEEN, text).lower() if marks else text.lower()
         if len(clean) != len(text):  # lower-casing has lengthened a letter
-            clean = "".join(c if len(c) == 1 else c[0] for c in map(str.lower, _MARK.sub(lambda m: " " * (len(m.group()) - 1) + _SEEN, text)))
+            clean = "".join(c if len(c) == 1 else c[0] for c in map(str.lower, _MARK.sub(lambda m: _BLANK * (len(m.group()) - 1) + _SEEN, text)))
         own = text if whole else text[lead:stop]
         solid = len(own) - sum(map(own.count, _BLANKS if plain else _BLANKS + _WIDE_BLANKS))
         digits = len(_DIGIT.findall(own)) if foreign else sum(map(own.count, "0123456789"))
@@ -123,7 +124,7 @@ class Measure:
             f[4] = clean.count(_SEEN, at, e) if marks else 0
             at = e
             words += f[0]
-            common += max(0, f[2])
+            common += f[2]
             if head is None:
                 head = f
             else:
@@ -136,7 +137,7 @@ class Measure:
         tail[4] = rest.count(_SEEN) if marks else 0
         words += tail[0] + sum(any(map(str.isalnum, m.group())) for m in marks)
         alnum = self.alnum + sum(sum(map(str.isalnum, m.group())) for m in marks)
-        common += max(0, tail[2])
+        common += tail[2]
         letters = alnum - digits + (len(_COMBINING.findall(own)) if foreign else 0)
         counts = [words, letters, digits, max(0, solid - digits - letters), lines, len(closed_lines), len(marks), common, sentences, inner, prose]
         loose = self.loose(rest, foreign, odd) if len(rest) >= 40 else 0
@@ -144,11 +145,7 @@ class Measure:
 
 
 def _join(a: list[int], b: list[int]) -> list[int]:
-    """The fragment of two neighbouring ones; common words are unknown (-1) only where both are foreign or empty."""
-    out = [x + y for x, y in zip(a, b)]
-    if len(out) == FRAGMENT and (a[2] < 0 or b[2] < 0):
-        out[2] = -1 if (a[2] < 0 or not a[0]) and (b[2] < 0 or not b[0]) else max(a[2], 0) + max(b[2], 0)
-    return out
+    return [x + y for x, y in zip(a, b)]
 
 
 def merge(a: tuple, b: tuple) -> tuple:

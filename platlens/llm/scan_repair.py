@@ -115,7 +115,8 @@ class ScanModel:
         self.words: dict[str, int] = {}
         for own in self.by_strokes.values():
             for n, w in own:  # a frequent misreading is no word of the dictionary
-                if not any(m >= RATIO * n and explain(v, w) for m, v in own if v != w):
+                least = 2 if re.search(r"[\d@]", w) and not re.search(r"[\d@]", own[0][1]) else RATIO
+                if not any(m >= least * n and explain(v, w) for m, v in own if v != w):
                     self.words[w] = n
         self._memo: dict[str, tuple[str, ...]] = {}
 
