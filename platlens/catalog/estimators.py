@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..estimators import joint as joint_model
 from ..estimators.counts import correspondence, fit_poisson
+from ..estimators.nmf import fit_nmf
 from ..estimators.packed import Packed
 from ..estimators.stance import fit_stance
 from ..operators import tokens
@@ -17,6 +18,10 @@ from .cells import cells_of
 from .tokens import _chunks
 
 
+#: Sweeps of the joint fit in the registered queries.
+SWEEPS = 6
+
+
 def _packed(spark: SparkSession, d: str) -> Packed:
     return Packed.of(cells_of(spark, d))
 
@@ -60,13 +65,13 @@ def stance_als_items(spark, d):
 
 @query()
 def joint_fit(spark, d):
-    return _positions(joint_model.fit_joint(_packed(spark, d)).packed)
+    return _positions(joint_model.fit_joint(_packed(spark, d), sweeps=SWEEPS).packed)
 
 
 @query()
 def joint_items(spark, d):
     """Item parameters of the joint fit with robust standard errors."""
-    j = joint_model.fit_joint(_packed(spark, d))
+    j = joint_model.fit_joint(_packed(spark, d), sweeps=SWEEPS)
     se = joint_model.sandwich(j)
     c = j.counts
     return _items(spark, j.packed, alpha=j.alpha, beta=j.beta, lam=c.lam, rho=c.rho, kap=c.kap, se_alpha=se[0], se_beta=se[1], se_lam=se[2], se_rho=se[3], se_kap=se[4])
@@ -79,7 +84,7 @@ def two_stage_fit(spark, d):
 
 @query()
 def poisson_irt(spark, d):
-    return _positions(fit_poisson(_packed(spark, d)).packed)
+    return _positions(fit_poisson(_packed(spark, d), sweeps=15).packed)
 
 
 def _words(spark: SparkSession, d: str, target: int) -> Packed:
@@ -90,7 +95,7 @@ def _words(spark: SparkSession, d: str, target: int) -> Packed:
 @query()
 def wordfish(spark, d):
     """Word counts, capped at 50, on one axis."""
-    return _positions(fit_poisson(_words(spark, d, 2000), sweeps=25, cap=50.0).packed)
+    return _positions(fit_poisson(_words(spark, d, 2000), sweeps=15, cap=50.0).packed)
 
 
 @query()
@@ -111,6 +116,15 @@ def lda_topics(spark, d):
     return top.select(F.col("topic"), F.transform("termIndices", lambda i: F.get(words, i)).alias("terms"))
 
 
+@query()
+def nmf_topics(spark, d):
+    """Top terms of non-negative factors of the word counts."""
+    p = _words(spark, d, 500)
+    h, _ = fit_nmf(p, 10, rounds=15)
+    rows = [(k, r + 1, p.items[i], float(h[k, i])) for k in range(len(h)) for r, i in enumerate(np.argsort(-h[k], kind="stable")[:10])]
+    return spark.createDataFrame(rows, "topic int, rank int, term string, weight double")
+
+
 @query()
 def word_embedding_positions(spark, d):
     """Mean word vectors of documents and their first principal component, the declared substitute for document vectors."""

@@ -63,3 +63,12 @@ def kmeans_topics(spark, d):
 
     x = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
     return KMeans(k=10, seed=7, maxIter=20).fit(x).transform(x).select("vec_id", F.col("prediction").alias("topic"))
+
+
+@query()
+def purified_topics(spark, d):
+    """Labels whose documents are few give their rows to the labels of the nearest others."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    spread = e.groupBy("label").agg(F.count("*").cast("double").alias("spread"))
+    least = spread.agg(F.percentile("spread", 0.2).alias("q")).first().q
+    return ops.purify(e, "vec_id", "embedding", "label", spread, least)

@@ -125,3 +125,14 @@ def principal_scores(df: DataFrame, key: str, vector: str, dim: int, k: int = 1)
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
     scores = [(dot(vector, F.array(*(F.lit(float(v)) for v in axes[:, j]))) - F.lit(float(mean @ axes[:, j]))).alias(f"score{j + 1}") for j in range(k)]
     return df.where(F.col(vector).isNotNull()).select(key, *scores)
+
+
+def purify(df: DataFrame, key: str, vector: str, topic: str, spread: DataFrame, least: float, k: int = 50) -> DataFrame:
+    """key, topic: rows of topics whose keyword spread is below `least` get the topic that most of their k nearest kept rows
+    have; others stay. The masked rows are the stated query set, in tiles."""
+    weak = spread.where(F.col("spread") < least).select(topic)
+    masked = df.join(F.broadcast(weak), topic, "left_semi")
+    kept = df.join(F.broadcast(weak), topic, "left_anti")
+    new = majority(knn(masked, kept, key, vector, k), kept, key, topic)
+    moved = masked.select(key, topic).join(new.select(F.col("query").alias(key), F.col("label").alias("__new")), key, "left")
+    return kept.select(key, topic).unionByName(moved.select(key, F.coalesce("__new", topic).alias(topic)))
