@@ -159,3 +159,26 @@ def dominant_alternative(spark, d):
     best = F.min(F.when(off, F.struct(F.negative("n").alias("m"), "pred")))
     g = w.groupBy("gold").agg(F.sum("n").alias("total"), F.sum(F.when(off, F.col("n"))).alias("wrong"), best.alias("b")).where("b is not null")
     return g.select("gold", "total", "wrong", F.col("b.pred").alias("top_alternative"), F.round(F.negative(F.col("b.m")) / F.col("wrong"), 6).alias("alternative_share"))
+
+
+@query("""WITH b AS (SELECT least(greatest(CAST(floor((c_acctbal + 1000) / 11000 * 36) AS BIGINT), 0), 35) AS bin FROM customer WHERE c_acctbal IS NOT NULL) SELECT bin, round(100.0 * count(*) / (SELECT count(*) FROM b), 6) AS percent FROM b GROUP BY bin""")
+def histogram_percent(spark, d):
+    """Shares of 36 bins, values beyond the edges in the outer ones: the frame behind a density figure."""
+    b = table(spark, d, "customer").where("c_acctbal is not null").select(F.least(F.greatest(F.floor((F.col("c_acctbal") + 1000) / 11000 * 36), F.lit(0)), F.lit(35)).alias("bin"))
+    n = b.agg(F.count("*").alias("n")).scalar()
+    return b.groupBy("bin").agg(F.count("*").alias("k")).select("bin", F.round(F.lit(100.0) * F.col("k") / n, 6).alias("percent"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+def validation_line(spark, d):
+    """The least-squares line of one scale on another by group: the frame behind a validation scatter."""
+    y, x = "l_extendedprice", "l_quantity"
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+@query(f"""WITH {_CODED}
+SELECT language, gold, count(*) AS n, count(*) FILTER (WHERE n_words >= 8) AS long_enough, CAST(max(n_words) AS BIGINT) AS longest FROM coded WHERE gold IS NOT NULL AND language IS NOT NULL GROUP BY ALL""")
+def training_pool(spark, d):
+    """Coded sentences by language and stance, with those that pass the length floor."""
+    p = _coded(spark, d).where("gold is not null and language is not null")
+    return p.groupBy("language", "gold").agg(F.count("*").alias("n"), F.count_if(F.col("n_words") >= 8).alias("long_enough"), F.max("n_words").cast("bigint").alias("longest"))

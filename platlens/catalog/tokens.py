@@ -122,3 +122,21 @@ def dictionary_coverage(spark, d):
     t = _terms(spark, d)
     words = ops.class_tfidf(t).select("token").distinct().withColumn("hit", F.lit(True))
     return t.join(F.broadcast(words), "token", "left").groupBy("topic").agg(F.round(F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).cast("double") / F.sum("n"), 6).alias("coverage"))
+
+
+_AFTER = f"{_CLASS_DF}, new AS (SELECT topic, token, rank FROM k WHERE rank <= 5)"
+
+
+@query(f"""WITH {_AFTER}, o AS (SELECT DISTINCT chunk_id, topic_orig FROM chunk_topics), xo AS (SELECT o.topic_orig AS topic, unnest(c.tokens) AS token FROM c JOIN o USING (chunk_id) WHERE o.topic_orig >= 0),
+no AS (SELECT topic, token, CAST(count(*) AS DOUBLE) AS n FROM xo GROUP BY ALL), zo AS (SELECT topic, sum(n) AS size FROM no GROUP BY 1), qo AS (SELECT token, count(*) AS df FROM no GROUP BY 1),
+so AS (SELECT no.topic, no.token, round(n / size * ln(1 / (CAST(df AS DOUBLE) / (SELECT count(*) FROM zo) + 1e-6)), 8) AS score FROM no JOIN zo USING (topic) JOIN qo ON qo.token = no.token),
+ko AS (SELECT topic, token, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, token) AS rank FROM so) WHERE rank <= 5)
+SELECT coalesce(a.topic, b.topic) AS topic, coalesce(a.token, b.token) AS token, b.rank AS rank_before, a.rank AS rank_after FROM new a FULL JOIN ko b ON a.topic = b.topic AND a.token = b.token""")
+def keywords_before_after(spark, d):
+    """Top terms of topics as first assigned and as they are now, side by side."""
+    c = _chunks(spark, d)
+    first = table(spark, d, "chunk_topics").select("chunk_id", F.col("topic_orig").alias("first")).distinct()
+    terms = lambda x, t: x.where(F.col(t) >= 0).select(F.col(t).alias("topic"), F.explode("tokens").alias("token")).groupBy("topic", "token").agg(F.count("*").alias("n"))
+    after = ops.class_tfidf(terms(c, "topic"), k=5).select("topic", "token", F.col("rank").alias("rank_after"))
+    before = ops.class_tfidf(terms(c.join(first, "chunk_id"), "first"), k=5).select("topic", "token", F.col("rank").alias("rank_before"))
+    return after.join(before, ["topic", "token"], "full").select("topic", "token", "rank_before", "rank_after")
