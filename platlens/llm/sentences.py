@@ -331,8 +331,11 @@ def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000) -> Bou
 
     Every other step of this module covers all texts.
     """
-    t = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").contains("\n"))
-    rows = t.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(sample).select("t").toPandas()
+    t = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").contains("\n")).withColumn("h", F.xxhash64("t"))
+    n = df.count()
+    if n > 4 * sample:  # only hashes so low that about three times the sample has them need be looked at and ordered
+        t = t.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (3 * sample / n))).cast("bigint"))
+    rows = t.orderBy("h", "t").limit(sample).select("t").toPandas()
     return fit(sorted(set(rows["t"])))
 
 
