@@ -7,9 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import broadcast_if_small
+
 #: Targets are a parameter of the caller; a table of more cells than this is refused.
 MOST_CELLS = 100_000
-BUCKETS = 4096
+#: Bits of the hash that make a bucket.
+BUCKET_BITS = 12
 
 
 def label(c: Column) -> Column:
@@ -101,10 +104,10 @@ class TargetSample:
         seat_rows = [(i, s, int(r.m), float(r.p), *(r[f"d{k}"] for k in range(len(self.dims)))) for i, (r, s) in enumerate(zip(self._cells, self.seats))]
         seat = F.broadcast(spark.createDataFrame(seat_rows, "cell int, seats bigint, floor bigint, target double, " + ", ".join(f"d{k} string" for k in range(len(self.dims)))))
         u = self.usable.join(F.broadcast(self._cell_table), self._names).select("cell", "k", F.xxhash64(F.lit(self._seed), F.col("k").cast("string")).alias("h"))
-        u = u.withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
+        u = u.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
         per = u.groupBy("cell", "bucket").agg(F.count("*").alias("n"))
         before = per.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("bucket")) - F.col("n"))
-        placed = u.join(F.broadcast(before.join(seat, "cell").where("before < seats")), ["cell", "bucket"])
+        placed = u.join(broadcast_if_small(before.join(seat, "cell").where("before < seats")), ["cell", "bucket"])
         ranked = placed.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("cell", "bucket").orderBy("h", "k")))
         chosen = ranked.where("rank <= seats")
         priority = F.when(F.col("rank") > F.col("floor"), (F.col("rank") - 0.5) / F.col("target"))
