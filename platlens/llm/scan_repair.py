@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .words import column
 
 # What a glyph is taken for by character recognition, (right, seen).
@@ -344,7 +345,7 @@ def _rows(df: DataFrame, key: str, doc: str, text: str, place: str | None) -> Da
 def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name") -> ScanModel:
     """A model of all texts of df. What it keeps is bounded by shares of the whole (SHARE, FORM_SHARE), not by the input."""
     rows = _rows(df, key, doc, text, place)
-    counted = _count(rows, lambda t, p: [*_tokens(t), *("-" + c for c in map(str.lower, _COMPOUND.findall(t)))])
+    counted = cut(_count(rows, lambda t, p: [*_tokens(t), *("-" + c for c in map(str.lower, _COMPOUND.findall(t)))]))
     kept = _bounded_counts(counted, "w", LEAST, SHARE)
     counts = {r.w: r.n for r in kept if r.w[0] != "-"}
     compounds = frozenset(re.sub("[‐‑]", "-", r.w[1:]) for r in kept if r.w[0] == "-")
