@@ -73,8 +73,9 @@ class BatchWords:
         if fold:
             table = np.arange(n, dtype=np.uint32)
             self.long = np.zeros(n, dtype=bool)
-            for c in range(0x80, n):
-                if unicodedata.decomposition(chr(c)) or unicodedata.combining(chr(c)) or 0xAC00 <= c < 0xD7A4:
+            self.long[0xAC00:0xD7A4] = True  # syllables of Hangul; ideographs and what lies beyond have nothing to fold
+            for c in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+                if unicodedata.decomposition(chr(c)) or unicodedata.combining(chr(c)):
                     left = [x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x)]
                     self.long[c] = len(left) > 1
                     table[c] = ord(left[0]) if left else self.DROP
