@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import broadcast_if_small
+from ..plans.lineage import broadcast_if_small, cut
 from .words import column, words_column
 
 #: Counters that a task keeps at most before it hands its summary on.
@@ -51,12 +51,12 @@ class SiteLines:
         named = sources.select(F.col(source_doc).alias("d"), source_label(F.col(source)).alias("source")).where("d is not null and source <> ''")
         self.source_of = named.groupBy("d").agg(F.min("source").alias("source"))
         lines = self._lines(self.rows)
-        pairs = lines.select("d", "h").distinct().join(self.source_of, "d")
+        pairs = cut(lines.select("d", "h").distinct().join(self.source_of, "d").select("source", "h"))
         docs = self.rows.select("d").distinct().join(self.source_of, "d").groupBy("source").agg(F.count("*").alias("docs"))
         sizes = pairs.groupBy("source").agg(F.count("*").alias("pairs")).join(docs, "source")
         need = sizes.agg(F.max(F.col("pairs") / (share * F.col("docs"))).alias("m")).first().m
         m = 2 * math.ceil(need or 1) + 16
-        summaries = pairs.select("source", "h").mapInArrow(_summarise(m), "source string, h bigint, n bigint, error bigint")
+        summaries = pairs.mapInArrow(_summarise(m), "source string, h bigint, n bigint, error bigint")
         errors = summaries.where("h is null").groupBy("source").agg(F.sum("error").alias("error"))
         likely = summaries.where("h is not null").groupBy("source", "h").agg(F.sum("n").alias("n")).join(errors, "source", "left").join(docs, "source")
         most = F.col("n") + F.coalesce("error", F.lit(0))
