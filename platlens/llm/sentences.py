@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .words import column
 
 # Marks that can end a sentence. The first group is ambiguous, the second is not.
@@ -244,44 +245,55 @@ def _log_odds(hit: int, miss: int, base: float, weight: float) -> float:
     return math.log((hit + weight * base) / (miss + weight * (1 - base))) - math.log(base / (1 - base))
 
 
-def fit(texts: Iterable[str], steps: int = 40, ridge: float = 0.3) -> BoundaryModel:
-    """A model learnt from unlabelled texts.
+@dataclass
+class TypeCounts:
+    """How often types stand before a full stop at the end of texts and inside them, and begin texts or stand inside."""
 
-    What is known for certain trains it: a stop before a lower-case word, a comma or within a number ends nothing;
-    the type before a stop that is often seen within texts and never at their end is an abbreviation; an unambiguous
-    mark, or a full stop after a type that does end texts, before a capitalised type that begins texts, is a boundary.
-    """
-    texts = [t.strip() for t in texts]
-    stops: dict[str, Seen] = {}
-    firsts: dict[str, Seen] = {}
-    spots: list[tuple[str, str, bool, bool, str]] = []
-    for t in texts:
-        if not t:
-            continue
+    stops: dict[str, Seen] = field(default_factory=dict)
+    firsts: dict[str, Seen] = field(default_factory=dict)
+
+    def add(self, t: str) -> list[tuple[str, str, bool, bool, str]]:
+        """Counts the types of a stripped text that is not empty; gives its stops that have white space after them."""
+        spots: list[tuple[str, str, bool, bool, str]] = []
         tokens = t.split()
         for k, w in enumerate(tokens):
             c = w.lstrip(OPENERS)
             if not c[:1].isupper():
                 continue
             kind = _first(w)
-            own = firsts.setdefault(kind, Seen())
+            own = self.firsts.setdefault(kind, Seen())
             if k == 0:
                 own.last += 1
             elif tokens[k - 1][-1].isalnum() and c == w:
                 own.inside += 1
         for m in _CANDIDATE.finditer(t):
             i, e = m.start(), m.start() + len(m.group().rstrip())
-            stop = m.group().rstrip(CLOSERS + "*_  \t\n")
+            stop = m.group().rstrip(CLOSERS + "*_  \t\n")
             before = _before(t, i)
-            own = stops.setdefault(_kind(before), Seen()) if stop == "." else Seen()
+            own = self.stops.setdefault(_kind(before), Seen()) if stop == "." else Seen()
             if e >= len(t):
                 own.last += 1
             elif t[e].isspace():
                 own.inside += 1
                 spots.append((before, stop, e - i > len(stop), False, (_NEXT.search(t, e) or [""])[0][:REACH]))
-    last, inside = sum(s.last for s in stops.values()), sum(s.inside for s in stops.values())
+        return spots
+
+
+def fit(texts: Iterable[str], steps: int = 40, ridge: float = 0.3, counts: TypeCounts | None = None, totals: tuple[int, int, int, int] | None = None) -> BoundaryModel:
+    """A model learnt from unlabelled texts.
+
+    What is known for certain trains it: a stop before a lower-case word, a comma or within a number ends nothing;
+    the type before a stop that is often seen within texts and never at their end is an abbreviation; an unambiguous
+    mark, or a full stop after a type that does end texts, before a capitalised type that begins texts, is a boundary.
+    The texts train the weights. Types are counted over them, or come counted over more texts as `counts`, which may
+    leave out types seen once, with `totals` of all: stops last and inside, firsts last and inside.
+    """
+    own = TypeCounts()
+    spots = [x for t in texts if t.strip() for x in own.add(t.strip())]
+    counts = counts or own
+    stops, firsts = counts.stops, counts.firsts
+    last, inside, begin, within = totals or (sum(getattr(s, k) for s in d.values()) for d in (stops, firsts) for k in ("last", "inside"))
     base = min(0.9, max(0.1, last / max(1, last + inside)))
-    begin, within = sum(s.last for s in firsts.values()), sum(s.inside for s in firsts.values())
     first = min(0.9, max(0.1, begin / max(1, begin + within)))
     m = BoundaryModel(
         {k: _log_odds(s.last, s.inside, base, 1.0 if len(k) <= 4 or "." in k else 6.0) for k, s in stops.items() if s.last + s.inside > 1},
@@ -326,17 +338,49 @@ def fit(texts: Iterable[str], steps: int = 40, ridge: float = 0.3) -> BoundaryMo
     return m
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """(what, w, last, inside) over the column t: the types before stops, those that begin texts, and the number of texts."""
+    schema = pa.schema([("what", pa.string()), ("w", pa.string()), ("last", pa.int64()), ("inside", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hand_on(c: TypeCounts, n: int) -> pa.RecordBatch:
+            rows = [(what, k, s.last, s.inside) for what, d in (("stop", c.stops), ("first", c.firsts)) for k, s in d.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, ("texts", "", n, 0)), schema)], schema=schema)
+
+        c, n = TypeCounts(), 0
+        for b in batches:
+            for t in column(b, "t"):
+                n += 1
+                if t := t.strip():
+                    c.add(t)
+            if len(c.stops) + len(c.firsts) > 300_000:
+                yield hand_on(c, n)
+                c, n = TypeCounts(), 0
+        yield hand_on(c, n)
+
+    counted = texts.select("t").mapInArrow(run, "what string, w string, last bigint, inside bigint")
+    return counted.groupBy("what", "w").agg(F.sum("last").alias("last"), F.sum("inside").alias("inside"))
+
+
 def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000) -> BoundaryModel:
-    """A model fitted on the `sample` texts that come first in hash order (a documented bound of the classifier).
+    """A model whose types are counted over all different texts without line feed, and whose weights are trained on the
+    `sample` texts that come first in hash order (a documented bound of the classifier).
 
-    Every other step of this module covers all texts.
+    Every other step of this module covers all texts. All types seen twice come to the driver: they grow as the vocabulary.
     """
     t = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").contains("\n")).withColumn("h", F.xxhash64("t"))
+    counted = cut(_counted(t.select("t").distinct()))
+    of = {r.what: r for r in counted.groupBy("what").agg(F.sum("last").alias("last"), F.sum("inside").alias("inside")).collect()}
+    totals = tuple(of[w][k] if w in of else 0 for w in ("stop", "first") for k in ("last", "inside"))
+    kept = counted.where((F.col("what") != "texts") & (F.col("last") + F.col("inside") > 1)).toArrow()
+    counts = TypeCounts()
+    for what, w, last, inside in zip(*(kept.column(k).to_pylist() for k in ("what", "w", "last", "inside"))):
+        (counts.stops if what == "stop" else counts.firsts)[w] = Seen(last, inside)
     n = df.count()
     if n > 4 * sample:  # only hashes so low that about three times the sample has them need be looked at and ordered
         t = t.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (3 * sample / n))).cast("bigint"))
     rows = t.orderBy("h", "t").limit(sample).select("t").toPandas()
-    return fit(sorted(set(rows["t"])))
+    return fit(sorted(set(rows["t"])), counts=counts, totals=totals)
 
 
 def sentence_ends(df: DataFrame, model: BoundaryModel, key: list[str], text: str = "chunk_text") -> DataFrame:

@@ -82,3 +82,10 @@ def test_tables(spark):
     assert [r.start_char for r in s][0] == 0 and s[-1].end_char == len(rows[-1][1])
     empty = df.limit(0)
     assert sentence_ends(empty, fit_on(empty), ["chunk_id"]).count() == 0
+
+
+def test_types_are_counted_over_all_texts(spark):
+    texts = sorted({" ".join(s) for s in corpus()}) + [f"Our team saw Xqz. Moreno at bridge {k} today." for k in range(12)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None]], "chunk_text string")
+    whole, model = fit(texts), fit_on(df, sample=20)
+    assert model.ends == whole.ends and model.starts == whole.starts and model.ends["Xqz"] < -1
