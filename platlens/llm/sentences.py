@@ -364,7 +364,7 @@ def _counted(texts: DataFrame) -> DataFrame:
 
 def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000) -> BoundaryModel:
     """A model whose types are counted over all different texts without line feed, and whose weights are trained on the
-    `sample` texts that come first in hash order (a documented bound of the classifier).
+    `sample` different ones that come first in hash order (a documented bound of the classifier).
 
     Every other step of this module covers all texts. All types seen twice come to the driver: they grow as the vocabulary.
     """
@@ -376,11 +376,11 @@ def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000) -> Bou
     counts = TypeCounts()
     for what, w, last, inside in zip(*(kept.column(k).to_pylist() for k in ("what", "w", "last", "inside"))):
         (counts.stops if what == "stop" else counts.firsts)[w] = Seen(last, inside)
-    n = df.count()
+    n = of["texts"]["last"] if "texts" in of else 0
     if n > 4 * sample:  # only hashes so low that about three times the sample has them need be looked at and ordered
         t = t.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (3 * sample / n))).cast("bigint"))
-    rows = t.orderBy("h", "t").limit(sample).select("t").toPandas()
-    return fit(sorted(set(rows["t"])), counts=counts, totals=totals)
+    rows = t.distinct().orderBy("h", "t").limit(sample).select("t").toPandas()
+    return fit(sorted(rows["t"]), counts=counts, totals=totals)
 
 
 def sentence_ends(df: DataFrame, model: BoundaryModel, key: list[str], text: str = "chunk_text") -> DataFrame:

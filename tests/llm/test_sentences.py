@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from platlens.llm import sentences as module
 from platlens.llm.sentences import Splitter, fit, fit_on, sentence_ends, sentences
 
 
@@ -89,3 +90,11 @@ def test_types_are_counted_over_all_texts(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None]], "chunk_text string")
     whole, model = fit(texts), fit_on(df, sample=20)
     assert model.ends == whole.ends and model.starts == whole.starts and model.ends["Xqz"] < -1
+
+
+@pytest.mark.parametrize("extra", [[("a\nb",)] * 900, [("The same text.",)] * 900])
+def test_sample_is_filled_with_different_texts(spark, monkeypatch, extra):
+    seen = []
+    monkeypatch.setattr(module, "fit", lambda texts, **more: seen.extend(texts) or fit(texts, **more))
+    fit_on(spark.createDataFrame([(f"Text {k} is here.",) for k in range(100)] + extra, "chunk_text string"), sample=90)
+    assert len(seen) == len(set(seen)) == 90
