@@ -38,11 +38,11 @@ _EDGE_FIRST = re.compile(r"^\s*\d{1,4}\s+(?=\S)")
 _EDGE_LAST = re.compile(r"\s+[|·•\-–—]\s*\d{1,4}\s*$")
 #: Vector length of the skip-gram model and words on either side that count as context.
 DIMENSIONS, WINDOW = 32, 4
-#: Words of at least this share of all occurrences make the dictionary: at most 1 / share words, whatever the input.
-SHARE, LEAST = 2e-6, 8
+#: Words and compounds with so many occurrences are known, whatever the input: the dictionary grows with the vocabulary.
+LEAST = 8
 #: A word is taken for a misread one only if the right one is so many times as frequent.
 RATIO = 15
-#: Head-line forms in at least this share of the documents (and in LEAST_FORM) are kept: bounded for the same reason.
+#: Head-line forms in at least this share of the documents (and in LEAST_FORM) are kept: at most so many as the share allows.
 FORM_SHARE, LEAST_FORM = 0.008, 3
 
 
@@ -274,11 +274,6 @@ class Repair:
         return "\n\n".join(p for p in paragraphs if p), sorted(kinds)
 
 
-def _bounded_counts(rows: DataFrame, name: str, least: int, share: float) -> list:
-    total = rows.agg(F.sum("n").alias("n")).first().n or 0
-    return rows.where(F.col("n") >= max(least, share * total)).select(name, "n").collect()
-
-
 def _count(df: DataFrame, of) -> DataFrame:
     """(w, n) over all values that `of` finds in the rows (text, place) of df; counted in each task before they are shuffled."""
     schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
@@ -328,14 +323,15 @@ def _skip_grams(rows: DataFrame, words: list[str]) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * DIMENSIONS), flat)], schema=schema)
 
     parts = rows.select("t").mapInArrow(learn, "i int, v array<float>")
-    summed = parts.groupBy("i").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIMENSIONS))).collect()
-    if not summed:
+    summed = parts.groupBy("i").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIMENSIONS))).toArrow()
+    if not summed.num_rows:
         return {}
-    m = np.array([[r[f"v{k}"] for k in range(DIMENSIONS)] for r in summed])
+    m = np.column_stack([summed.column(f"v{k}").to_numpy() for k in range(DIMENSIONS)])
     mass = np.abs(m).sum(axis=1, keepdims=True)
     m = m - mass * (m.sum(axis=0, keepdims=True) / max(1e-9, mass.sum()))
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return {words[r.i]: m[k].astype(np.float32) for k, r in enumerate(summed)}
+    m = m.astype(np.float32)
+    return {words[i]: m[k] for k, i in enumerate(summed.column("i").to_pylist())}
 
 
 def _rows(df: DataFrame, key: str, doc: str, text: str, place: str | None) -> DataFrame:
@@ -343,12 +339,13 @@ def _rows(df: DataFrame, key: str, doc: str, text: str, place: str | None) -> Da
 
 
 def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name") -> ScanModel:
-    """A model of all texts of df. What it keeps is bounded by shares of the whole (SHARE, FORM_SHARE), not by the input."""
+    """A model of all texts of df. It keeps every word and compound with LEAST occurrences, so it grows with the vocabulary."""
     rows = _rows(df, key, doc, text, place)
     counted = cut(_count(rows, lambda t, p: [*_tokens(t), *("-" + c for c in map(str.lower, _COMPOUND.findall(t)))]))
-    kept = _bounded_counts(counted, "w", LEAST, SHARE)
-    counts = {r.w: r.n for r in kept if r.w[0] != "-"}
-    compounds = frozenset(re.sub("[‐‑]", "-", r.w[1:]) for r in kept if r.w[0] == "-")
+    kept = counted.where(F.col("n") >= LEAST).toArrow()
+    kept = dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
+    counts = {w: n for w, n in kept.items() if w[0] != "-"}
+    compounds = frozenset(re.sub("[‐‑]", "-", w[1:]) for w in kept if w[0] == "-")
     forms_of = _head_forms(rows)
     docs = rows.where(F.col("t").contains("\n")).select("doc").distinct().count()
     forms = frozenset(r.form for r in forms_of.where(F.col("n") >= max(LEAST_FORM, FORM_SHARE * docs)).select("form").collect())

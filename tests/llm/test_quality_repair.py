@@ -121,3 +121,14 @@ def test_collection(spark):
         assert x.chunk_text == clean[i] and x.kinds == (["misread", "running_header"] if i % 10 == 0 else []), x
     empty = df.limit(0)
     assert repaired(empty, fit(empty)).count() == 0
+
+
+def test_rare_words_are_known_in_a_large_collection(spark):
+    rows = [(f"f{i}", "f", "palavra " * 50_000) for i in range(120)] + [(f"r{i}", "r", "uma passarela bem-estar") for i in range(9)]
+    rows += [("m", "m", "uma passare1a"), ("h", "h", "todo o bem-\nestar")]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, chunk_text string").repartition(8)
+    model = fit(df, place=None)
+    assert model.words["passarela"] == 9 and "bem-estar" in model.compounds
+    few = df.where("chunk_id in ('m', 'h')")
+    out = {r.chunk_id: r for r in repaired(few, model, place=None).collect()}
+    assert out["m"].chunk_text == "uma passarela" and out["m"].kinds == ["misread"] and out["h"].kinds == []
