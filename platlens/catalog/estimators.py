@@ -18,10 +18,6 @@ from .cells import cells_of
 from .tokens import _chunks
 
 
-#: Sweeps of the joint fit in the registered queries.
-SWEEPS = 6
-
-
 def _packed(spark: SparkSession, d: str) -> Packed:
     return Packed.of(cells_of(spark, d))
 
@@ -65,13 +61,13 @@ def stance_als_items(spark, d):
 
 @query()
 def joint_fit(spark, d):
-    return _positions(joint_model.fit_joint(_packed(spark, d), sweeps=SWEEPS).packed)
+    return _positions(joint_model.fit_joint(_packed(spark, d)).packed)
 
 
 @query()
 def joint_items(spark, d):
     """Item parameters of the joint fit with robust standard errors."""
-    j = joint_model.fit_joint(_packed(spark, d), sweeps=SWEEPS)
+    j = joint_model.fit_joint(_packed(spark, d))
     se = joint_model.sandwich(j)
     c = j.counts
     return _items(spark, j.packed, alpha=j.alpha, beta=j.beta, lam=c.lam, rho=c.rho, kap=c.kap, se_alpha=se[0], se_beta=se[1], se_lam=se[2], se_rho=se[3], se_kap=se[4])
@@ -84,7 +80,7 @@ def two_stage_fit(spark, d):
 
 @query()
 def poisson_irt(spark, d):
-    return _positions(fit_poisson(_packed(spark, d), sweeps=15).packed)
+    return _positions(fit_poisson(_packed(spark, d)).packed)
 
 
 def _words(spark: SparkSession, d: str, target: int) -> Packed:
@@ -95,7 +91,7 @@ def _words(spark: SparkSession, d: str, target: int) -> Packed:
 @query()
 def wordfish(spark, d):
     """Word counts, capped at 50, on one axis."""
-    return _positions(fit_poisson(_words(spark, d, 2000), sweeps=15, cap=50.0).packed)
+    return _positions(fit_poisson(_words(spark, d, 2000), cap=50.0).packed)
 
 
 @query()

@@ -89,3 +89,27 @@ def test_joint(spark, packed, truth):
 def test_two_stage(packed, truth):
     j = fit_two_stage(packed)
     assert j.losses[1] <= j.losses[0] and (j.counts.kap == 0).all() and np.corrcoef(positions(j.packed), truth["theta"])[0, 1] > 0.9
+
+
+@pytest.mark.parametrize("name", ["joint_fit", "joint_items", "poisson_irt", "wordfish"])
+def test_registered_fits_end_by_the_operators_rule(monkeypatch, name):
+    import inspect
+
+    from platlens.catalog import estimators as catalog
+
+    asked = {}
+
+    def stop(f):
+        def call(*args, **more):
+            asked.update(inspect.signature(f).bind(*args, **more).arguments)
+            raise StopIteration
+
+        return call
+
+    monkeypatch.setattr(catalog, "_packed", lambda *_: None)
+    monkeypatch.setattr(catalog, "_words", lambda *_: None)
+    monkeypatch.setattr(catalog, "fit_poisson", stop(catalog.fit_poisson))
+    monkeypatch.setattr(catalog.joint_model, "fit_joint", stop(catalog.joint_model.fit_joint))
+    with pytest.raises(StopIteration):
+        getattr(catalog, name)(None, "")
+    assert not {"sweeps", "settle", "tolerance"} & asked.keys()
