@@ -83,6 +83,17 @@ def threshold_grid(spark, d):
     return ops.threshold_grid(z, "gold", ["l", "n", "r"], ["left", "neutral", "right"], _GRID)
 
 
+#: The recalibration grid: 31 offsets from -0.30 to 0.30.
+_OFFSETS = [k / 50 for k in range(-15, 16)]
+
+
+@query()
+def offset_recalibration(spark, d):
+    """MCC at all 31 x 31 offset pairs; threshold_grid is the excerpt of 3 x 3 points that its SQL twin has."""
+    z = _coded(spark, d).where("sid is not null").select("gold", *((md5_mod(F.concat("sid", F.lit(x)), 100) / F.lit(100.0)).alias(x) for x in "lnr"))
+    return ops.threshold_grid(z, "gold", ["l", "n", "r"], ["left", "neutral", "right"], _OFFSETS)
+
+
 @query("""WITH x AS (SELECT c_mktsegment AS g, c_acctbal - 4500 AS v FROM customer), a AS (SELECT median(v) AS m FROM x WHERE g = 'BUILDING'), b AS (SELECT median(v) AS m FROM x WHERE g = 'MACHINERY')
 SELECT round(count(*) FILTER (WHERE g = 'BUILDING' AND v > (SELECT m FROM b)) / nullif(count(*) FILTER (WHERE g = 'BUILDING'), 0), 6) AS a_above_b,
   round(count(*) FILTER (WHERE g = 'MACHINERY' AND v < (SELECT m FROM a)) / nullif(count(*) FILTER (WHERE g = 'MACHINERY'), 0), 6) AS b_below_a,

@@ -110,3 +110,23 @@ def test_principal_scores(spark):
     c = x - x.mean(axis=0)
     w = np.linalg.svd(c, full_matrices=False)[2][0]
     assert abs(np.corrcoef(s, c @ w)[0, 1]) > 0.999999
+
+
+def test_recalibration_covers_the_whole_grid(spark, sf_dir):
+    import math
+
+    import __spark_entry__ as entry
+    from platlens.catalog.metrics import _coded, md5_mod
+    from pyspark.sql import functions as F
+
+    got = {(r.a, r.b): r.mcc for r in entry.queries()["offset_recalibration"](spark, sf_dir).collect()}
+    axis = [round(-0.3 + 0.02 * k, 2) for k in range(31)]
+    assert got.keys() == set(itertools.product(axis, axis))
+    x = _coded(spark, sf_dir).where("sid is not null and gold is not null").select("gold", *((md5_mod(F.concat("sid", F.lit(c)), 100) / F.lit(100.0)).alias(c) for c in "lnr")).collect()
+    for a, b in ((-0.3, 0.3), (0.02, -0.14), (0.0, 0.0)):
+        p = ["left" if r.l + a >= max(r.n + b, r.r) else "neutral" if r.n + b >= r.r else "right" for r in x]
+        g = [r.gold for r in x]
+        n, c = len(x), sum(u == v for u, v in zip(g, p))
+        t, q = ([y.count(k) for k in sorted({*g, *p})] for y in (g, p))
+        down = math.sqrt(n * n - sum(v * v for v in q)) * math.sqrt(n * n - sum(v * v for v in t))
+        assert got[a, b] == pytest.approx((c * n - sum(u * v for u, v in zip(t, q))) / down, abs=2e-6)
