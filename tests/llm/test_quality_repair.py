@@ -1,7 +1,8 @@
 import random
 
 import pytest
-from platlens.llm.quality import Measure, is_sentence, merge, statistics, text_quality
+from platlens.llm import quality
+from platlens.llm.quality import CONTEXT, Measure, is_sentence, loose_letters, merge, statistics, text_quality
 from platlens.llm.scan_repair import Repair, ScanModel, explain, fit, head_form, repaired, strokes
 
 COMMON = frozenset("the of and to in a we will for is our".split())
@@ -35,23 +36,31 @@ def test_fragments():
     assert is_sentence([6, 25, 2, 0, 0, 0, 0, 0]) and not is_sentence([6, 25, 0, 0, 0, 0, 0, 0]) and not is_sentence([1, 5, 1, 0, 0, 0, 0, 0])
 
 
-@pytest.mark.parametrize("size", [40, 97, 333])
-def test_pieces_add_up_to_the_whole(size):
-    r = random.Random(size)
-    words = [*COMMON, "estrada", "ação", "x9", "3.5", "हिन्दी", "longword" * 3]
+def in_pieces(m, text, size):
+    parts = []
+    for i in range(0, len(text), size):
+        lead = min(i, CONTEXT)
+        parts.append(m(text[i - lead : i + size + CONTEXT], lead, size, i + size >= len(text)))
+    while len(parts) > 1:  # as a tree
+        parts = [merge(*parts[i : i + 2]) if len(parts[i : i + 2]) == 2 else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+@pytest.mark.parametrize("size", [40, 97, 333, 1000, 4096, 65_536])
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_add_up_to_the_whole(size, seed):
+    r = random.Random(size * 100 + seed)
+    words = [*sorted(COMMON), "estrada", "ação", "x9", "3.5", "हिन्दी", "e\u0301", "longword" * 3, "１２", "----", "Ã©"]
+    gaps = [" ", " ", " ", ". ", ".\n", "\n- ", "; ", "!? ", "  ", "\n", "\n      12.3 ", "\t", "。", " ... "]
+    plain = [" "] * 8 + ["\n", ". "]
     m = Measure(COMMON)
-    for _ in range(30):
+    for j in range(20 if size < 4096 else 3):
         text = ""
-        for _ in range(r.randint(1, 200)):
-            text += r.choice(words) + r.choice([" ", " ", " ", ". ", ".\n", "\n- ", "; ", "!? ", "  "])
-        parts = []
-        for i in range(0, len(text), size):
-            lead = min(i, 64)
-            parts.append(m(text[i - lead : i + size + 64], lead, size, i + size >= len(text)))
-        while len(parts) > 1:  # as a tree
-            parts = [merge(*parts[i : i + 2]) if len(parts[i : i + 2]) == 2 else parts[i] for i in range(0, len(parts), 2)]
-        whole = m(text)
-        assert parts[0][0] == whole[0] and parts[0][1] == whole[1]
+        for _ in range(r.randint(1, max(200, size // 3))):
+            text += r.choice(words) + r.choice(gaps if j % 2 else plain)
+        whole, part = m(text), in_pieces(m, text, size)
+        assert part[:4] == whole[:4] and loose_letters(part[4]) == loose_letters(whole[4])
+        assert statistics(part, len(text), 0.5) == statistics(whole, len(text), 0.5)
 
 
 def test_table(spark):
@@ -62,9 +71,13 @@ def test_table(spark):
     by = {r.doc_id: r for r in out}
     assert by[2].is_prose is None and by[3].words == 0 and by[4].is_prose is None and by[1].is_prose
     assert by[5].words == 30 * by[1].words and by[5].sentences == 30 * by[1].sentences and by[5].chars == len(PROSE) * 30
-    assert sum(r.doc_id == 1 for r in out) == 2
+    assert sum(r.doc_id == 1 for r in out) == 2 and sum(r.doc_id == 5 for r in out) == 2
     assert text_quality(df.limit(0), common).count() == 0
     assert text_quality(df, common.limit(0)).count() >= 6
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "MOST_COMMON", 3)
+        with pytest.raises(ValueError):
+            text_quality(df, common)
     s = text_quality(df.selectExpr("cast(doc_id as string) doc_id", "text"), common, piece=500)
     assert s.where("doc_id = '5'").first().words == by[5].words
 
