@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from .words import column
 CONFUSIONS = (
     ("o", "0"), ("l", "1"), ("i", "1"), ("s", "5"), ("g", "9"), ("b", "8"), ("z", "2"), ("a", "@"), ("e", "c"), ("t", "f"), ("v", "y"),
     ("i", "í"), ("i", "l"), ("ã", "ä"), ("õ", "ö"), ("ç", "ɡ"), ("m", "rn"), ("rn", "m"), ("n", "ri"), ("u", "ii"), ("d", "cl"),
-    ("in", "rn"), ("d", "c1"), ("n", "rí"), ("h", "1i"), ("h", "lí"),
     ("in", "m"), ("ti", "ü"), ("h", "li"), ("w", "vv"), ("q", "g"),
 )
 #: Strokes that confused glyphs have in common; equal strokes are necessary for a confusion.
@@ -36,41 +37,87 @@ _SOFT = re.compile(r"([^\W\d_]+)[­¬]([^\W\d_]+)")
 _NUMBER = re.compile(r"^[^\w\n]*(?:(?:p[áaà]g(?:ina)?|p|fls?|page|pg)\b\.?)?\s*[^\w\n.]*\s*(?:\d{1,4}(?:\s*/\s*\d{1,4})?|(?=[ivxl])(?:x{0,4}l?x{0,3}(?:ix|iv|v?i{0,3})))[^\w\n.]*$", re.I)
 _EDGE_FIRST = re.compile(r"^\s*\d{1,4}\s+(?=\S)")
 _EDGE_LAST = re.compile(r"\s+[|·•\-–—]\s*\d{1,4}\s*$")
-#: Vector length of the skip-gram model and words on either side that count as context.
-DIMENSIONS, WINDOW = 32, 4
+_WORD = re.compile(r"[^\W_]+")
+_STROKE_TABLE = str.maketrans(_STROKES)
+#: Words on either side that count as context, vector length, negative samples of a pair (shared by a mini-batch), rounds of
+#: training and averaging, and tokens whose pairs a task collects before it trains on them.
+WINDOW, DIMENSIONS, NEGATIVES, SHARED, ROUNDS, BUFFER = 4, 32, 5, 64, 2, 1_000_000
+#: Frequent words weigh as if they were left out with the usual probability: all above this share of all occurrences.
+OFTEN = 1e-4
+#: Lengths of the character n-grams that give rare forms a vector, and the table they are hashed to.
+GRAMS, GRAM_TABLE = (3, 4, 5), 1 << 15
 #: Words and compounds with so many occurrences are known, whatever the input: the dictionary grows with the vocabulary.
 LEAST = 8
 #: A word is taken for a misread one only if the right one is so many times as frequent.
 RATIO = 15
-#: Head-line forms in at least this share of the documents (and in LEAST_FORM) are kept: at most so many as the share allows.
+#: A line form is a head line if it recurs within a document and so many of its lines (and this share) bear a page number.
+NUMBERED, NUMBERED_SHARE = 2, 0.1
+#: It is one, too, if at least this share of the documents with line feeds have it, and at least so many.
 FORM_SHARE, LEAST_FORM = 0.008, 3
 
 
 def strokes(word: str) -> str:
-    return "".join(_STROKES.get(c, c) for c in unicodedata.normalize("NFKC", word.lower()))
-
-
-def explain(right: str, seen: str, most: int = 5) -> int | None:
-    """The least number of glyph confusions that turn `right` into `seen`; None if there is no way or more than `most`."""
+    low = word.lower()
+    return (low if low.isascii() else unicodedata.normalize("NFKC", low)).translate(_STROKE_TABLE)
+
+
+def _steps() -> dict[str, list[tuple[str, str, tuple[tuple[str, str], ...]]]]:
+    """Glyph edits by the first letter of what is right: the fixed confusions, and each of them with one of the fixed ones
+    applied to what it was taken for (d as cl as c1). A letter read as another plain one does not stack: the result would be
+    any ordinary pair of letters."""
+    all_steps = {(a, b): ((a, b),) for a, b in CONFUSIONS}
+    stacked = [(c, d) for c, d in CONFUSIONS if not (len(c) == len(d) == 1 and "a" <= d <= "z")]
+    for a, b in CONFUSIONS:
+        for c, d in stacked:
+            at = b.find(c)
+            while at >= 0:
+                all_steps.setdefault((a, b[:at] + d + b[at + len(c) :]), ((a, b), (c, d)))
+                at = b.find(c, at + 1)
+    out: dict[str, list] = {}
+    for (a, b), edits in all_steps.items():
+        if a != b:
+            out.setdefault(a[0], []).append((a, b, edits))
+    return out
+
+
+_STEPS = _steps()
+Edits = tuple[tuple[str, str], ...]
+
+
+def glyph_edits(right: str, seen: str, costs: dict[tuple[str, str], float] | None = None, most: int = 5) -> tuple[float, Edits] | None:
+    """The cheapest glyph edits that turn `right` into `seen` and their cost (one each without `costs`); None if there is
+    no way of at most `most` edits."""
     seen = unicodedata.normalize("NFKC", seen) if not seen.isascii() else seen
-    best: dict[tuple[int, int], int] = {(0, 0): 0}
-    for i in range(len(right) + 1):
-        row = sorted((j, n) for (k, j), n in best.items() if k == i)
-        for j, n in row:
-            steps = [(right[i], right[i], 0)] if i < len(right) else []
-            steps += [(a, b, 1) for a, b in CONFUSIONS if right.startswith(a, i)]
-            # n read as ri or in as m may meet the confusion of a neighbour: m as rri
-            steps += [("m", "rri", 2)] if right.startswith("m", i) else []
-            for a, b, cost in steps:
-                if seen.startswith(b, j) and n + cost <= most:
-                    key = (i + len(a), j + len(b))
-                    if n + cost < best.get(key, most + 1):
-                        best[key] = n + cost
-    return best.get((len(right), len(seen)))
+    n, m = len(right), len(seen)
+    best: list[dict[int, tuple[float, Edits]]] = [{} for _ in range(n + 1)]
+    best[0][0] = (0.0, ())
+    for i in range(n):
+        c = right[i]
+        for j, (cost, edits) in best[i].items():
+            if j < m and seen[j] == c and cost < best[i + 1].get(j + 1, (1e9,))[0]:
+                best[i + 1][j + 1] = (cost, edits)
+            if len(edits) < most:
+                for a, b, own in _STEPS.get(c, ()):
+                    if right.startswith(a, i) and seen.startswith(b, j) and len(edits) + len(own) <= most:
+                        total = cost + (len(own) if costs is None else sum(costs.get(e, 9.0) for e in own))
+                        k = j + len(b)
+                        if total < best[i + len(a)].get(k, (1e9,))[0]:
+                            best[i + len(a)][k] = (total, edits + own)
+    return best[n].get(m)
+
+
+def explain(right: str, seen: str) -> int | None:
+    """The least number of glyph edits that turn `right` into `seen`; None if there is no way."""
+    found = glyph_edits(right, seen)
+    return None if found is None else len(found[1])
 
 
 def _tokens(text: str) -> list[str]:
-    return [unicodedata.normalize("NFKC", w) if not w.isascii() else w for w in _TOKEN.findall(text.lower())]
+    low = text.lower()
+    found = _TOKEN.findall(low)
+    if low.isascii() or unicodedata.is_normalized("NFKC", low):
+        return found
+    return [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in found]
 
 
 def head_form(line: str, place: str | None) -> str | None:
@@ -78,15 +125,17 @@ def head_form(line: str, place: str | None) -> str | None:
     numbers as signs, the rest in strokes so that misread ones have the same form. None if it has no place in it."""
     if not place or not 4 <= len(line) <= 120 or line.rstrip()[-1:] in tuple(".!?;…,"):
         return None
+    where = [strokes(w) for w in _WORD.findall(place)]
+    if not where or where[0] not in strokes(line):
+        return None
     core = _EDGE_LAST.sub("", _EDGE_FIRST.sub("", line.strip()))
-    signs = [strokes(w) for w in re.findall(r"[^\W_]+(?:@[^\W_]+)*", core)]
-    where = [strokes(w) for w in re.findall(r"[^\W_]+", place)]
+    raw = _TOKEN.findall(core)
+    signs = [strokes(w) for w in raw]
     k = len(where)
     at = next((i for i in range(len(signs) - k + 1) if signs[i : i + k] == where), None)
     if at is None or len(signs) > 14:
         return None
     marks = "".join(sorted(set(re.findall(r"[/|·–—()]", core))))
-    raw = re.findall(r"[^\W_]+(?:@[^\W_]+)*", core)
     caps = core.upper() == core
     out = []
     for i, (w, s) in enumerate(zip(raw, signs)):
@@ -105,24 +154,180 @@ def head_form(line: str, place: str | None) -> str | None:
     return " ".join(out) + marks
 
 
+def _grams(word: str) -> list[int]:
+    w = f"<{word}>"
+    return [zlib.crc32(w[i : i + n].encode()) % GRAM_TABLE for n in GRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode()) % GRAM_TABLE]
+
+
+class SkipGrams:
+    """Vectors of the dictionary's words (as words and as context) and of character n-grams, which give any form a vector."""
+
+    def __init__(self, words: list[str], own: np.ndarray, context: np.ndarray) -> None:
+        self.at = {w: i for i, w in enumerate(words)}
+        self.own, self.context = own, context
+        self.grams = np.zeros((GRAM_TABLE, own.shape[1]), dtype=np.float32)
+        if not words:
+            return
+        lists = [_grams(w) for w in words]
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = np.fromiter((g for x in lists for g in x), dtype=np.int64, count=int(size.sum()))
+        order = np.argsort(flat, kind="stable")
+        row = np.repeat(np.arange(len(lists)), size)[order]
+        flat = flat[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        used = flat[starts]
+        degree = np.diff(np.r_[starts, len(flat)]).astype(np.float32)[:, None]
+        norm = np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+        wanted = own / norm
+        word_starts = np.cumsum(size) - size
+        unsorted = np.fromiter((g for x in lists for g in x), dtype=np.int64, count=int(size.sum()))
+        for _ in range(10):  # n-grams so that the sum of a word's gives its vector: damped least squares
+            left = wanted - np.add.reduceat(self.grams[unsorted], word_starts, axis=0)
+            self.grams[used] += np.add.reduceat((left / size[:, None])[row], starts, axis=0) / degree
+        self.own = wanted.astype(np.float32)
+
+    def form(self, word: str) -> np.ndarray:
+        v = self.grams[_grams(word)].sum(axis=0)
+        return v / max(1e-9, float(np.linalg.norm(v)))
+
+    def alike(self, form: str, word: str) -> float:
+        i = self.at.get(word)
+        return 0.0 if i is None else float(self.own[i] @ self.form(form))
+
+    def fit(self, word: str, near: list[str]) -> float:
+        """How well a word fits the words around it."""
+        i, ids = self.at.get(word), [k for w in near if (k := self.at.get(w)) is not None]
+        return 0.0 if i is None or not ids else float(self.own[i] @ self.context[ids].mean(axis=0))
+
+
+def _add(m: np.ndarray, seen: np.ndarray, i: np.ndarray, step: np.ndarray, rate: float) -> None:
+    """Adds gradient steps to rows of m, each row's rate falling with what it has seen."""
+    order = np.argsort(i, kind="stable")
+    i = i[order]
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    total, rows = np.add.reduceat(step[order], starts, axis=0), i[starts]
+    seen[rows] += (total * total).mean(axis=1)
+    m[rows] += rate * total / np.sqrt(seen[rows] + 1e-8)[:, None]
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+
+
+def train_pairs(u: np.ndarray, v: np.ndarray, seen: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, drawn: np.ndarray, rng: np.random.Generator, rate: float = 0.1, batch: int = 8192) -> None:
+    """One pass of skip-gram with negative sampling over weighted pairs (word, context), in mini-batches; drawn are the
+    cumulated chances of negatives. Changes u (words) and v (contexts)."""
+    order = rng.permutation(len(x))
+    for s in range(0, len(order), batch):
+        i = order[s : s + batch]
+        a, b, n = x[i], y[i], w[i]
+        negatives = np.minimum(np.searchsorted(drawn, rng.random(SHARED)), len(drawn) - 1)
+        ua, vb, vn = u[a], v[b], v[negatives]
+        pull = ((1 - _squash((ua * vb).sum(axis=1))) * n)[:, None]
+        push = -_squash(ua @ vn.T) * (n * (NEGATIVES / SHARED))[:, None]
+        _add(u, seen[0], a, pull * vb + push @ vn, rate)
+        _add(v, seen[1], np.r_[b, negatives], np.r_[pull * ua, push.T @ ua], rate)
+
+
+def _skip_grams(rows: DataFrame, counts: dict[str, int]) -> SkipGrams:
+    """Skip-gram vectors of the dictionary, trained on all texts. In every round each task starts from the vectors of the
+    round before, trains on all pairs of neighbouring words within WINDOW of its texts, and hands on the vectors of the words
+    it has met; they are averaged by how often it met them. Only vectors are shuffled, never pairs."""
+    words = sorted(counts)
+    size = len(words)
+    if not size:
+        return SkipGrams([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32))
+    at = {w: i for i, w in enumerate(words)}
+    n = np.array([counts[w] for w in words], dtype=np.float64)
+    keep = np.minimum(1.0, np.sqrt(OFTEN / (n / n.sum()))).astype(np.float32)
+    drawn = np.cumsum(n**0.75) / (n**0.75).sum()
+    rng = np.random.default_rng(7)
+    u = ((rng.random((size, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
+    v = np.zeros((size, DIMENSIONS), dtype=np.float32)
+    context = rows.sparkSession.sparkContext
+    schema = pa.schema([("i", pa.int32()), ("n", pa.float32()), ("v", pa.list_(pa.float32()))])
+    for r in range(ROUNDS):
+        sent = context.broadcast((at, keep, drawn, u, v))
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, r=r) -> Iterator[pa.RecordBatch]:
+            at, keep, drawn, u, v = sent.value
+            u, v, size = u.copy(), v.copy(), len(u)
+            seen = (np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32))
+            met = np.zeros(size, dtype=np.float32)
+            own = np.random.default_rng((r, TaskContext.get().partitionId()))
+
+            def train(ids: list[int]) -> None:
+                a = np.array(ids, dtype=np.int64)
+                pairs = []
+                for d in range(1, WINDOW + 1):
+                    x, y = a[:-d], a[d:]
+                    ok = (x >= 0) & (y >= 0)
+                    pairs.append(np.where(x < y, x * size + y, y * size + x)[ok])
+                pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+                x, y = pair // size, pair % size
+                w = times.astype(np.float32) * keep[x] * keep[y]
+                met[:] += np.bincount(x, w, size) + np.bincount(y, w, size)
+                train_pairs(u, v, seen, np.r_[x, y], np.r_[y, x], np.r_[w, w], drawn, own)
+
+            held: list[int] = []
+            for b in batches:
+                for t in column(b, "t"):
+                    held += [at.get(w, -1) for w in _tokens(t)]
+                    held += (-1,) * WINDOW
+                if len(held) >= BUFFER:
+                    train(held)
+                    held = []
+            if held:
+                train(held)
+            used = np.flatnonzero(met)
+            for k in range(0, len(used), 5000):
+                part = used[k : k + 5000]
+                flat = pa.array((np.c_[u[part], v[part]] * met[part, None]).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(met[part]), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * 2 * DIMENSIONS), flat)], schema=schema)
+
+        parts = rows.select("t").mapInArrow(learn, "i int, n float, v array<float>")
+        got = parts.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(2 * DIMENSIONS))).toArrow()
+        if got.num_rows:
+            i, total = got.column("i").to_numpy(), got.column("n").to_numpy()
+            both = np.column_stack([got.column(f"v{k}").to_numpy() for k in range(2 * DIMENSIONS)]) / total[:, None]
+            u, v = u.copy(), v.copy()
+            u[i], v[i] = both[:, :DIMENSIONS], both[:, DIMENSIONS:]
+        sent.unpersist()
+    return SkipGrams(words, u, v)
+
+
 class ScanModel:
-    """What is known of a collection: its dictionary with skip-gram vectors, its compounds and the forms of its head lines."""
+    """What is known of a collection: its dictionary with skip-gram vectors, its compounds, the forms of its head lines, and
+    what each glyph edit costs. `alike` and `near` weigh the likeness of a form's vector and the fit to the words around."""
 
-    def __init__(self, counts: dict[str, int], compounds: frozenset[str], forms: frozenset[str], vectors: dict[str, np.ndarray]) -> None:
-        self.compounds, self.forms, self.vectors = compounds, forms, vectors
+    def __init__(self, counts: dict[str, int], compounds: frozenset[str], forms: frozenset[str], grams: SkipGrams | None = None, alike: float = 2.0, near: float = 1.0) -> None:
+        self.compounds, self.forms, self.grams, self.alike, self.near = compounds, forms, grams, alike, near
+        self.costs: dict[tuple[str, str], float] = {}
         self.by_strokes: dict[str, list[tuple[int, str]]] = {}
         for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
             self.by_strokes.setdefault(strokes(w), []).append((n, w))
         self.words: dict[str, int] = {}
         for own in self.by_strokes.values():
             for n, w in own:  # a frequent misreading is no word of the dictionary
-                least = 2 if re.search(r"[\d@]", w) and not re.search(r"[\d@]", own[0][1]) else RATIO
+                least = 2 if _SIGN.search(w) and not _SIGN.search(own[0][1]) else RATIO
                 if not any(m >= least * n and explain(v, w) for m, v in own if v != w):
                     self.words[w] = n
-        self._memo: dict[str, tuple[str, ...]] = {}
-
-    def candidates(self, seen: str) -> tuple[str, ...]:
-        """Dictionary words that a word outside the dictionary may have been, likeliest first."""
+        self.learn_costs({})
+
+    def learn_costs(self, seen: dict[tuple[str, str], int]) -> None:
+        """Costs of the glyph edits from how often each was met where a rare form has one frequent neighbour only."""
+        total = sum(seen.values())
+        self.costs = {e: float(np.log((total + len(CONFUSIONS)) / (seen.get(e, 0) + 1))) for e in CONFUSIONS}
+        readings: dict[str, list[tuple[float, str]]] = {}
+        for (a, b), cost in self.costs.items():
+            if len(a) == 1 and _SIGN.fullmatch(b):
+                readings.setdefault(b, []).append((cost, a))
+        self.signs = str.maketrans({b: min(x)[1] for b, x in readings.items()})
+        self._memo: dict[str, tuple[tuple[float, str], ...]] = {}
+
+    def candidates(self, seen: str) -> tuple[tuple[float, str], ...]:
+        """Frequent words that a form outside the dictionary may have been, with their scores: glyph edits are plausible and
+        cheap, the word is frequent and its vector like that of the form."""
         got = self._memo.get(seen)
         if got is None:
             if len(self._memo) > 300_000:
@@ -130,21 +335,26 @@ class ScanModel:
             found = []
             if seen not in self.words and not seen.isdigit():
                 for n, w in self.by_strokes.get(strokes(seen), ()):
-                    if w in self.words and w != seen and (cost := explain(w, seen)):
-                        found.append((cost, -n, w))
-            got = self._memo[seen] = tuple(w for _, _, w in sorted(found))
+                    if w in self.words and w != seen and (way := glyph_edits(w, seen, self.costs)) and way[1]:
+                        found.append((float(np.log(n)) - way[0], w))
+                if len(found) > 1 and self.grams is not None:
+                    found = [(s + self.alike * self.grams.alike(seen, w), w) for s, w in found]
+            got = self._memo[seen] = tuple(sorted(found, key=lambda x: (-x[0], x[1])))
         return got
 
     def best(self, seen: str, context: list[str]) -> str | None:
-        """The candidate that fits the words around it best; the likeliest one if the vectors don't tell."""
+        """The candidate with the best score, the fit to the words around it added."""
         found = self.candidates(seen)
-        if len(found) < 2:
-            return found[0] if found else None
-        near = [v for w in context if (v := self.vectors.get(w)) is not None]
-        if not near:
-            return found[0]
-        mean = np.sum(near, axis=0)
-        return max(found[:5], key=lambda w: (float(self.vectors[w] @ mean) if w in self.vectors else -1.0, -found.index(w)))
+        if len(found) < 2 or self.grams is None or not context:
+            return found[0][1] if found else None
+        return max(found, key=lambda x: (x[0] + self.near * self.grams.fit(x[1], context), x[1]))[1]
+
+    def edits(self, form: str, times: int) -> Iterator[tuple[tuple[str, str], int]]:
+        """The glyph edits of a rare form that has one frequent neighbour only."""
+        found = self.candidates(form)
+        if len(found) == 1:
+            for e in glyph_edits(found[0][1], form, self.costs)[1]:
+                yield e, times
 
 
 def _like(seen: str, right: str) -> str:
@@ -154,11 +364,19 @@ def _like(seen: str, right: str) -> str:
     return right[:1].upper() + right[1:] if seen[:1].isupper() else right
 
 
+_SIGN = re.compile(r"[\d@]")
+_LIGATURE = re.compile("[ﬀ-ﬆ]")
+_FIGURE = re.compile(r"\d+\w{0,3}|\w{0,2}\d+|\d+h\d+|[a-z]{1,3}\d+")
+_SIGN_INSIDE = re.compile(r"[^\W\d_](?:[0-9](?=[^\W\d_])|@)[^\W\d_]*")
+_NO_NAME = re.compile(r"[a-z]?\d.*")
+
+
 class Repair:
     """Repairs texts by a model. `kinds` of a result: hyphenation, misread, running_header, page_number."""
 
     def __init__(self, model: ScanModel) -> None:
         self.m = model
+        self._dull: set[str] = set()
 
     def _known(self, word: str) -> bool:
         w = unicodedata.normalize("NFKC", word.lower())
@@ -174,13 +392,11 @@ class Repair:
 
     def furniture(self, text: str, place: str | None) -> tuple[str, set[str], bool]:
         """The text without head lines and page numbers, which of them there were, and whether a head line was misread."""
-        if "\n" not in text:
-            return text, set(), False
         kinds: set[str] = set()
         misread = False
         kept = []
         for line in text.split("\n"):
-            if line.strip() and _NUMBER.match(line):
+            if _NUMBER.match(line) and line.strip():
                 kinds.add("page_number")
                 continue
             form = head_form(line, place)
@@ -216,41 +432,61 @@ class Repair:
                 return a + b
             return m.group()
 
-        if any(h in text for h in HYPHENS):
-            if "\n" in text:
-                text = _LINE_HYPHEN.sub(line_end, text)
-            text = _INNER_HYPHEN.sub(inner, text)
-            if "­" in text or "¬" in text:
-                soft = _SOFT.sub(r"\1\2", text)
-                found, text = found or soft != text, soft
+        if "\n" in text:
+            text = _LINE_HYPHEN.sub(line_end, text)
+        text = _INNER_HYPHEN.sub(inner, text)
+        if "­" in text or "¬" in text:
+            soft = _SOFT.sub(r"\1\2", text)
+            found, text = found or soft != text, soft
         return text, found
 
+    def _is_dull(self, w: str) -> bool:
+        """Whether a form is right, or nothing can be said of it, wherever it stands."""
+        if w in self.m.words or len(w) < 2 or w.isdigit():
+            return True
+        return not _LIGATURE.search(w) and not _SIGN.search(w) and not self.m.candidates(w)
+
     def misread_in(self, text: str, place: str | None = None) -> tuple[str, bool]:
         """The text with misread words put right, and whether there were any."""
+        left = set(_TOKEN.findall(text.lower())).difference(self.m.words)
+        names = {strokes(w): w for w in _WORD.findall(place.lower())} if place and left else {}
+        if len(self._dull) > 500_000:
+            self._dull.clear()
+        odd = False
+        for w in left:
+            if w in self._dull:
+                odd = odd or bool(names) and strokes(w) in names
+            elif self._is_dull(w):
+                self._dull.add(w)
+                odd = odd or bool(names) and strokes(w) in names
+            else:
+                odd = True
+        if not odd:
+            return text, False
         found = False
         tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-        low = [unicodedata.normalize("NFKC", w.lower()) for _, _, w in tokens]
-        names = {strokes(w): w for w in re.findall(r"[^\W_]+", place.lower())} if place else {}
+        low = [w.lower() if w.isascii() else unicodedata.normalize("NFKC", w.lower()) for _, _, w in tokens]
         out, at = [], 0
         for k, (i, e, raw) in enumerate(tokens):
             w = low[k]
             right = None
-            if w != raw.lower() and any(c in raw for c in "ﬁﬂﬀﬃﬄ"):
+            if not raw.isascii() and _LIGATURE.search(raw):
                 right = self.m.best(w, []) or w
             elif w in self.m.words or len(w) < 2 or w.isdigit():
                 continue
             elif "@" in raw and re.match(r"\.\w", text[e : e + 2]):
                 continue  # an address
-            elif re.fullmatch(r"\d+\w{0,3}|\w{0,2}\d+|\d+h\d+|[a-z]{1,3}\d+", w) and "@" not in w and not (len(w) > 2 and self.m.candidates(w)):
+            elif _SIGN.search(w) and _FIGURE.fullmatch(w) and not (len(w) > 2 and self.m.candidates(w)):
                 continue
             else:
-                own = names.get(strokes(w))
+                own = names.get(strokes(w)) if names else None
                 if own and own != w and explain(own, w):
                     right = own
                 else:
                     right = self.m.best(w, low[max(0, k - WINDOW) : k] + low[k + 1 : k + 1 + WINDOW])
-                if right is None and re.search(r"[^\W\d_](?:[0159](?=[^\W\d_])|@)[^\W\d_]*", w) and sum(map(str.isalpha, w)) >= 3 and not re.search(r"\d\d", w) and not re.fullmatch(r"[a-z]?\d.*", w):
-                    right = w.translate(str.maketrans("0159@", "olsga"))
+                if right is None and _SIGN_INSIDE.search(w) and sum(map(str.isalpha, w)) >= 3 and not re.search(r"\d\d", w) and not _NO_NAME.fullmatch(w):
+                    right = w.translate(self.m.signs)  # a name: no dictionary word, but signs within letters are none either
+                    right = None if right == w else right
             if right is None or right == w and raw.lower() == w:
                 continue
             found = True
@@ -261,8 +497,8 @@ class Repair:
 
     def __call__(self, text: str, place: str | None) -> tuple[str, list[str]]:
         """(repaired text, kinds of noise found). The text is reflowed only if it had noise."""
-        body, kinds, misread = self.furniture(text, place)
-        body, cut = self.hyphens(body)
+        body, kinds, misread = self.furniture(text, place) if "\n" in text else (text, set(), False)
+        body, cut = self.hyphens(body) if any(h in body for h in HYPHENS) else (body, False)
         body, wrong = self.misread_in(body, place)
         if cut:
             kinds.add("hyphenation")
@@ -274,113 +510,108 @@ class Repair:
         return "\n\n".join(p for p in paragraphs if p), sorted(kinds)
 
 
-def _count(df: DataFrame, of) -> DataFrame:
-    """(w, n) over all values that `of` finds in the rows (text, place) of df; counted in each task before they are shuffled."""
-    schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
+_WORD_KIND, _COMPOUND_KIND, _FORM_KIND, _LINES_KIND = 0, 1, 2, 3
+_SURVEY = pa.schema([("kind", pa.int8()), ("w", pa.string()), ("doc", pa.string()), ("n", pa.int64()), ("numbered", pa.int64())])
+
+
+def _survey(rows: DataFrame) -> DataFrame:
+    """(kind, w, doc, n, numbered) in one pass over the texts: words and compounds with their counts; forms of lines that
+    name the document's place, by document, with how many of them bear a page number; and the documents with line feeds.
+    Counted in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        compounds: Counter[str] = Counter()
+        forms: dict[tuple[str | None, str], list[int]] = {}
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-            seen.clear()
+            for kind, own in ((_WORD_KIND, words), (_COMPOUND_KIND, compounds)):
+                if own:
+                    k = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, dtype=np.int8)), pa.array(list(own), pa.string()), pa.nulls(k, pa.string()), pa.array(list(own.values()), pa.int64()), pa.array(np.zeros(k, dtype=np.int64))], schema=_SURVEY)
+                own.clear()
+            if forms:
+                k = len(forms)
+                w, d = zip(*forms)
+                n, numbered = zip(*forms.values())
+                yield pa.RecordBatch.from_arrays([pa.array([_LINES_KIND if x is None else _FORM_KIND for x in w], pa.int8()), pa.array(w, pa.string()), pa.array(d, pa.string()), pa.array(n, pa.int64()), pa.array(numbered, pa.int64())], schema=_SURVEY)
+            forms.clear()
 
         for b in batches:
-            for t, p in zip(column(b, "t"), column(b, "place")):
-                seen.update(of(t, p))
-            if len(seen) > 500_000:
+            for d, t, p in zip(column(b, "doc"), column(b, "t"), column(b, "place")):
+                words.update(_tokens(t))
+                if "-" in t or "‐" in t or "‑" in t:
+                    compounds.update(re.sub("[‐‑]", "-", c.lower()) for c in _COMPOUND.findall(t))
+                if d is not None and "\n" in t:
+                    forms.setdefault((None, d), [0, 0])
+                    for line in t.split("\n"):
+                        if (f := head_form(line, p)) is not None:
+                            own = forms.setdefault((f, d), [0, 0])
+                            own[0] += 1
+                            core = line.strip()
+                            own[1] += bool(_EDGE_FIRST.match(core) or _EDGE_LAST.search(core))
+            if len(words) + len(compounds) + len(forms) > 500_000:
                 yield from hand_on()
         yield from hand_on()
 
-    return df.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def _skip_grams(rows: DataFrame, words: list[str]) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the dictionary: every pair of neighbouring words within WINDOW adds the context word's random
-    direction; what chance adds is taken off, and vectors get length 1. One pass, one matrix a task, summed by word."""
-    at = {w: i for i, w in enumerate(words)}
-    rng = np.random.default_rng(7)
-    directions = rng.choice(np.array([-1, 1], dtype=np.float32), size=(len(words), DIMENSIONS))
-    schema = pa.schema([("i", pa.int32()), ("v", pa.list_(pa.float32()))])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(words), DIMENSIONS), dtype=np.float32)
-        for b in batches:
-            ids = [x for t in column(b, "t") for x in (*(at.get(w, -1) for w in _tokens(t)), *(-1,) * WINDOW)]
-            a = np.array(ids, dtype=np.int64)
-            for d in range(1, WINDOW + 1):
-                x, y = a[:-d], a[d:]
-                ok = (x >= 0) & (y >= 0)
-                pair, n = np.unique(x[ok] * len(words) + y[ok], return_counts=True)
-                x, y, n = pair // len(words), pair % len(words), n.astype(np.float32)[:, None]
-                np.add.at(total, x, directions[y] * n)
-                np.add.at(total, y, directions[x] * n)
-        used = np.flatnonzero(np.abs(total).sum(axis=1))
-        for k in range(0, len(used), 5000):
-            part = used[k : k + 5000]
-            flat = pa.array(total[part].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * DIMENSIONS), flat)], schema=schema)
-
-    parts = rows.select("t").mapInArrow(learn, "i int, v array<float>")
-    summed = parts.groupBy("i").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIMENSIONS))).toArrow()
-    if not summed.num_rows:
-        return {}
-    m = np.column_stack([summed.column(f"v{k}").to_numpy() for k in range(DIMENSIONS)])
-    mass = np.abs(m).sum(axis=1, keepdims=True)
-    m = m - mass * (m.sum(axis=0, keepdims=True) / max(1e-9, mass.sum()))
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    m = m.astype(np.float32)
-    return {words[i]: m[k] for k, i in enumerate(summed.column("i").to_pylist())}
+    seen = rows.select(F.col("doc").cast("string").alias("doc"), "t", "place").mapInArrow(run, "kind tinyint, w string, doc string, n bigint, numbered bigint")
+    return seen.groupBy("kind", "w", "doc").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"))
 
 
 def _rows(df: DataFrame, key: str, doc: str, text: str, place: str | None) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(doc).alias("doc"), F.col(text).alias("t"), (F.col(place) if place else F.lit(None)).cast("string").alias("place")).where("t is not null")
 
 
-def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name") -> ScanModel:
-    """A model of all texts of df. It keeps every word and compound with LEAST occurrences, so it grows with the vocabulary."""
+def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name", vectors: bool = True) -> ScanModel:
+    """A model of all texts of df: every word and compound with LEAST occurrences (so it grows with the vocabulary), the line
+    forms that name the place and recur within some document with page numbers or stand in many documents, skip-gram vectors,
+    and costs of glyph edits learnt from all rarer forms that have one frequent neighbour. No bound of it moves with the size
+    of the input."""
     rows = _rows(df, key, doc, text, place)
-    counted = cut(_count(rows, lambda t, p: [*_tokens(t), *("-" + c for c in map(str.lower, _COMPOUND.findall(t)))]))
-    kept = counted.where(F.col("n") >= LEAST).toArrow()
-    kept = dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
-    counts = {w: n for w, n in kept.items() if w[0] != "-"}
-    compounds = frozenset(re.sub("[‐‑]", "-", w[1:]) for w in kept if w[0] == "-")
-    forms_of = _head_forms(rows)
-    docs = rows.where(F.col("t").contains("\n")).select("doc").distinct().count()
-    forms = frozenset(r.form for r in forms_of.where(F.col("n") >= max(LEAST_FORM, FORM_SHARE * docs)).select("form").collect())
-    return ScanModel(counts, compounds, forms, _skip_grams(rows, sorted(counts)))
-
-
-def _head_forms(rows: DataFrame) -> DataFrame:
-    """(form, n) of lines that name the document's place: n documents that have it as a line of its own."""
-    schema = pa.schema([("doc", pa.string()), ("form", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    survey = cut(_survey(rows))
+    kept = survey.where((F.col("kind") <= _COMPOUND_KIND) & (F.col("n") >= LEAST)).select("kind", "w", "n").toArrow()
+    of: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    for kind, w, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "w", "n"))):
+        of[kind][w] = n
+    lines = survey.where(F.col("kind") == _FORM_KIND).groupBy("w").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"), F.max("n").alias("in_one"), F.count("*").alias("docs"))
+    paged = (F.col("in_one") > 1) & (F.col("numbered") >= NUMBERED) & (F.col("numbered") >= NUMBERED_SHARE * F.col("n"))
+    widespread = F.col("docs") >= max(LEAST_FORM, FORM_SHARE * survey.where(F.col("kind") == _LINES_KIND).count())
+    forms = lines.where(paged | widespread).select("w").toArrow()
+    model = ScanModel(of[0], frozenset(of[1]), frozenset(forms.column("w").to_pylist()), _skip_grams(rows, of[0]) if vectors else None)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, str]] = Counter()
         for b in batches:
-            out = []
-            for d, t, p in zip(column(b, "doc"), column(b, "t"), column(b, "place")):
-                out += [(d, f) for line in t.split("\n") if (f := head_form(line, p)) is not None]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*out)], schema=schema)
+            for w, n in zip(column(b, "w"), column(b, "n")):
+                for e, times in sent.value.edits(w, n):
+                    seen[e] += times
+        if seen:
+            a, b = zip(*seen)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
-    with_lines = rows.where(F.col("t").contains("\n") & F.col("place").isNotNull()).select(F.col("doc").cast("string").alias("doc"), "t", "place")
-    return with_lines.mapInArrow(run, "doc string, form string").distinct().groupBy("form").agg(F.count("*").alias("n"))
+    rare = survey.where((F.col("kind") == _WORD_KIND) & (F.col("n") < LEAST)).select("w", "n")
+    met = rare.mapInArrow(edits, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    model.learn_costs({(r.a, r.b): r.n for r in met})
+    return model
 
 
 def repaired(df: DataFrame, model: ScanModel, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name") -> DataFrame:
     """One row per row of df with a text: key, text as continuous paragraphs, word_count that fits it, and kinds of noise found.
 
-    Head lines and page numbers are taken out, words cut by a hyphen that is not their own are put together, and misread
-    words are replaced by the dictionary word that glyph confusions explain, of several the one whose skip-gram vector fits
-    the words around it. A text without noise stays as it is. Null texts are left out; empty ones have no kinds; without a
-    place no head line can be told. An empty table gives no rows.
+    Head lines and page numbers are taken out, words cut by a hyphen that is not their own are put together, and forms that are
+    no frequent word are replaced by the frequent word that plausible glyph edits explain; of several the one with the cheapest
+    edits, most occurrences, the vector most like that of the form (from its character n-grams) and the best fit to the words
+    around. A text without noise stays as it is. Null texts are left out; empty ones have no kinds; without a place no head line
+    can be told. An empty table gives no rows.
     """
     rows = _rows(df, key, doc, text, place).select("key", "t", "place")
     schema = rows.select("key", F.lit("").alias("text"), F.lit(0).cast("bigint").alias("word_count"), F.array().cast("array<string>").alias("kinds")).schema
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repair = Repair(model)
+        repair = Repair(sent.value)
         for b in batches:
             done = [repair(t, p) for t, p in zip(column(b, "t"), column(b, "place"))]
             texts = pa.array([t for t, _ in done], pa.string())

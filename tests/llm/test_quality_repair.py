@@ -94,7 +94,7 @@ def test_no_confusion():
 def model(place="Serra Nova"):
     words = "a prefeitura vai ampliar o conselho de saúde em parceria com as famílias e bem vindos mutirões pré natal governo".split()
     counts = dict.fromkeys(words, 100) | {"govemo": 3}
-    return ScanModel(counts, frozenset(["bem-vindos", "pré-natal"]), frozenset([head_form(f"Plano de Governo / {place}", place)]), {})
+    return ScanModel(counts, frozenset(["bem-vindos", "pré-natal"]), frozenset([head_form(f"Plano de Governo / {place}", place)]))
 
 
 @pytest.mark.parametrize(
