@@ -5,20 +5,33 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import broadcast_if_small, cut
-from .words import column, words_column
+from ..plans.lineage import broadcast_if_small, cut, small
+from .words import BatchWords, column, in_blocks, mix64
 
 #: Counters that a task keeps at most before it hands its summary on.
 COUNTERS = 500_000
 _SUMMARY = pa.schema([("source", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("error", pa.int64())])
 
 
-def _hash(words: Column) -> Column:
-    return F.xxhash64(F.array_join(words, " "))
+class _LineHashes:
+    """64-bit hashes of the words of lines, many lines at once."""
+
+    def __init__(self, least_words: int) -> None:
+        self.least, self.words_of = least_words, BatchWords()
+
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, whether the line has enough words)."""
+        codes, at = self.words_of(lines)
+        n = np.diff(at)
+        place = np.arange(len(codes), dtype=np.uint64) - np.repeat(at[:-1], n).astype(np.uint64)
+        mixed = np.r_[mix64(codes ^ mix64(place + np.uint64(1))), np.zeros(1, dtype=np.uint64)]
+        sums = np.add.reduceat(mixed, np.minimum(at[:-1], len(codes)))
+        return mix64(sums + n.astype(np.uint64)).view(np.int64), n >= max(1, self.least)
 
 
 def source_label(c: Column) -> Column:
@@ -40,6 +53,7 @@ class SiteLines:
     3. The candidates' documents are counted exactly in a second pass over the pairs.
     4. Confirmed lines number at most pairs / (share x documents) a source, whatever the size of the input; they are
        broadcast after their number has been checked, else joined.
+    What several steps read (pairs, sizes of sources, candidates, confirmed lines) is kept, not made again.
 
     Rows with null document or text have no lines; documents with null or blank source are left out. Rows delivered twice
     count once. Empty tables give no rows. Lines are told apart by a 64-bit hash of their words.
@@ -50,40 +64,73 @@ class SiteLines:
         self.rows = chunks.select(F.col(doc).alias("d"), F.col(key).alias("k"), F.col(text).alias("t")).where("d is not null")
         named = sources.select(F.col(source_doc).alias("d"), source_label(F.col(source)).alias("source")).where("d is not null and source <> ''")
         self.source_of = named.groupBy("d").agg(F.min("source").alias("source"))
-        lines = self._lines(self.rows)
-        pairs = cut(lines.select("d", "h").distinct().join(self.source_of, "d").select("source", "h"))
         docs = self.rows.select("d").distinct().join(self.source_of, "d").groupBy("source").agg(F.count("*").alias("docs"))
-        sizes = pairs.groupBy("source").agg(F.count("*").alias("pairs")).join(docs, "source")
+        pairs = cut(self._lines(self.rows).select("d", "h").distinct().join(self.source_of, "d").select("source", "h"))
+        sizes = cut(docs.join(pairs.groupBy("source").agg(F.count("*").alias("pairs")), "source"))
         need = sizes.agg(F.max(F.col("pairs") / (share * F.col("docs"))).alias("m")).first().m
         m = 2 * math.ceil(need or 1) + 16
-        summaries = pairs.mapInArrow(_summarise(m), "source string, h bigint, n bigint, error bigint")
-        errors = summaries.where("h is null").groupBy("source").agg(F.sum("error").alias("error"))
-        likely = summaries.where("h is not null").groupBy("source", "h").agg(F.sum("n").alias("n")).join(errors, "source", "left").join(docs, "source")
-        most = F.col("n") + F.coalesce("error", F.lit(0))
-        candidates = likely.where((most >= least_docs) & (most >= share * F.col("docs") - 1e-9)).select("source", "h")
-        exact = pairs.join(broadcast_if_small(candidates), ["source", "h"], "left_semi").groupBy("source", "h").agg(F.count("*").alias("line_docs")).join(docs, "source")
-        self.confirmed = exact.where((F.col("line_docs") >= least_docs) & (F.col("line_docs") >= share * F.col("docs") - 1e-9))
+        summed = cut(pairs.mapInArrow(_summarise(m), "source string, h bigint, n bigint, error bigint").groupBy("source", "h").agg(F.sum("n").alias("n"), F.sum("error").alias("error")))
+        lost = summed.where("h is null").select("source", F.col("error").alias("lost"))
+        likely = summed.where("h is not null").join(lost, "source", "left").join(sizes, "source")
+        most = F.col("n") + F.coalesce("lost", F.lit(0))
+        candidates = cut(likely.where((most >= least_docs) & (most >= share * F.col("docs") - 1e-9)).select("source", "h"))
+        exact = pairs.join(broadcast_if_small(candidates), ["source", "h"], "left_semi").groupBy("source", "h").agg(F.count("*").alias("line_docs")).join(sizes.select("source", "docs"), "source")
+        self.confirmed = cut(exact.where((F.col("line_docs") >= least_docs) & (F.col("line_docs") >= share * F.col("docs") - 1e-9)))
 
     def _lines(self, rows: DataFrame) -> DataFrame:
         """k, d, line_no and h of every line that is long enough."""
-        split = rows.where("t is not null").select("k", "d", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
-        return split.withColumn("w", words_column(F.col("line"))).where(F.size("w") >= self.least_words).select("k", "d", "line_no", _hash(F.col("w")).alias("h"), "line")
+        least = self.least_words
+        schema = rows.select("k", "d", F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("h")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _LineHashes(least)
+            for b in batches:
+                texts = column(b, "t")
+                for i, j in in_blocks(texts):
+                    split = [t.split("\n") for t in texts[i:j]]
+                    n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                    row = np.repeat(np.arange(i, j), n)
+                    line_no = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    h, ok = hashes([x for lines in split for x in lines])
+                    at = pa.array(row[ok])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line_no[ok]), pa.array(h[ok])], names=["k", "d", "line_no", "h"])
+
+        return rows.where("t is not null").select("k", "d", "t").mapInArrow(run, schema)
 
     def occurrences(self) -> DataFrame:
         """Every place of a confirmed line in its source: key, line_no, source, line_docs, docs."""
         sure = broadcast_if_small(self.confirmed)
         some = broadcast_if_small(self.confirmed.select("h").distinct())
-        hits = self._lines(self.rows).select("k", "d", "line_no", "h").join(some, "h", "left_semi").distinct()
+        hits = self._lines(self.rows).join(some, "h", "left_semi").distinct()
         found = hits.join(self.source_of, "d").join(sure, ["source", "h"])
-        return found.select(F.col("k").alias(self.key), F.col("line_no").cast("bigint").alias("line_no"), "source", "line_docs", "docs").distinct()
+        return found.select(F.col("k").alias(self.key), "line_no", "source", "line_docs", "docs").distinct()
 
     def cleaned(self) -> DataFrame:
-        """Every row with a document, without the confirmed lines of its source: key, text, lines_removed. Null texts stay null."""
-        sets = broadcast_if_small(self.confirmed.groupBy("source").agg(F.collect_set("h").alias("bad")), 10_000)
-        rows = self.rows.join(self.source_of, "d", "left").join(sets, "source", "left")
+        """Every row with a document, without the confirmed lines of its source: key, text, lines_removed. Null texts stay null.
+
+        The confirmed lines of a source are one array, at most 5 times (1 / share) the lines of a mean document; the
+        arrays are broadcast if all confirmed lines together are few, else joined.
+        """
+        sets = self.confirmed.groupBy("source").agg(F.collect_set("h").alias("bad"))
+        sets = F.broadcast(sets) if small(self.confirmed) else sets
+        least = self.least_words
+        schema = self.rows.select("k", "d", "t", F.array().cast("array<bigint>").alias("hs")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _LineHashes(least)
+            for b in batches:
+                texts = column(b, "t")
+                for i, j in in_blocks([t or "" for t in texts]):
+                    split = [t.split("\n") if t is not None else [] for t in texts[i:j]]
+                    n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                    h, ok = hashes([x for lines in split for x in lines])
+                    hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(h[: int(n.sum())], mask=~ok[: int(n.sum())]))
+                    part = b.slice(i, j - i)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hs], names=["k", "d", "t", "hs"])
+
+        rows = self.rows.select("k", "d", "t").mapInArrow(run, schema).join(self.source_of, "d", "left").join(sets, "source", "left")
         lines = F.split("t", "\n", -1)
-        words = lambda x: words_column(x)
-        keep = lambda x: ~((F.size(words(x)) >= self.least_words) & F.coalesce(F.array_contains(F.col("bad"), _hash(words(x))), F.lit(False)))
+        keep = lambda _, i: ~F.coalesce(F.array_contains(F.col("bad"), F.get(F.col("hs"), i)), F.lit(False))
         kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, keep))
         removed = F.when(F.col("t").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
         return rows.select(F.col("k").alias(self.key), F.when(F.col("t").isNotNull(), F.array_join(kept, "\n")).alias(self.text_name), removed.alias("lines_removed"))
