@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .words import column, emit
 
 #: 64 heavy terms to a bigint column; eight columns.
@@ -111,23 +112,30 @@ def term_frequencies(
         .agg(F.sum("n").alias("n"), *(F.bit_or(b).alias(b) for b in bits))
     )
 
-    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Light pairs and heavy counts pass as (term, tf, df); bit sets are counted, and documents under a null term."""
         exact = np.zeros(64 * wide, dtype=np.int64)
+        docs = 0
         for b in batches:
-            w = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(wide)]).astype("<i8")
+            kind = b.column(0).to_numpy()
+            sets = pa.array(kind == 1)
+            own = b.filter(sets)
+            docs += len(own)
+            w = np.column_stack([own.column(3 + i).to_numpy() for i in range(wide)]).astype("<i8")
             exact += np.unpackbits(w.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out = [(w, 0, int(exact[i])) for w, i in at.items() if exact[i]]
-        yield from emit(out, pa.schema([("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64())]))
-
-    per_doc = parts.where("kind = 1")
-    counted = (
-        parts.where("kind <> 1")
-        .select("term", F.col("n").alias("tf"), F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint").alias("df"))
-        .unionByName(per_doc.select(*bits).mapInArrow(documents_of, "term string, tf bigint, df bigint"))
+            rest = b.filter(pa.array(kind != 1))
+            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.array((kind[kind != 1] == 0).astype(np.int64))], schema=counts)
+        yield from emit([(None, 0, docs), *((w, 0, int(exact[i])) for w, i in at.items() if exact[i])], counts)
+
+    counts = pa.schema([("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64())])
+    # Kept, as it is small and the number of documents is read from it before the terms are.
+    counted = cut(
+        parts.select("kind", "term", "n", *bits)
+        .mapInArrow(unite, "term string, tf bigint, df bigint")
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
-    docs = per_doc.agg(F.count("*").alias("docs")).scalar()
-    return counted.withColumn("docs", docs).withColumn(
+    docs = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("docs")).first().docs
+    return counted.where("term is not null").withColumn("docs", F.lit(docs).cast("bigint")).withColumn(
         "mark", F.when(F.col("df") < rare_docs, F.lit("rare")).when(F.col("df") > common_share * F.col("docs"), F.lit("common"))
     )
