@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .words import column
+from .words import column, mix64
 
 # What a glyph is taken for by character recognition, (right, seen).
 CONFUSIONS = (
@@ -33,15 +34,16 @@ _TOKEN = re.compile(r"[^\W_]+(?:@[^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 _LINE_HYPHEN = re.compile(rf"([^\W\d_][^\W_]*(?:@[^\W_]+)*)[{HYPHENS}](\n)[^\S\n]*([^\W_]+(?:@[^\W_]+)*)")
 _INNER_HYPHEN = re.compile(rf"([^\W_]+(?:@[^\W_]+)*)[{HYPHENS}]([^\S\n]+)([^\W_]+(?:@[^\W_]+)*)")
+_LOOSE_HYPHEN = re.compile(rf"[{HYPHENS}]\s|[­¬]")
 _SOFT = re.compile(r"([^\W\d_]+)[­¬]([^\W\d_]+)")
 _NUMBER = re.compile(r"^[^\w\n]*(?:(?:p[áaà]g(?:ina)?|p|fls?|page|pg)\b\.?)?\s*[^\w\n.]*\s*(?:\d{1,4}(?:\s*/\s*\d{1,4})?|(?=[ivxl])(?:x{0,4}l?x{0,3}(?:ix|iv|v?i{0,3})))[^\w\n.]*$", re.I)
 _EDGE_FIRST = re.compile(r"^\s*\d{1,4}\s+(?=\S)")
 _EDGE_LAST = re.compile(r"\s+[|·•\-–—]\s*\d{1,4}\s*$")
 _WORD = re.compile(r"[^\W_]+")
 _STROKE_TABLE = str.maketrans(_STROKES)
-#: Words on either side that count as context, vector length, negative samples of a pair (shared by a mini-batch), rounds of
-#: training and averaging, and tokens whose pairs a task collects before it trains on them.
-WINDOW, DIMENSIONS, NEGATIVES, SHARED, ROUNDS, BUFFER = 4, 32, 5, 64, 2, 1_000_000
+#: Words on either side that count as context, vector length, negative samples of a pair, those that a mini-batch draws for all
+#: its pairs, tokens whose pairs a task collects before it trains on them, and types after which it hands on what it has.
+WINDOW, DIMENSIONS, NEGATIVES, SHARED, BUFFER, TYPES = 3, 32, 5, 64, 1_000_000, 500_000
 #: Frequent words weigh as if they were left out with the usual probability: all above this share of all occurrences.
 OFTEN = 1e-4
 #: Lengths of the character n-grams that give rare forms a vector, and the table they are hashed to.
@@ -120,13 +122,35 @@ def _tokens(text: str) -> list[str]:
     return [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in found]
 
 
+@lru_cache(10_000)
+def _names(place: str) -> dict[str, str]:
+    """The words of a place's name by their strokes, in order."""
+    return {strokes(w): w for w in _WORD.findall(place.lower())}
+
+
+@lru_cache(10_000)
+def _place_strokes(place: str) -> tuple[str, ...]:
+    return tuple(strokes(w) for w in _WORD.findall(place))
+
+
+def named_lines(text: str, place: str | None) -> list[tuple[str, bool]]:
+    """The lines of a text, and whether each may name the place, however misread."""
+    lines = text.split("\n")
+    where = _place_strokes(place) if place else ()
+    if where and where[0] in (shapes := strokes(text)):
+        shapes = shapes.split("\n")
+        if len(shapes) == len(lines):
+            return [(x, where[0] in y) for x, y in zip(lines, shapes)]
+    return [(x, False) for x in lines]
+
+
 def head_form(line: str, place: str | None) -> str | None:
     """The form of a line that may be a page's head line: page numbers off, the document's place and other names and
     numbers as signs, the rest in strokes so that misread ones have the same form. None if it has no place in it."""
     if not place or not 4 <= len(line) <= 120 or line.rstrip()[-1:] in tuple(".!?;…,"):
         return None
-    where = [strokes(w) for w in _WORD.findall(place)]
-    if not where or where[0] not in strokes(line):
+    where = list(_place_strokes(place))
+    if not where:
         return None
     core = _EDGE_LAST.sub("", _EDGE_FIRST.sub("", line.strip()))
     raw = _TOKEN.findall(core)
@@ -159,6 +183,9 @@ def _grams(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + n].encode()) % GRAM_TABLE for n in GRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode()) % GRAM_TABLE]
 
 
+_GAP = (-1,) * WINDOW
+
+
 class SkipGrams:
     """Vectors of the dictionary's words (as words and as context) and of character n-grams, which give any form a vector."""
 
@@ -229,71 +256,64 @@ def train_pairs(u: np.ndarray, v: np.ndarray, seen: tuple[np.ndarray, np.ndarray
         _add(v, seen[1], np.r_[b, negatives], np.r_[pull * ua, push.T @ ua], rate)
 
 
-def _skip_grams(rows: DataFrame, counts: dict[str, int]) -> SkipGrams:
-    """Skip-gram vectors of the dictionary, trained on all texts. In every round each task starts from the vectors of the
-    round before, trains on all pairs of neighbouring words within WINDOW of its texts, and hands on the vectors of the words
-    it has met; they are averaged by how often it met them. Only vectors are shuffled, never pairs."""
-    words = sorted(counts)
-    size = len(words)
-    if not size:
-        return SkipGrams([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32))
-    at = {w: i for i, w in enumerate(words)}
-    n = np.array([counts[w] for w in words], dtype=np.float64)
-    keep = np.minimum(1.0, np.sqrt(OFTEN / (n / n.sum()))).astype(np.float32)
-    drawn = np.cumsum(n**0.75) / (n**0.75).sum()
-    rng = np.random.default_rng(7)
-    u = ((rng.random((size, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
-    v = np.zeros((size, DIMENSIONS), dtype=np.float32)
-    context = rows.sparkSession.sparkContext
-    schema = pa.schema([("i", pa.int32()), ("n", pa.float32()), ("v", pa.list_(pa.float32()))])
-    for r in range(ROUNDS):
-        sent = context.broadcast((at, keep, drawn, u, v))
-
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent, r=r) -> Iterator[pa.RecordBatch]:
-            at, keep, drawn, u, v = sent.value
-            u, v, size = u.copy(), v.copy(), len(u)
-            seen = (np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32))
-            met = np.zeros(size, dtype=np.float32)
-            own = np.random.default_rng((r, TaskContext.get().partitionId()))
-
-            def train(ids: list[int]) -> None:
-                a = np.array(ids, dtype=np.int64)
-                pairs = []
-                for d in range(1, WINDOW + 1):
-                    x, y = a[:-d], a[d:]
-                    ok = (x >= 0) & (y >= 0)
-                    pairs.append(np.where(x < y, x * size + y, y * size + x)[ok])
-                pair, times = np.unique(np.concatenate(pairs), return_counts=True)
-                x, y = pair // size, pair % size
-                w = times.astype(np.float32) * keep[x] * keep[y]
-                met[:] += np.bincount(x, w, size) + np.bincount(y, w, size)
-                train_pairs(u, v, seen, np.r_[x, y], np.r_[y, x], np.r_[w, w], drawn, own)
-
-            held: list[int] = []
-            for b in batches:
-                for t in column(b, "t"):
-                    held += [at.get(w, -1) for w in _tokens(t)]
-                    held += (-1,) * WINDOW
-                if len(held) >= BUFFER:
-                    train(held)
-                    held = []
-            if held:
-                train(held)
-            used = np.flatnonzero(met)
-            for k in range(0, len(used), 5000):
-                part = used[k : k + 5000]
-                flat = pa.array((np.c_[u[part], v[part]] * met[part, None]).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(met[part]), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * 2 * DIMENSIONS), flat)], schema=schema)
-
-        parts = rows.select("t").mapInArrow(learn, "i int, n float, v array<float>")
-        got = parts.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(2 * DIMENSIONS))).toArrow()
-        if got.num_rows:
-            i, total = got.column("i").to_numpy(), got.column("n").to_numpy()
-            both = np.column_stack([got.column(f"v{k}").to_numpy() for k in range(2 * DIMENSIONS)]) / total[:, None]
-            u, v = u.copy(), v.copy()
-            u[i], v[i] = both[:, :DIMENSIONS], both[:, DIMENSIONS:]
-        sent.unpersist()
-    return SkipGrams(words, u, v)
+class _Trainer:
+    """Counts and skip-gram vectors of the words of one task, in one reading of its texts. A word's first vector follows from
+    its letters, so that all tasks start alike and their vectors can be averaged by word."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.at: dict[str, int] = {}
+        self.held: list[int] = []
+        self.n = np.zeros(0, dtype=np.int64)
+        self.u = self.v = np.zeros((0, DIMENSIONS), dtype=np.float32)
+        self.seen = (np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32))
+
+    def add(self, texts: list[str]) -> None:
+        place = self.at.setdefault
+        for t in texts:
+            self.held += [place(w, len(self.at)) for w in _tokens(t)]
+            self.held += _GAP
+        if len(self.held) >= BUFFER:
+            self.train()
+
+    def _grow(self) -> None:
+        old, size = len(self.n), len(self.at)
+        more = size - old
+        first = np.fromiter((zlib.crc32(w.encode()) for w in list(self.at)[old:]), dtype=np.uint64, count=more)
+        bits = mix64(first[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS, dtype=np.uint64))
+        fresh = ((bits >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - 0.5) / DIMENSIONS
+        self.u = np.concatenate([self.u, fresh])
+        self.v = np.concatenate([self.v, np.zeros((more, DIMENSIONS), dtype=np.float32)])
+        self.n = np.r_[self.n, np.zeros(more, dtype=np.int64)]
+        self.seen = tuple(np.r_[x, np.zeros(more, dtype=np.float32)] for x in self.seen)
+
+    def train(self) -> None:
+        self._grow()
+        a, size = np.array(self.held, dtype=np.int64), len(self.n)
+        self.held = []
+        words = a >= 0
+        self.n += np.bincount(a[words], minlength=size)
+        pairs = []
+        for d in range(1, WINDOW + 1):
+            ok = words[:-d] & words[d:]
+            x, y = a[:-d][ok], a[d:][ok]
+            pairs.append(np.minimum(x, y) * size + np.maximum(x, y))
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        x, y = pair // size, pair % size
+        keep = np.minimum(1.0, np.sqrt(OFTEN * self.n.sum() / np.maximum(self.n, 1))).astype(np.float32)
+        w = times.astype(np.float32) * keep[x] * keep[y]
+        drawn = np.cumsum(self.n**0.75)
+        train_pairs(self.u, self.v, self.seen, np.r_[x, y], np.r_[y, x], np.r_[w, w], drawn / drawn[-1], self.rng)
+
+    def hand_on(self) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(words, counts, vectors times counts), and a new start."""
+        if self.held:
+            self.train()
+        words = list(self.at)
+        for k in range(0, len(words), 5000):
+            n = self.n[k : k + 5000]
+            yield words[k : k + 5000], n, np.c_[self.u[k : k + 5000], self.v[k : k + 5000]] * n[:, None].astype(np.float32)
+        self.__init__(int(self.rng.integers(1 << 30)))
 
 
 class ScanModel:
@@ -376,7 +396,7 @@ class Repair:
 
     def __init__(self, model: ScanModel) -> None:
         self.m = model
-        self._dull: set[str] = set()
+        self._dull: dict[str, str] = {}
 
     def _known(self, word: str) -> bool:
         w = unicodedata.normalize("NFKC", word.lower())
@@ -395,11 +415,11 @@ class Repair:
         kinds: set[str] = set()
         misread = False
         kept = []
-        for line in text.split("\n"):
-            if _NUMBER.match(line) and line.strip():
+        for line, named in named_lines(text, place):
+            if len(line) <= 60 and _NUMBER.match(line) and line.strip():
                 kinds.add("page_number")
                 continue
-            form = head_form(line, place)
+            form = head_form(line, place) if named else None
             if form is not None and form in self.m.forms:
                 kinds.add("running_header")
                 core = line.strip()
@@ -432,6 +452,8 @@ class Repair:
                 return a + b
             return m.group()
 
+        if not _LOOSE_HYPHEN.search(text):
+            return text, False
         if "\n" in text:
             text = _LINE_HYPHEN.sub(line_end, text)
         text = _INNER_HYPHEN.sub(inner, text)
@@ -449,18 +471,23 @@ class Repair:
     def misread_in(self, text: str, place: str | None = None) -> tuple[str, bool]:
         """The text with misread words put right, and whether there were any."""
         left = set(_TOKEN.findall(text.lower())).difference(self.m.words)
-        names = {strokes(w): w for w in _WORD.findall(place.lower())} if place and left else {}
-        if len(self._dull) > 500_000:
-            self._dull.clear()
+        if not left:
+            return text, False
+        names = _names(place) if place else {}
+        dull = self._dull
+        if len(dull) > 500_000:
+            dull.clear()
         odd = False
         for w in left:
-            if w in self._dull:
-                odd = odd or bool(names) and strokes(w) in names
-            elif self._is_dull(w):
-                self._dull.add(w)
-                odd = odd or bool(names) and strokes(w) in names
-            else:
+            shape = dull.get(w)
+            if shape is None:
+                if not self._is_dull(w):
+                    odd = True
+                    break
+                shape = dull[w] = strokes(w)
+            if names.get(shape, w) != w:
                 odd = True
+                break
         if not odd:
             return text, False
         found = False
@@ -511,51 +538,63 @@ class Repair:
 
 
 _WORD_KIND, _COMPOUND_KIND, _FORM_KIND, _LINES_KIND = 0, 1, 2, 3
-_SURVEY = pa.schema([("kind", pa.int8()), ("w", pa.string()), ("doc", pa.string()), ("n", pa.int64()), ("numbered", pa.int64())])
+_SURVEY = pa.schema([("kind", pa.int8()), ("w", pa.string()), ("doc", pa.string()), ("n", pa.int64()), ("numbered", pa.int64()), ("v", pa.list_(pa.float32()))])
 
 
-def _survey(rows: DataFrame) -> DataFrame:
-    """(kind, w, doc, n, numbered) in one pass over the texts: words and compounds with their counts; forms of lines that
-    name the document's place, by document, with how many of them bear a page number; and the documents with line feeds.
-    Counted in each task before they are shuffled."""
+def _survey(rows: DataFrame, vectors: bool) -> DataFrame:
+    """(kind, w, doc, n, numbered, v) in one pass over the texts: words with their counts and skip-gram vectors, compounds with
+    their counts; forms of lines that name the document's place, by document, with how many of them bear a page number; and
+    the documents with line feeds. Counted and trained in each task before anything is shuffled; vectors are averaged by how
+    often each task met the word, those of words met once in a task count for nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        words = _Trainer(TaskContext.get().partitionId())
         compounds: Counter[str] = Counter()
         forms: dict[tuple[str | None, str], list[int]] = {}
 
+        def batch(kind: list[int], w: list, doc: list | None, n, numbered=None, v=None) -> pa.RecordBatch:
+            k = len(kind)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(w, pa.string()), pa.nulls(k, pa.string()) if doc is None else pa.array(doc, pa.string()), pa.array(n, pa.int64()), pa.array([0] * k if numbered is None else numbered, pa.int64()), pa.nulls(k, _SURVEY.field("v").type) if v is None else v], schema=_SURVEY)
+
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for kind, own in ((_WORD_KIND, words), (_COMPOUND_KIND, compounds)):
-                if own:
-                    k = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, dtype=np.int8)), pa.array(list(own), pa.string()), pa.nulls(k, pa.string()), pa.array(list(own.values()), pa.int64()), pa.array(np.zeros(k, dtype=np.int64))], schema=_SURVEY)
-                own.clear()
+            for w, n, v in words.hand_on():
+                several = np.r_[0, np.cumsum((n > 1) * v.shape[1])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(several), pa.array(v[n > 1].ravel())) if vectors else None
+                yield batch([_WORD_KIND] * len(w), w, None, n, v=lists)
+            if compounds:
+                yield batch([_COMPOUND_KIND] * len(compounds), list(compounds), None, list(compounds.values()))
             if forms:
-                k = len(forms)
                 w, d = zip(*forms)
                 n, numbered = zip(*forms.values())
-                yield pa.RecordBatch.from_arrays([pa.array([_LINES_KIND if x is None else _FORM_KIND for x in w], pa.int8()), pa.array(w, pa.string()), pa.array(d, pa.string()), pa.array(n, pa.int64()), pa.array(numbered, pa.int64())], schema=_SURVEY)
+                yield batch([_LINES_KIND if x is None else _FORM_KIND for x in w], list(w), list(d), list(n), list(numbered))
+            compounds.clear()
             forms.clear()
 
         for b in batches:
-            for d, t, p in zip(column(b, "doc"), column(b, "t"), column(b, "place")):
-                words.update(_tokens(t))
+            texts = column(b, "t")
+            words.add(texts)
+            for d, t, p in zip(column(b, "doc"), texts, column(b, "place")):
                 if "-" in t or "‐" in t or "‑" in t:
-                    compounds.update(re.sub("[‐‑]", "-", c.lower()) for c in _COMPOUND.findall(t))
-                if d is not None and "\n" in t:
+                    for piece in t.split():
+                        if "-" in piece or "‐" in piece or "‑" in piece:
+                            compounds.update(re.sub("[‐‑]", "-", c.lower()) for c in _COMPOUND.findall(piece))
+                if "\n" in t and d is not None:
                     forms.setdefault((None, d), [0, 0])
-                    for line in t.split("\n"):
-                        if (f := head_form(line, p)) is not None:
+                    for line, named in named_lines(t, p):
+                        if named and (f := head_form(line, p)) is not None:
                             own = forms.setdefault((f, d), [0, 0])
                             own[0] += 1
                             core = line.strip()
                             own[1] += bool(_EDGE_FIRST.match(core) or _EDGE_LAST.search(core))
-            if len(words) + len(compounds) + len(forms) > 500_000:
+            if len(words.at) + len(compounds) + len(forms) > TYPES:
                 yield from hand_on()
         yield from hand_on()
 
-    seen = rows.select(F.col("doc").cast("string").alias("doc"), "t", "place").mapInArrow(run, "kind tinyint, w string, doc string, n bigint, numbered bigint")
-    return seen.groupBy("kind", "w", "doc").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"))
+    seen = rows.select(F.col("doc").cast("string").alias("doc"), "t", "place").mapInArrow(run, "kind tinyint, w string, doc string, n bigint, numbered bigint, v array<float>")
+    some = F.size("v") > 0
+    sums = [F.sum(F.when(some, F.get("v", F.lit(k)))).cast("float").alias(f"v{k}") for k in range(2 * DIMENSIONS)] if vectors else []
+    merged = seen.groupBy("kind", "w", "doc").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"), F.sum(F.when(some, F.col("n"))).alias("trained"), *sums)
+    return merged.withColumn("v", F.when((F.col("kind") == _WORD_KIND) & (F.col("n") >= LEAST) & (F.col("trained") > 0), F.array(*(F.col(f"v{k}") / F.col("trained") for k in range(len(sums)))).cast("array<float>"))).drop("trained", *(f"v{k}" for k in range(len(sums))))
 
 
 def _rows(df: DataFrame, key: str, doc: str, text: str, place: str | None) -> DataFrame:
@@ -568,16 +607,19 @@ def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "
     and costs of glyph edits learnt from all rarer forms that have one frequent neighbour. No bound of it moves with the size
     of the input."""
     rows = _rows(df, key, doc, text, place)
-    survey = cut(_survey(rows))
-    kept = survey.where((F.col("kind") <= _COMPOUND_KIND) & (F.col("n") >= LEAST)).select("kind", "w", "n").toArrow()
+    survey = cut(_survey(rows, vectors))
+    kept = survey.where((F.col("kind") <= _COMPOUND_KIND) & (F.col("n") >= LEAST)).select("kind", "w", "n", "v").orderBy("kind", "w").toArrow()
     of: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for kind, w, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "w", "n"))):
         of[kind][w] = n
+    trained = kept.filter(kept.column("v").is_valid())
+    both = trained.column("v").combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIMENSIONS) if trained.num_rows else np.zeros((0, 2 * DIMENSIONS), np.float32)
+    grams = SkipGrams(trained.column("w").to_pylist(), both[:, :DIMENSIONS].copy(), both[:, DIMENSIONS:].copy()) if vectors else None
     lines = survey.where(F.col("kind") == _FORM_KIND).groupBy("w").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"), F.max("n").alias("in_one"), F.count("*").alias("docs"))
     paged = (F.col("in_one") > 1) & (F.col("numbered") >= NUMBERED) & (F.col("numbered") >= NUMBERED_SHARE * F.col("n"))
     widespread = F.col("docs") >= max(LEAST_FORM, FORM_SHARE * survey.where(F.col("kind") == _LINES_KIND).count())
     forms = lines.where(paged | widespread).select("w").toArrow()
-    model = ScanModel(of[0], frozenset(of[1]), frozenset(forms.column("w").to_pylist()), _skip_grams(rows, of[0]) if vectors else None)
+    model = ScanModel(of[0], frozenset(of[1]), frozenset(forms.column("w").to_pylist()), grams)
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
