@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ _STROKES = {
 HYPHENS = "-‐‑­¬"
 _TOKEN = re.compile(r"[^\W_]+(?:@[^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
-_LINE_HYPHEN = re.compile(rf"([^\W\d_][^\W_]*(?:@[^\W_]+)*)[{HYPHENS}](\n)[^\S\n]*([^\W_]+(?:@[^\W_]+)*)")
-_INNER_HYPHEN = re.compile(rf"([^\W_]+(?:@[^\W_]+)*)[{HYPHENS}]([^\S\n]+)([^\W_]+(?:@[^\W_]+)*)")
+_LINE_HYPHEN = re.compile(rf"[{HYPHENS}]\n[^\S\n]*(?=[^\W_])")
+_INNER_HYPHEN = re.compile(rf"[{HYPHENS}][^\S\n]+(?=[^\W_])")
+_LAST_TOKEN = re.compile(r"[^\W_]+(?:@[^\W_]+)*$")
 _LOOSE_HYPHEN = re.compile(rf"[{HYPHENS}]\s|[­¬]")
 _SOFT = re.compile(r"([^\W\d_]+)[­¬]([^\W\d_]+)")
 _NUMBER = re.compile(r"^[^\w\n]*(?:(?:p[áaà]g(?:ina)?|p|fls?|page|pg)\b\.?)?\s*[^\w\n.]*\s*(?:\d{1,4}(?:\s*/\s*\d{1,4})?|(?=[ivxl])(?:x{0,4}l?x{0,3}(?:ix|iv|v?i{0,3})))[^\w\n.]*$", re.I)
@@ -43,7 +46,7 @@ _WORD = re.compile(r"[^\W_]+")
 _STROKE_TABLE = str.maketrans(_STROKES)
 #: Words on either side that count as context, vector length, negative samples of a pair, those that a mini-batch draws for all
 #: its pairs, tokens whose pairs a task collects before it trains on them, and types after which it hands on what it has.
-WINDOW, DIMENSIONS, NEGATIVES, SHARED, BUFFER, TYPES = 3, 32, 5, 64, 1_000_000, 500_000
+WINDOW, DIMENSIONS, NEGATIVES, SHARED, BUFFER, TYPES = 3, 16, 5, 16, 1_000_000, 500_000
 #: Frequent words weigh as if they were left out with the usual probability: all above this share of all occurrences.
 OFTEN = 1e-4
 #: Lengths of the character n-grams that give rare forms a vector, and the table they are hashed to.
@@ -133,15 +136,52 @@ def _place_strokes(place: str) -> tuple[str, ...]:
     return tuple(strokes(w) for w in _WORD.findall(place))
 
 
+def _quick_tables() -> tuple[bytes, list[tuple[bytes, bytes]]]:
+    """Strokes of the signs of one byte, and those signs that have several strokes with them."""
+    one, several = bytearray(range(256)), []
+    for i in range(256):
+        low = chr(i).lower()
+        low = low if len(low) == 1 and ord(low) < 256 else chr(i)
+        to = _STROKES.get(low, low)
+        if len(to) == 1 and ord(to) < 256:
+            one[i] = ord(to)
+        else:
+            one[i] = ord(low)
+            several.append((low.encode("latin-1"), to.encode("latin-1")))
+    return bytes(one), sorted(set(several))
+
+
+_ONE, _SEVERAL = _quick_tables()
+_FAR = re.compile("[ﬀ-ﬆɡ]")
+
+
+def _quick_strokes(text: str) -> bytes | None:
+    """Strokes of a text in bytes, other signs than those of one byte alike; None where that could hide a confusion."""
+    if not text.isascii() and _FAR.search(text):
+        return None
+    out = text.encode("latin-1", "replace").translate(_ONE)
+    for sign, to in _SEVERAL:
+        out = out.replace(sign, to)
+    return out
+
+
+@lru_cache(10_000)
+def _place_bytes(place: str) -> bytes | None:
+    words = _WORD.findall(place)
+    return _quick_strokes(words[0]) if words else None
+
+
 def named_lines(text: str, place: str | None) -> list[tuple[str, bool]]:
     """The lines of a text, and whether each may name the place, however misread."""
     lines = text.split("\n")
-    where = _place_strokes(place) if place else ()
-    if where and where[0] in (shapes := strokes(text)):
-        shapes = shapes.split("\n")
-        if len(shapes) == len(lines):
-            return [(x, where[0] in y) for x, y in zip(lines, shapes)]
-    return [(x, False) for x in lines]
+    if not place or not _place_strokes(place):
+        return [(x, False) for x in lines]
+    where, shapes = _place_bytes(place), _quick_strokes(text)
+    if where is None or shapes is None:
+        return [(x, True) for x in lines]
+    if where not in shapes:
+        return [(x, False) for x in lines]
+    return [(x, where in y) for x, y in zip(lines, shapes.split(b"\n"))]
 
 
 def head_form(line: str, place: str | None) -> str | None:
@@ -183,7 +223,8 @@ def _grams(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + n].encode()) % GRAM_TABLE for n in GRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode()) % GRAM_TABLE]
 
 
-_GAP = (-1,) * WINDOW
+#: Stands between texts, as a piece of its own.
+_END = "\x00"
 
 
 class SkipGrams:
@@ -256,25 +297,44 @@ def train_pairs(u: np.ndarray, v: np.ndarray, seen: tuple[np.ndarray, np.ndarray
         _add(v, seen[1], np.r_[b, negatives], np.r_[pull * ua, push.T @ ua], rate)
 
 
+class _Numbers(dict):
+    """Numbers of values in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class _Trainer:
     """Counts and skip-gram vectors of the words of one task, in one reading of its texts. A word's first vector follows from
-    its letters, so that all tasks start alike and their vectors can be averaged by word."""
+    its letters, so that all tasks start alike and their vectors can be averaged by word. Texts are taken as pieces between
+    white space; what words a piece holds is looked up once for each different piece."""
 
     def __init__(self, seed: int) -> None:
         self.rng = np.random.default_rng(seed)
-        self.at: dict[str, int] = {}
-        self.held: list[int] = []
+        self.pieces, self.at = _Numbers(), _Numbers()
+        self.pieces[_END] = 0
+        self.met = np.zeros(0, dtype=np.int64)
+        self.flat, self.upto = [-1] * WINDOW, [0, WINDOW]
+        self.held: list[list[int]] = []
+        self.waiting = 0
         self.n = np.zeros(0, dtype=np.int64)
         self.u = self.v = np.zeros((0, DIMENSIONS), dtype=np.float32)
         self.seen = (np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32))
 
     def add(self, texts: list[str]) -> None:
-        place = self.at.setdefault
-        for t in texts:
-            self.held += [place(w, len(self.at)) for w in _tokens(t)]
-            self.held += _GAP
-        if len(self.held) >= BUFFER:
-            self.train()
+        for i in range(0, len(texts), 1000):
+            own = list(map(self.pieces.__getitem__, f" {_END} ".join(texts[i : i + 1000]).split()))
+            self.held += [own, [0]]
+            self.waiting += len(own)
+            if self.waiting >= BUFFER:
+                self.train()
+
+    def compounds(self) -> Iterator[tuple[str, int]]:
+        for piece, n in zip(self.pieces, self.met.tolist()):
+            if n and any(h in piece for h in "-‐‑"):
+                for c in _COMPOUND.findall(piece):
+                    yield re.sub("[‐‑]", "-", c.lower()), n
 
     def _grow(self) -> None:
         old, size = len(self.n), len(self.at)
@@ -288,15 +348,22 @@ class _Trainer:
         self.seen = tuple(np.r_[x, np.zeros(more, dtype=np.float32)] for x in self.seen)
 
     def train(self) -> None:
+        for piece in list(self.pieces)[len(self.upto) - 1 :]:
+            self.flat += map(self.at.__getitem__, _tokens(piece))
+            self.upto.append(len(self.flat))
         self._grow()
-        a, size = np.array(self.held, dtype=np.int64), len(self.n)
-        self.held = []
-        words = a >= 0
-        self.n += np.bincount(a[words], minlength=size)
+        own = np.fromiter(chain.from_iterable(self.held), dtype=np.int64, count=sum(map(len, self.held)))
+        self.held, self.waiting, size = [], 0, len(self.n)
+        self.met = np.r_[self.met, np.zeros(len(self.pieces) - len(self.met), dtype=np.int64)] + np.bincount(own, minlength=len(self.pieces))
+        flat, upto = np.array(self.flat, dtype=np.int64), np.array(self.upto, dtype=np.int64)
+        length = (upto[1:] - upto[:-1])[own]
+        a = flat[np.repeat(upto[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        self.n += np.bincount(a[a >= 0], minlength=size)
         pairs = []
         for d in range(1, WINDOW + 1):
-            ok = words[:-d] & words[d:]
-            x, y = a[:-d][ok], a[d:][ok]
+            x, y = a[:-d], a[d:]
+            ok = np.flatnonzero((x | y) >= 0)
+            x, y = x[ok], y[ok]
             pairs.append(np.minimum(x, y) * size + np.maximum(x, y))
         pair, times = np.unique(np.concatenate(pairs), return_counts=True)
         x, y = pair // size, pair % size
@@ -305,10 +372,12 @@ class _Trainer:
         drawn = np.cumsum(self.n**0.75)
         train_pairs(self.u, self.v, self.seen, np.r_[x, y], np.r_[y, x], np.r_[w, w], drawn / drawn[-1], self.rng)
 
-    def hand_on(self) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """(words, counts, vectors times counts), and a new start."""
+    def hand_on(self, compounds: Counter[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(words, counts, vectors times counts), and a new start; adds the compounds met."""
         if self.held:
             self.train()
+        for c, n in self.compounds():
+            compounds[c] += n
         words = list(self.at)
         for k in range(0, len(words), 5000):
             n = self.n[k : k + 5000]
@@ -396,7 +465,8 @@ class Repair:
 
     def __init__(self, model: ScanModel) -> None:
         self.m = model
-        self._dull: dict[str, str] = {}
+        self._right: set[str] = set()
+        self._dull: dict[str, list[tuple[str, str]]] = {}
 
     def _known(self, word: str) -> bool:
         w = unicodedata.normalize("NFKC", word.lower())
@@ -433,30 +503,37 @@ class Repair:
     def hyphens(self, text: str) -> tuple[str, bool]:
         """Words cut at a line end, or where one was, put together."""
         found = False
+        if not ("-" in text or "‐" in text or "‑" in text or "­" in text or "¬" in text) or not _LOOSE_HYPHEN.search(text):
+            return text, False
 
-        def line_end(m: re.Match) -> str:
-            nonlocal found
-            a, b = m.group(1), m.group(3)
+        def line_end(a: str, b: str, _: str) -> str | None:
+            if a[0].isdigit():
+                return None
             if not b[0].isalpha() and not b[0].isdigit() or self._own_hyphen(a, b) or b[0].isupper() and not a.isupper():
-                return f"{a}-{b}"
-            found = True
-            return a + b
+                return "-"
+            return ""
 
-        def inner(m: re.Match) -> str:
-            nonlocal found
-            a, b = m.group(1), m.group(3)
+        def inner(a: str, b: str, hyphen: str) -> str | None:
             if b[0].isupper() and not a.isupper() or a.isdigit() or self._own_hyphen(a, b):
-                return m.group()
-            if self._known(a + b) or m.group()[len(a)] in "­¬" or a[0].isupper() and a.lower() not in self.m.words and b.lower() not in self.m.words:
-                found = True
-                return a + b
-            return m.group()
-
-        if not _LOOSE_HYPHEN.search(text):
-            return text, False
-        if "\n" in text:
-            text = _LINE_HYPHEN.sub(line_end, text)
-        text = _INNER_HYPHEN.sub(inner, text)
+                return None
+            if self._known(a + b) or hyphen in "­¬" or a[0].isupper() and a.lower() not in self.m.words and b.lower() not in self.m.words:
+                return ""
+            return None
+
+        for pattern, decide in ((_LINE_HYPHEN, line_end), (_INNER_HYPHEN, inner)):
+            out, at, free = [], 0, 0
+            for m in pattern.finditer(text):
+                a = _LAST_TOKEN.search(text, max(free, m.start() - 200), m.start())
+                if a is None:
+                    continue
+                b = _TOKEN.match(text, m.end())
+                put = decide(a.group(), b.group(), m.group()[0])
+                free = b.end()
+                if put is not None:
+                    found = found or not put
+                    out += [text[at : m.start()], put]
+                    at = m.end()
+            text = "".join(out) + text[at:]
         if "­" in text or "¬" in text:
             soft = _SOFT.sub(r"\1\2", text)
             found, text = found or soft != text, soft
@@ -466,42 +543,51 @@ class Repair:
         """Whether a form is right, or nothing can be said of it, wherever it stands."""
         if w in self.m.words or len(w) < 2 or w.isdigit():
             return True
-        return not _LIGATURE.search(w) and not _SIGN.search(w) and not self.m.candidates(w)
+        return not _SIGN.search(w) and not self.m.candidates(w)
 
     def misread_in(self, text: str, place: str | None = None) -> tuple[str, bool]:
         """The text with misread words put right, and whether there were any."""
-        left = set(_TOKEN.findall(text.lower())).difference(self.m.words)
+        left = set(text.split()).difference(self._right)
         if not left:
             return text, False
         names = _names(place) if place else {}
-        dull = self._dull
-        if len(dull) > 500_000:
-            dull.clear()
+        if len(self._dull) + len(self._right) > 500_000:
+            self._dull.clear()
+            self._right.clear()
         odd = False
-        for w in left:
-            shape = dull.get(w)
-            if shape is None:
-                if not self._is_dull(w):
+        for piece in left:
+            shapes = self._dull.get(piece)
+            if shapes is None:
+                words = [w for w in _tokens(piece) if w not in self.m.words]
+                if not words and not _LIGATURE.search(piece):
+                    self._right.add(piece)
+                    continue
+                if _LIGATURE.search(piece) or not all(map(self._is_dull, words)):
                     odd = True
                     break
-                shape = dull[w] = strokes(w)
-            if names.get(shape, w) != w:
+                shapes = self._dull[piece] = [(strokes(w), w) for w in words]
+            if names and any(names.get(shape, w) != w for shape, w in shapes):
                 odd = True
                 break
         if not odd:
             return text, False
         found = False
-        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-        low = [w.lower() if w.isascii() else unicodedata.normalize("NFKC", w.lower()) for _, _, w in tokens]
+        known = self.m.words
+        around: list[tuple[int, str]] = []
         out, at = [], 0
-        for k, (i, e, raw) in enumerate(tokens):
-            w = low[k]
+        for m in _TOKEN.finditer(text):
+            raw = m.group()
+            w = raw.lower()
+            if w in known or len(w) < 2 or w.isdigit():
+                continue
             right = None
+            if not w.isascii():
+                w = unicodedata.normalize("NFKC", w)
             if not raw.isascii() and _LIGATURE.search(raw):
                 right = self.m.best(w, []) or w
-            elif w in self.m.words or len(w) < 2 or w.isdigit():
+            elif w in known:
                 continue
-            elif "@" in raw and re.match(r"\.\w", text[e : e + 2]):
+            elif "@" in raw and re.match(r"\.\w", text[m.end() : m.end() + 2]):
                 continue  # an address
             elif _SIGN.search(w) and _FIGURE.fullmatch(w) and not (len(w) > 2 and self.m.candidates(w)):
                 continue
@@ -509,23 +595,27 @@ class Repair:
                 own = names.get(strokes(w)) if names else None
                 if own and own != w and explain(own, w):
                     right = own
+                elif len(found_for := self.m.candidates(w)) > 1:
+                    around = around or [(x.start(), x.group()) for x in _TOKEN.finditer(text.lower())]
+                    k = bisect_left(around, (m.start(),))
+                    right = self.m.best(w, [x for _, x in (*around[max(0, k - WINDOW) : k], *around[k + 1 : k + 1 + WINDOW])])
                 else:
-                    right = self.m.best(w, low[max(0, k - WINDOW) : k] + low[k + 1 : k + 1 + WINDOW])
+                    right = found_for[0][1] if found_for else None
                 if right is None and _SIGN_INSIDE.search(w) and sum(map(str.isalpha, w)) >= 3 and not re.search(r"\d\d", w) and not _NO_NAME.fullmatch(w):
                     right = w.translate(self.m.signs)  # a name: no dictionary word, but signs within letters are none either
                     right = None if right == w else right
             if right is None or right == w and raw.lower() == w:
                 continue
             found = True
-            out.append(text[at:i])
+            out.append(text[at : m.start()])
             out.append(_like(raw, right))
-            at = e
+            at = m.end()
         return ("".join(out) + text[at:], True) if found else (text, False)
 
     def __call__(self, text: str, place: str | None) -> tuple[str, list[str]]:
         """(repaired text, kinds of noise found). The text is reflowed only if it had noise."""
         body, kinds, misread = self.furniture(text, place) if "\n" in text else (text, set(), False)
-        body, cut = self.hyphens(body) if any(h in body for h in HYPHENS) else (body, False)
+        body, cut = self.hyphens(body)
         body, wrong = self.misread_in(body, place)
         if cut:
             kinds.add("hyphenation")
@@ -549,7 +639,6 @@ def _survey(rows: DataFrame, vectors: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Trainer(TaskContext.get().partitionId())
-        compounds: Counter[str] = Counter()
         forms: dict[tuple[str | None, str], list[int]] = {}
 
         def batch(kind: list[int], w: list, doc: list | None, n, numbered=None, v=None) -> pa.RecordBatch:
@@ -557,7 +646,8 @@ def _survey(rows: DataFrame, vectors: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(w, pa.string()), pa.nulls(k, pa.string()) if doc is None else pa.array(doc, pa.string()), pa.array(n, pa.int64()), pa.array([0] * k if numbered is None else numbered, pa.int64()), pa.nulls(k, _SURVEY.field("v").type) if v is None else v], schema=_SURVEY)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for w, n, v in words.hand_on():
+            compounds: Counter[str] = Counter()
+            for w, n, v in words.hand_on(compounds):
                 several = np.r_[0, np.cumsum((n > 1) * v.shape[1])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(several), pa.array(v[n > 1].ravel())) if vectors else None
                 yield batch([_WORD_KIND] * len(w), w, None, n, v=lists)
@@ -567,17 +657,12 @@ def _survey(rows: DataFrame, vectors: bool) -> DataFrame:
                 w, d = zip(*forms)
                 n, numbered = zip(*forms.values())
                 yield batch([_LINES_KIND if x is None else _FORM_KIND for x in w], list(w), list(d), list(n), list(numbered))
-            compounds.clear()
             forms.clear()
 
         for b in batches:
             texts = column(b, "t")
             words.add(texts)
             for d, t, p in zip(column(b, "doc"), texts, column(b, "place")):
-                if "-" in t or "‐" in t or "‑" in t:
-                    for piece in t.split():
-                        if "-" in piece or "‐" in piece or "‑" in piece:
-                            compounds.update(re.sub("[‐‑]", "-", c.lower()) for c in _COMPOUND.findall(piece))
                 if "\n" in t and d is not None:
                     forms.setdefault((None, d), [0, 0])
                     for line, named in named_lines(t, p):
@@ -586,7 +671,7 @@ def _survey(rows: DataFrame, vectors: bool) -> DataFrame:
                             own[0] += 1
                             core = line.strip()
                             own[1] += bool(_EDGE_FIRST.match(core) or _EDGE_LAST.search(core))
-            if len(words.at) + len(compounds) + len(forms) > TYPES:
+            if len(words.pieces) + len(forms) > TYPES:
                 yield from hand_on()
         yield from hand_on()
 
@@ -639,25 +724,29 @@ def fit(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "
     return model
 
 
-def repaired(df: DataFrame, model: ScanModel, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name") -> DataFrame:
+def repaired(df: DataFrame, model: ScanModel, key: str = "chunk_id", doc: str = "doc_id", text: str = "chunk_text", place: str | None = "municipality_name", with_text: bool = True) -> DataFrame:
     """One row per row of df with a text: key, text as continuous paragraphs, word_count that fits it, and kinds of noise found.
 
     Head lines and page numbers are taken out, words cut by a hyphen that is not their own are put together, and forms that are
     no frequent word are replaced by the frequent word that plausible glyph edits explain; of several the one with the cheapest
     edits, most occurrences, the vector most like that of the form (from its character n-grams) and the best fit to the words
     around. A text without noise stays as it is. Null texts are left out; empty ones have no kinds; without a place no head line
-    can be told. An empty table gives no rows.
+    can be told. An empty table gives no rows. Without with_text only key and kinds are handed on.
     """
     rows = _rows(df, key, doc, text, place).select("key", "t", "place")
-    schema = rows.select("key", F.lit("").alias("text"), F.lit(0).cast("bigint").alias("word_count"), F.array().cast("array<string>").alias("kinds")).schema
+    schema = rows.select("key", F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("kinds")).schema
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repair(sent.value)
         for b in batches:
-            done = [repair(t, p) for t, p in zip(column(b, "t"), column(b, "place"))]
-            texts = pa.array([t for t, _ in done], pa.string())
-            count = pa.array([len(t.split()) for t, _ in done], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), texts, count, pa.array([k for _, k in done], pa.list_(pa.string()))], names=["key", "text", "word_count", "kinds"])
-
-    return rows.mapInArrow(run, schema).select(F.col("key").alias(key), F.col("text").alias(text), "word_count", "kinds")
+            texts, kinds = [], []
+            for t, p in zip(column(b, "t"), column(b, "place")):
+                own, found = repair(t, p)
+                texts.append(own if with_text else None)
+                kinds.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=["key", "text", "kinds"])
+
+    done = rows.mapInArrow(run, schema)
+    words = F.regexp_count("text", F.lit(r"[^\s\p{Z}\x1c-\x1f\x85]+")).cast("bigint")
+    return done.select(F.col("key").alias(key), *([F.col("text").alias(text), words.alias("word_count")] if with_text else []), "kinds")
