@@ -22,7 +22,8 @@ CODE = tuple(f"g{i}" for i in range(WORDS))
 #: Rows of one index node that a task takes at a time; larger nodes are split over tasks.
 BLOCK = 20_000
 LEAF = 32
-#: Copies of one text beyond this number are linked to their representative instead of to each other.
+#: Copies of one text beyond this number are linked to their representative instead of to each other, unless the caller asks
+#: for all pairs.
 COPIES_SPELLED_OUT = 100
 
 _rng = np.random.default_rng(20_240_601)
@@ -445,18 +446,20 @@ class NearDuplicates:
 
         return beside.select("ra", "rb", "ca", "cb").mapInArrow(verify, "ra bigint, rb bigint, similarity double")
 
-    def pairs(self) -> DataFrame:
-        """corpus, doc_a, doc_b (doc_a < doc_b): all pairs of alike documents; of a text that more than
-        COPIES_SPELLED_OUT documents have, only the first document, to which its copies are linked."""
+    def pairs(self, copies: float | None = None) -> DataFrame:
+        """corpus, doc_a, doc_b (doc_a < doc_b): all pairs of alike documents; of a text that more than `copies` documents
+        have (COPIES_SPELLED_OUT unless given), only the first document, to which its copies are linked. With math.inf all
+        pairs of copies come as well."""
         m = self.members
+        copies = COPIES_SPELLED_OUT if copies is None else min(copies, 2**62)
         classes = m.groupBy("corpus", "ref").agg(F.count("*").alias("copies"), F.min("doc").alias("first"))
         several = m.join(classes.where("copies > 1"), ["corpus", "ref"])
-        few = several.where(F.col("copies") <= COPIES_SPELLED_OUT).select("corpus", "ref", "doc")
-        star = several.where((F.col("copies") > COPIES_SPELLED_OUT) & (F.col("doc") > F.col("first"))).select("corpus", F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"))
+        few = several.where(F.col("copies") <= copies).select("corpus", "ref", "doc")
+        star = several.where((F.col("copies") > copies) & (F.col("doc") > F.col("first"))).select("corpus", F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"))
         equal = few.withColumnRenamed("doc", "doc_a").join(few.withColumnRenamed("doc", "doc_b"), ["corpus", "ref"]).where("doc_a < doc_b").select("corpus", "doc_a", "doc_b")
         links = cut(self.links().select("ra", "rb"))
         linked = links.select(F.col("ra").alias("ref")).unionByName(links.select(F.col("rb").alias("ref"))).distinct()
-        own = m.join(linked, "ref", "left_semi").join(classes, ["corpus", "ref"]).where((F.col("copies") <= COPIES_SPELLED_OUT) | (F.col("doc") == F.col("first"))).select("corpus", "ref", "doc")
+        own = m.join(linked, "ref", "left_semi").join(classes, ["corpus", "ref"]).where((F.col("copies") <= copies) | (F.col("doc") == F.col("first"))).select("corpus", "ref", "doc")
         crossed = links.join(own.select("corpus", F.col("ref").alias("ra"), F.col("doc").alias("x")), "ra").join(own.select("corpus", F.col("ref").alias("rb"), F.col("doc").alias("y")), ["corpus", "rb"])
         between = crossed.where("x <> y").select("corpus", F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
         return equal.unionByName(star).unionByName(between).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..sources.tables import table
 from .distinct_terms import term_distinctiveness, top_terms
 from .frequency import term_frequencies
 from .leakage import leak_report, leaked_passages
-from .mixing import SourceMix
+from .mixing import TOKENIZER, SourceMix
 from .neardup import NearDuplicates, pieces_of
 from .quality import text_quality
 from .quota_sample import TargetSample
@@ -67,7 +68,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d).report().select("dimension", "stance", "available", "required", "short")
+    return _sample(spark, d).report().select("dimension", "stance", "available", "required", "drawn", "short")
+
+
+def p4_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """What the rows of the sample add up to, by cell."""
+    return _sample(spark, d).rows().groupBy("dimension", "stance").agg(F.count("*").alias("drawn"), F.max("rank").cast("bigint").alias("last_rank"), F.count_if(F.col("rule") == "floor").alias("by_floor"))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -86,13 +92,13 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).cleaned().distinct()
 
 
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
+def _repaired(spark: SparkSession, d: str, **more) -> DataFrame:
     chunks = table(spark, d, BR)
-    return repaired(chunks, fit(chunks))
+    return repaired(chunks, fit(chunks), **more)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repaired(spark, d).select("chunk_id", F.explode("kinds").alias("kind")).distinct()
+    return _repaired(spark, d, with_text=False).select("chunk_id", F.explode("kinds").alias("kind")).distinct()
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +133,8 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str, **more) -> SourceMix:
-    return SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), **more)
+    """Sizes in tokens if the driver has the vocabulary, else in pieces between white space, for all tasks alike."""
+    return SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER if os.path.exists(TOKENIZER) else None, **more)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +163,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_term_frequencies, p2_found, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_sample, p5_found, p5_cleaned, p6_found, p6_repaired,
+        p1_found, p1_term_frequencies, p2_found, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_drawn, p4_sample, p5_found, p5_cleaned, p6_found, p6_repaired,
         p7_found, p7_residuals, p8_found, p8_leaked_items, p9_found, p9_report, p9_mix, p10_found, p10_statistics,
     )
     return {f.__name__: f for f in own}
@@ -192,6 +199,14 @@ r AS (SELECT t.dimension, t.stance, coalesce(a.k, 0) AS available, CAST(greatest
       FROM stance_targets t CROSS JOIN n LEFT JOIN a ON a.s = (lower(trim(t.dimension, ' \t')), lower(trim(t.stance, ' \t'))))
 """
 
+# Seats by the divisor method, every rank of a cell spelled out: the minimum first, then the smallest priorities.
+_SEATS = _CELLS + """, c AS (SELECT t.dimension, t.stance, row_number() OVER (ORDER BY lower(trim(t.dimension, ' \t')), lower(trim(t.stance, ' \t'))) AS cell, coalesce(a.k, 0) AS k, t.min_rows AS m, t.target_permille AS p
+      FROM stance_targets t LEFT JOIN a ON a.s = (lower(trim(t.dimension, ' \t')), lower(trim(t.stance, ' \t')))),
+q AS (SELECT *, unnest(range(1, k + 1)) AS rank FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY rank > m, CASE WHEN rank > m THEN (rank - 0.5) / p ELSE 0 END, cell) AS place FROM q WHERE p > 0 OR rank <= m),
+d AS (SELECT dimension, stance, count(*) AS drawn, max(rank) AS last_rank, count(*) FILTER (WHERE rank <= m) AS by_floor FROM o, n WHERE place <= n.n GROUP BY 1, 2)
+"""
+
 _LINES = """
 WITH p AS (SELECT platform_id AS doc_id, min(upper(trim(party))) AS party FROM platform_party_map WHERE trim(party) <> '' GROUP BY 1),
 c AS (SELECT DISTINCT b.doc_id, b.chunk_id, b.chunk_text, p.party FROM br_manifestos_chunks_sent b JOIN p USING (doc_id)),
@@ -235,7 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_term_frequencies": _TERMS + "SELECT term, tf, df, docs, mark FROM m",
         "p3_found": _SIMILAR,
         "p4_found": _CELLS + "SELECT dimension, stance FROM r WHERE available < required",
-        "p4_report": _CELLS + "SELECT dimension, stance, available, required, available < required AS short FROM r",
+        "p4_report": _SEATS + "SELECT dimension, stance, available, required, coalesce(drawn, 0) AS drawn, available < required AS short FROM r LEFT JOIN d USING (dimension, stance)",
+        "p4_drawn": _SEATS + "SELECT * FROM d",
         "p5_found": _LINES,
         "p7_found": _TOPIC_TERMS + "SELECT topic, term FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 5",
         "p7_residuals": _TOPIC_TERMS + "SELECT topic, term, a AS documents, d AS documents_all, round((a - r * d / n) / sqrt(r * d / n), 6) AS residual, CASE WHEN (1 - r / n) * (1 - d / n) > 0 THEN round((a - r * d / n) / sqrt(r * d / n * (1 - r / n) * (1 - d / n)), 6) END AS adjusted, weight FROM s",

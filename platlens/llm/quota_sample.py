@@ -60,7 +60,7 @@ class TargetSample:
     (rank - 1/2) / target; the first min_rows of a cell go before all priorities, and the globally smallest priorities
     fill the rest, so that the seats of exhausted cells go to the others. As priorities depend on ranks alone, the
     threshold follows from the counts of the cells, and no row is sorted globally. Ranks are made by hash bucket: bucket
-    counts give each bucket's first rank, rows are sorted only within the one bucket of a cell that its last seat is in.
+    counts give each bucket's first rank, and rows are sorted within the buckets of a cell that hold one of its seats.
 
     Repeated target cells add up their permilles and keep the larger minimum. Empty tables give an empty sample.
     """
@@ -89,12 +89,13 @@ class TargetSample:
 
     def report(self) -> DataFrame:
         """One row per target cell: dims as the targets spell them, target_permille, min_rows, available, required (the larger
-        of the minimum and the target share, rounded up), drawn, short (available < required), share_permille reached."""
+        of the minimum and the target share, rounded up), drawn, short, share_permille reached. A cell is short if its seats
+        stay below what is required of it in a divisor run that puts the required records first and has seats for them."""
+        required = [int(max(r.m, -(-r.p * self.size // 1000))) for r in self._cells]
+        reached = seats([(self._available.get(i, 0), q, float(r.p)) for i, (r, q) in enumerate(zip(self._cells, required))], max(self.size, sum(required)))
         rows = []
-        for i, (r, s) in enumerate(zip(self._cells, self.seats)):
-            required = max(r.m, -(-r.p * self.size // 1000))
-            n = self._available.get(i, 0)
-            rows.append((*(r[f"d{k}"] for k in range(len(self.dims))), int(r.p), int(r.m), n, int(required), s, n < required, 1000.0 * s / self.size if self.size else 0.0))
+        for i, (r, s, q, most) in enumerate(zip(self._cells, self.seats, required, reached)):
+            rows.append((*(r[f"d{k}"] for k in range(len(self.dims))), int(r.p), int(r.m), self._available.get(i, 0), q, s, most < q, 1000.0 * s / self.size if self.size else 0.0))
         schema = ", ".join(f"{d} string" for d in self.dims) + ", target_permille bigint, min_rows bigint, available bigint, required bigint, drawn bigint, short boolean, share_permille double"
         return self.usable.sparkSession.createDataFrame(rows, schema)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -133,10 +134,13 @@ def _quotations(text: str) -> list[tuple[int, int]]:
     n = len(text)
     for o, cs in PAIRS.items():
         i = text.find(o)
-        while i >= 0:
-            js = [j for c in cs if (j := text.find(c, i + 1)) > 0]
-            if js:
-                out.append((i, min(js)))
+        ends = dict.fromkeys(cs, -1)
+        while i >= 0 and ends:
+            for c in list(ends):
+                if ends[c] <= i and (ends.update({c: text.find(c, i + 1)}) or ends[c] < 0):
+                    del ends[c]  # it does not occur any more
+            if ends:
+                out.append((i, min(ends.values())))
             i = text.find(o, i + 1)
     at = [i for i, c in enumerate(text) if c == '"']
     out += zip(at[::2], at[1::2])
@@ -147,9 +151,10 @@ def _quotations(text: str) -> list[tuple[int, int]]:
                 j = text.find(c, i + 1)
                 while j >= 0 and (j + 1 < n and text[j + 1].isalnum() or text[j - 1].isspace()):
                     j = text.find(c, j + 1)
-                if j > 0:
-                    out.append((i, j))
-                    i = j
+                if j < 0:
+                    break  # nothing closes from here on
+                out.append((i, j))
+                i = j
             i = text.find(o, i + 1)
     return sorted(out)
 
@@ -191,7 +196,8 @@ class Splitter:
         if not any(c.isalnum() for c in text):
             return []
         total = len(text.rstrip())
-        quotes: list[tuple[int, int, bool]] | None = None
+        begins: list[int] | None = None
+        reach: list[int] = []
         breaks = [m.start() for m in _BREAK.finditer(text)] if "\n" in text else []
         out: list[int] = []
         begun = 0
@@ -214,9 +220,11 @@ class Splitter:
                 continue
             if not self._ends(_before(text, i), stop, len(raw) > len(stop), glued, after):
                 continue
-            if quotes is None:
-                quotes = [(a, b, _runs_on(text, a, b)) for a, b in _quotations(text)]
-            if any(on and a < i and e <= b for a, b, on in quotes[: bisect_right(quotes, (i,))]):
+            if begins is None:  # where quotations begin that the sentence round them runs on behind, and how far they reach
+                held = [(a, b) for a, b in _quotations(text) if _runs_on(text, a, b)]
+                begins, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+            k = bisect_left(begins, i)
+            if k and reach[k - 1] >= e:
                 continue
             if not any(c.isalnum() for c in unit):
                 if out:

@@ -1,7 +1,7 @@
 import itertools
+import math
 import random
 
-
 import numpy as np
 import pytest
 from platlens.llm import neardup
@@ -113,3 +113,11 @@ def test_documents_across_batches_and_very_long_ones(spark):
 def test_pieces_take_their_order_from_the_key(spark):
     df = spark.createDataFrame([("d#s10", "d", "b"), ("d#s2", "d", "a"), ("odd", "d", "c")], "chunk_id string, doc_id string, chunk_text string")
     assert sorted((r.n is None, r.n, r.t) for r in pieces_of(df, "us").collect() if r.n is not None) == [(False, 2, "a"), (False, 10, "b")]
+
+
+def test_all_pairs_of_copies_on_request(spark):
+    docs = {f"c{i:02}": [f"v{j}" for j in range(30)] for i in range(12)}
+    n = NearDuplicates(pieces(spark, docs))
+    star = {(r.doc_a, r.doc_b) for r in n.pairs(copies=5).collect()}
+    assert star == {("c00", d) for d in docs if d != "c00"}
+    assert {(r.doc_a, r.doc_b) for r in n.pairs(copies=math.inf).collect()} == set(itertools.combinations(sorted(docs), 2))

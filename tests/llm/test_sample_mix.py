@@ -90,5 +90,7 @@ def test_mix_of_nothing(spark):
     assert SourceMix(docs(spark), t.limit(0), tokenizer=None).report().count() == 0
 
 
-def test_token_counter_without_file():
-    assert TokenCounter("/nowhere")("two words") == 2 and TokenCounter(None)("") == 0
+def test_token_counter_without_file(spark):
+    assert TokenCounter(None)("two words") == 2 and TokenCounter(None)("") == 0
+    with pytest.raises(FileNotFoundError):  # never some texts in tokens and others in pieces between white space
+        SourceMix(docs(spark), spark.createDataFrame(MIX, "source string, target_permille int, max_repeat int"), tokenizer="/nowhere")

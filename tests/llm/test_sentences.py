@@ -98,3 +98,17 @@ def test_sample_is_filled_with_different_texts(spark, monkeypatch, extra):
     monkeypatch.setattr(module, "fit", lambda texts, **more: seen.extend(texts) or fit(texts, **more))
     fit_on(spark.createDataFrame([(f"Text {k} is here.",) for k in range(100)] + extra, "chunk_text string"), sample=90)
     assert len(seen) == len(set(seen)) == 90
+
+
+def test_many_quotations_take_linear_time(splitter):
+    from time import perf_counter
+
+    def seconds(n):
+        text = "He said: “Stop. Go on,” and left. (Then it. rained “on “ and ‘on. " * n
+        began = perf_counter()
+        ends = splitter.ends(text)
+        assert ends[-1] == len(text.rstrip())
+        return perf_counter() - began
+
+    seconds(200)
+    assert seconds(8000) < 12 * seconds(1000) + 0.5
