@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 from ..operators import tokens as ops
 from ..sources.tables import table
 from . import query
-from .base import US, us_chunks
 
 _TOK = "regexp_extract_all(lower({0}), '[a-zà-ÿ][a-zà-ÿ]+')"
 _STOP = ["the", "and", "of", "to", "in"]
 
 
 def _chunks(spark, d):
-    c = us_chunks(spark, d).where("chunk_text is not null")
+    """Every chunk with a text once, with its tokens; whether it has a topic doesn't matter."""
+    c = table(spark, d, "campaignview_chunks_sent").where("chunk_text is not null").select("chunk_id", "doc_id", "chunk_text").distinct()
     return c.withColumn("tokens", ops.tokenise(F.col("chunk_text"), _STOP))
 
 
-_C = f"{US}, c AS (SELECT *, list_filter({_TOK.format('chunk_text')}, lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in')) AS tokens FROM us WHERE chunk_text IS NOT NULL)"
-_N = f"{_C}, x AS (SELECT doc_id, topic, unnest(tokens) AS token FROM c)"
+def _topics(spark, d):
+    return table(spark, d, "chunk_topics").select("chunk_id", "topic").distinct()
+
+
+_C = f"c AS (SELECT *, list_filter({_TOK.format('chunk_text')}, lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in')) AS tokens FROM (SELECT DISTINCT chunk_id, doc_id, chunk_text FROM campaignview_chunks_sent WHERE chunk_text IS NOT NULL))"
+_N = f"{_C}, x AS (SELECT doc_id, unnest(tokens) AS token FROM c)"
 
 
 @query(f"WITH {_C} SELECT doc_id, string_agg(array_to_string(tokens, ' '), ' eos ' ORDER BY CAST(regexp_extract(chunk_id, '#s([0-9]+)$', 1) AS BIGINT)) AS tokens FROM c WHERE len(tokens) > 0 GROUP BY doc_id")
@@ -82,11 +86,11 @@ def stem_labels(spark, d):
 
 
 def _terms(spark, d):
-    c = _chunks(spark, d).where("topic >= 0")
+    c = _chunks(spark, d).join(_topics(spark, d).where("topic >= 0"), "chunk_id")
     return c.select("topic", F.explode("tokens").alias("token")).groupBy("topic", "token").agg(F.count("*").alias("n"))
 
 
-_T = f"{_N}, n AS (SELECT topic, token, CAST(count(*) AS DOUBLE) AS n FROM x WHERE topic >= 0 GROUP BY ALL), z AS (SELECT topic, sum(n) AS size FROM n GROUP BY 1)"
+_T = f"{_N}, xt AS (SELECT topic, unnest(tokens) AS token FROM c JOIN (SELECT DISTINCT chunk_id, topic FROM chunk_topics) USING (chunk_id)), n AS (SELECT topic, token, CAST(count(*) AS DOUBLE) AS n FROM xt WHERE topic >= 0 GROUP BY ALL), z AS (SELECT topic, sum(n) AS size FROM n GROUP BY 1)"
 _CLASS_DF = f"{_T}, q AS (SELECT token, count(*) AS df, sum(n) AS tf FROM n GROUP BY 1), s AS (SELECT n.topic, n.token, round(n / size * ln(1 / (CAST(df AS DOUBLE) / (SELECT count(*) FROM z) + 1e-6)), 8) AS score FROM n JOIN z USING (topic) JOIN q ON q.token = n.token), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, token) AS rank FROM s)"
 
 
@@ -137,6 +141,6 @@ def keywords_before_after(spark, d):
     c = _chunks(spark, d)
     first = table(spark, d, "chunk_topics").select("chunk_id", F.col("topic_orig").alias("first")).distinct()
     terms = lambda x, t: x.where(F.col(t) >= 0).select(F.col(t).alias("topic"), F.explode("tokens").alias("token")).groupBy("topic", "token").agg(F.count("*").alias("n"))
-    after = ops.class_tfidf(terms(c, "topic"), k=5).select("topic", "token", F.col("rank").alias("rank_after"))
+    after = ops.class_tfidf(terms(c.join(_topics(spark, d), "chunk_id"), "topic"), k=5).select("topic", "token", F.col("rank").alias("rank_after"))
     before = ops.class_tfidf(terms(c.join(first, "chunk_id"), "first"), k=5).select("topic", "token", F.col("rank").alias("rank_before"))
     return after.join(before, ["topic", "token"], "full").select("topic", "token", "rank_before", "rank_after")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from .packed import Batch, Packed
-from .stance import _standard
+from .stance import EPS, _standard
 
 
 def rates(theta: np.ndarray, lam: np.ndarray, rho: np.ndarray, kap: np.ndarray) -> np.ndarray:
@@ -32,6 +32,7 @@ class Counts:
     rho: np.ndarray
     kap: np.ndarray
     kappa: float = np.inf
+    #: Variance of curvatures at positions whose squares have deviation 1 around their line (see raw_variance).
     tau2: float = np.inf
     losses: list[float] = field(default_factory=list)
 
@@ -113,26 +114,45 @@ def dirichlet_scale(packed: Packed, c: Counts) -> float:
     return 0.0 if r >= base * m else float((base * m - r) / (r - base))
 
 
+def square_deviation(packed: Packed) -> float:
+    """Deviation of squared positions around their line on positions: by it a curvature is free of the scale of positions."""
+    n, *sums = packed.sums(lambda b: np.array([float(b.documents), *((b.theta**k).sum() for k in range(1, 5))]))
+    a, q, c, f = (x / max(n, 1.0) for x in sums)
+    spread, both, own = q - a * a, c - a * q, f - q * q
+    left = own - both**2 / spread if spread > 0 else own
+    return max(float(np.sqrt(max(left, 0.0))), 64 * EPS)
+
+
+def raw_variance(packed: Packed, c: Counts) -> float:
+    """The prior variance of curvatures at the scale that positions have now."""
+    return c.tau2 if np.isinf(c.tau2) else c.tau2 / square_deviation(packed) ** 2
+
+
 def curvature_variance(packed: Packed, c: Counts, rounds: int = 25) -> Counts:
     """Empirical Bayes for the variance of curvatures: it becomes their mean square plus their posterior variance, until
-    it changes by less than a thousandth."""
-    tau2 = max(float((c.kap**2).mean()), 1e-4)
+    it changes by less than a thousandth. What is kept is the variance of standardized curvatures, which does not move with
+    the scale of positions."""
+    t = len(c.lam)
+    tau2 = max(float((c.kap**2).mean()), 1e-12)
     for i in range(rounds):
-        c = fit_counts(packed, c, tau2, steps=5)
+        c = fit_counts(packed, c, tau2)
         lam, rho, kap, kappa = c.lam, c.rho, c.kap, c.kappa
 
         def f(b: Batch) -> np.ndarray:
             n = b.by_doc(b.y)
             mu, _ = softmax(rates(b.theta, lam, rho, kap))
-            x = b.theta**2 - 1
-            return (b.weight / _dispersion(n, kappa) * n * x**2) @ (mu * (1 - mu))
+            x = np.stack([np.ones(b.documents), b.theta, b.theta**2 - 1])
+            return np.einsum("kd,ld,dt->tkl", x * (b.weight / _dispersion(n, kappa) * n), x, mu).ravel()
 
-        new = float((c.kap**2 + 1 / (packed.sums(f) + 1 / tau2)).mean())
+        h = packed.sums(f).reshape(t, 3, 3)
+        h[:, 2, 2] += 1 / tau2
+        h += 1e-10 * np.maximum(np.trace(h, axis1=1, axis2=2) / 3, 1.0)[:, None, None] * np.eye(3)
+        new = max(float((c.kap**2 + np.maximum(np.linalg.inv(h)[:, 2, 2], 0.0)).mean()), 1e-14)
         done = abs(new - tau2) <= 1e-3 * tau2 and i > 0
         tau2 = new
         if done:
             break
-    c.tau2 = tau2
+    c.tau2 = tau2 * square_deviation(packed) ** 2
     return c
 
 
@@ -206,6 +226,30 @@ def fit_poisson(packed: Packed, sweeps: int = 50, prior_theta: float = 1.0, prio
     return PoissonFit(placed, psi, beta, losses)
 
 
+def poisson_errors(f: PoissonFit, prior_theta: float = 1.0, prior_beta: float = 0.1, cap: float | None = None) -> tuple[Packed, np.ndarray]:
+    """Standard errors of positions (as the positions of a packed table) and of loadings: the inverse information of each
+    document and of each item, intercepts profiled out."""
+    psi, beta = f.psi, f.beta
+
+    def shares(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+        y = np.minimum(b.y, cap) if cap else b.y
+        return b.by_doc(y), softmax(psi + beta * b.theta[:, None])[0]
+
+    def of_documents(b: Batch) -> np.ndarray:
+        n, mu = shares(b)
+        mean = mu @ beta
+        return 1 / np.sqrt(n * np.maximum(mu @ beta**2 - mean**2, 0.0) + 1 / prior_theta + 1e-8)
+
+    def of_items(b: Batch) -> np.ndarray:
+        n, mu = shares(b)
+        x = np.stack([np.ones(b.documents), b.theta, b.theta**2])
+        return ((x * n) @ mu).ravel()
+
+    w, wt, wtt = f.packed.sums(of_items).reshape(3, len(psi))
+    information = wtt + 1 / prior_beta + 1e-8 - wt**2 / (w + 1e-8)
+    return f.packed.moved(of_documents), 1 / np.sqrt(np.maximum(information, 1e-300))
+
+
 def _first_axis(packed: Packed, psi: np.ndarray, beta: np.ndarray, cap: float | None, rounds: int = 4) -> np.ndarray:
     """Loadings to start from: power steps on the residuals of the independence model, over root expectation."""
     t = len(psi)
@@ -228,34 +272,45 @@ def _first_axis(packed: Packed, psi: np.ndarray, beta: np.ndarray, cap: float |
     return np.clip(0.3 * x / max(np.abs(x).std(), 1e-9), -1, 1)
 
 
-def correspondence(packed: Packed, rounds: int = 60, tolerance: float = 1e-9) -> tuple[Packed, np.ndarray, float]:
-    """First axis of correspondence analysis by power iteration on the sparse table: positions of documents, of items, and the
-    singular value. Centring is arithmetic on margins; the residual table is never made."""
+def correspondence(packed: Packed, rounds: int = 40, tolerance: float = 1e-9, width: int = 6) -> tuple[Packed, np.ndarray, float]:
+    """First axis of correspondence analysis: positions of documents, of items, and the singular value.
+
+    Each pass multiplies `width` directions at once with the residual table and its transpose; between passes they are made
+    orthonormal, and the best direction within them is read from a matrix of that size (subspace iteration), so that few
+    passes suffice even where axes are nearly as strong as each other. Centring is arithmetic on margins; the residual table
+    is never made. It ends when the axis itself stands still."""
     t = len(packed.items)
     total = packed.sums(lambda b: b.by_item(b.y, t))
     n = total.sum()
     c = total / n
-    v = np.random.default_rng(5).normal(size=t)
-    v -= np.sqrt(c) * (np.sqrt(c) @ v)
-    v /= np.linalg.norm(v)
-    value = 0.0
+    root = np.sqrt(c)
+    k = min(width, max(1, t - 1))
+    v = np.random.default_rng(5).normal(size=(t, k))
+    axis, value = np.zeros(t), 0.0
     for _ in range(rounds):
-        u = v / np.sqrt(c)
+        v -= root[:, None] * (root @ v)
+        v, _ = np.linalg.qr(v)
+        u = v / root[:, None]
 
-        def f(b: Batch) -> np.ndarray:
+        def f(b: Batch, u=u) -> np.ndarray:
             r = b.by_doc(b.y)
-            score = b.by_doc(b.y * u[b.item]) / r - (c * u).sum()
-            return np.concatenate([b.by_item(b.y * score[b.doc], t), [(r * score).sum()]])
-
-        m = packed.sums(f)
-        x = m[:t] / n / np.sqrt(c) - np.sqrt(c) * m[t] / n
-        new = np.linalg.norm(x)
-        v, done, value = x / max(new, 1e-300), abs(new - value) <= tolerance * max(new, 1e-300), new
-        if done:
+            out = []
+            for x in u.T:
+                score = b.by_doc(b.y * x[b.item]) / r - (c * x).sum()
+                out += [b.by_item(b.y * score[b.doc], t), [(r * score).sum()]]
+            return np.concatenate(out)
+
+        m = packed.sums(f).reshape(k, t + 1)
+        x = (m[:, :t] / n / root - root * m[:, t:] / n).T
+        values, turn = np.linalg.eigh(v.T @ x)
+        new, value = v @ turn[:, -1], float(values[-1])
+        moved = 1 - abs(float(axis @ new))
+        axis, v = new, x @ turn
+        if moved <= tolerance:
             break
-    u = v / np.sqrt(c)
+    u = axis / root
     if u[np.abs(u).argmax()] < 0:
         u = -u
-    shift, sigma = float((c * u).sum()), float(np.sqrt(value))
+    shift, sigma = float((c * u).sum()), float(np.sqrt(max(value, 0.0)))
     placed = packed.moved(lambda b: (b.by_doc(b.y * u[b.item]) / b.by_doc(b.y) - shift) / max(sigma, 1e-300))
     return placed, u, sigma

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import Counts, _dispersion, curvature_variance, dirichlet_scale, fit_counts, rates, softmax
+from ..operators.metrics import pearson, spearman
+from .counts import Counts, _dispersion, curvature_variance, dirichlet_scale, fit_counts, rates, raw_variance, softmax
 from .packed import Batch, Packed
 from .stance import StanceFit, _item_lines, _standard, fit_stance
 
@@ -96,7 +97,7 @@ def godambe_factor(packed: Packed, c: Counts) -> float:
     return max(float((uu - u * u / w) / max(h, 1e-12)), 1e-3)
 
 
-def _identified(j: JointFit) -> JointFit:
+def _identified(j: JointFit, keep: bool = True) -> JointFit:
     """The same fit with mean position 0, slopes of root mean square 1 and centred count parameters."""
     m = j.packed.sums(lambda b: np.array([b.weight.sum(), (b.weight * b.theta).sum()]))
     shift, s = m[1] / m[0], float(np.sqrt((j.beta**2).mean()))
@@ -105,52 +106,70 @@ def _identified(j: JointFit) -> JointFit:
     lam = c.lam + c.rho * shift + c.kap * (shift**2 + s**2 - 1)
     rho, kap = s * (c.rho + 2 * c.kap * shift), s**2 * c.kap
     out = Counts(*(x - x.mean() for x in (lam, rho, kap)), c.kappa, c.tau2, c.losses)
-    return JointFit(j.packed.moved(lambda b: (b.theta - shift) / s), j.alpha + j.beta * shift, j.beta * s, out, j.sigma2, j.godambe, j.losses)
+    return JointFit(j.packed.moved(lambda b: (b.theta - shift) / s, keep), j.alpha + j.beta * shift, j.beta * s, out, j.sigma2, j.godambe, j.losses)
 
 
 def objective(packed: Packed, j: JointFit) -> float:
+    """The common loss. The prior of curvatures stands on the footing of the counts it regularizes, and at the scale that
+    positions have now."""
     p = _parameters(j)
     value = float(packed.sums(lambda b: np.array([(b.weight * _terms(b, b.theta, p)[0]).sum()]))[0])
-    return value + (0.0 if np.isinf(j.counts.tau2) else float((j.counts.kap**2).sum() / (2 * j.counts.tau2)))
+    tau2 = raw_variance(packed, j.counts)
+    return value + (0.0 if np.isinf(tau2) else float((j.counts.kap**2).sum() / (2 * tau2 * j.godambe)))
 
 
-def fit_joint(packed: Packed, sweeps: int = 30, calibrated: bool = True, settle: float = 0.005, stance: StanceFit | None = None) -> JointFit:
+def _between(old: JointFit, new: JointFit, size: float) -> JointFit:
+    """The fit that lies so far on the way from one to the other."""
+    p, mix = _parameters(new), lambda a, b: a + size * (b - a)
+    c, d = old.counts, new.counts
+    counts = Counts(mix(c.lam, d.lam), mix(c.rho, d.rho), mix(c.kap, d.kap), d.kappa, d.tau2, d.losses)
+    moved = old.packed.moved(lambda b: b.theta + size * (place(b, p) - b.theta))
+    return JointFit(moved, mix(old.alpha, new.alpha), mix(old.beta, new.beta), counts, new.sigma2, new.godambe, new.losses)
+
+
+def fit_joint(packed: Packed, sweeps: int = 30, calibrated: bool = True, settle: float = 0.005, stance: StanceFit | None = None, halvings: int = 20) -> JointFit:
     """Staged: stance positions first; at them the counts with their dispersion, curvature variance and the factor by which
-    they are discounted, which then stay fixed; then sweeps of stance lines, count parameters and positions, each of which
-    must lower the common loss. It ends when two sweeps in a row add less than `settle` of what all have gained."""
+    they are discounted, which then stay fixed; then sweeps of stance lines, count parameters and positions. A sweep that,
+    identified anew, would raise the common loss is halved as a whole until it does not, and the fit ends where no part of it
+    helps. It also ends when two sweeps in a row add less than `settle` of what all have gained."""
     first = stance or fit_stance(packed)
-    c = fit_counts(first.packed, steps=15)
+    c = fit_counts(first.packed)
     c.kappa = dirichlet_scale(first.packed, c)
-    c = curvature_variance(first.packed, c, rounds=6)
+    c = curvature_variance(first.packed, c)
     factor = godambe_factor(first.packed, c) if calibrated else 1.0
-    j = JointFit(first.packed, first.alpha, first.beta, c, max(first.sigma2, 1e-6), factor)
+    j = _identified(JointFit(first.packed, first.alpha, first.beta, c, max(first.sigma2, 1e-6), factor))
     t = len(packed.items)
     j.losses = [objective(j.packed, j)]
-    calm = 0
-    for _ in range(sweeps):
+    calm, gained = 0, 0.0
+    for sweep in range(sweeps):
         m = j.packed.sums(lambda b: np.concatenate([b.by_item(x, t) for x in (lambda w, th, s: (w, w * th, w * th * th, w * s, w * th * s))(b.weight[b.doc] * b.y, b.theta[b.doc], b.s / b.y)])).reshape(5, t)
         alpha, beta = _item_lines(m)
-        counts = fit_counts(j.packed, j.counts, j.counts.tau2, steps=1)
+        counts = fit_counts(j.packed, j.counts, raw_variance(j.packed, j.counts), steps=1)
         counts.kappa, counts.tau2 = j.counts.kappa, j.counts.tau2
-        k = JointFit(j.packed, alpha, beta, counts, j.sigma2, j.godambe, j.losses)
-        p = _parameters(k)
-        k.packed = j.packed.moved(lambda b: place(b, p))
-        loss = objective(k.packed, k)
-        if loss > j.losses[-1]:
+        target = JointFit(j.packed, alpha, beta, counts, j.sigma2, j.godambe, j.losses)
+        size, allowed = 1.0, j.losses[-1] + 1e-12 * (1 + abs(j.losses[-1]))
+        for _ in range(halvings + 1):
+            k = _identified(_between(j, target, size))
+            loss = objective(k.packed, k)
+            if np.isfinite(loss) and loss <= allowed:
+                break
+            size /= 2
+        else:
             break
+        gain = max(0.0, j.losses[-1] - loss)
+        gained += gain
+        k.losses = [*j.losses, loss]
         j = k
-        j.losses = [*j.losses, loss]
-        gain, total = j.losses[-2] - loss, j.losses[0] - loss
-        calm = calm + 1 if gain <= settle * max(total, 1e-12) else 0
+        calm = calm + 1 if sweep and gain <= settle * max(1.0, gained) else 0
         if calm >= 2:
             break
-    return _identified(j)
+    return j
 
 
 def fit_two_stage(packed: Packed) -> JointFit:
     """The linear variant in stages: stance, then counts without curvature at frozen positions, then positions by both."""
     first = fit_stance(packed)
-    c = fit_counts(first.packed, steps=25, curved=False)
+    c = fit_counts(first.packed, curved=False)
     c.kappa = dirichlet_scale(first.packed, c)
     j = JointFit(first.packed, first.alpha, first.beta, c, max(first.sigma2, 1e-6), 1.0)
     p = _parameters(j)
@@ -199,22 +218,40 @@ def sandwich(j: JointFit) -> np.ndarray:
 
     m = packed.sums(f)
     bread, meat = m[: 25 * t * t].reshape(5 * t, 5 * t), m[25 * t * t :].reshape(5 * t, 5 * t)
-    if not np.isinf(c.tau2):
-        bread[4 * t :, 4 * t :] += np.eye(t) / c.tau2
+    tau2 = raw_variance(packed, c)
+    if not np.isinf(tau2):
+        bread[4 * t :, 4 * t :] += np.eye(t) / (tau2 * j.godambe)
     inverse = np.linalg.pinv(bread, rcond=1e-10, hermitian=True)
     return np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0)).reshape(5, t)
 
 
-def oriented(j: JointFit, benchmark: DataFrame, doc: str = "doc_id", value: str = "benchmark") -> JointFit:
-    """The fit reflected, if its positions correlate negatively with a benchmark."""
-    p = j.packed.table.select(F.col("doc").alias(doc), "theta").join(benchmark.select(doc, F.col(value).cast("double").alias("v")), doc)
-    cov = p.where("v is not null").agg(F.covar_pop("theta", "v").alias("c")).first().c
-    if cov is None or cov >= 0:
+def oriented(j: JointFit, benchmark: DataFrame, doc: str = "doc_id", value: str = "benchmark", party: str | None = None) -> JointFit:
+    """The fit reflected, if its positions correlate negatively with a benchmark of documents; with `party`, a column of the
+    benchmark, if mean positions of parties have a negative rank correlation with the parties' values (the first of each)."""
+    p = j.packed.table.select(F.col("doc").alias(doc), "theta").join(benchmark.select(doc, F.col(value).cast("double").alias("v"), *([F.col(party).alias("g")] if party else [])), doc).where("v is not null and not isnan(v)")
+    if party:
+        groups = p.where("g is not null").groupBy("g").agg(F.avg("theta").alias("theta"), F.min("v").alias("v"))
+        r = spearman(groups, "theta", "v").first().rho
+    else:
+        r = p.agg(pearson("theta", "v").alias("r")).first().r
+    if r is None or r >= 0:
         return j
     c = j.counts
     return JointFit(j.packed.moved(lambda b: -b.theta), j.alpha, -j.beta, Counts(c.lam, -c.rho, c.kap, c.kappa, c.tau2, c.losses), j.sigma2, j.godambe, j.losses)
 
 
+def document_intercepts(j: JointFit) -> Packed:
+    """The profiled intercept of every document: log of its count less the log of the sum of its topics' rates."""
+    c = j.counts
+    return j.packed.moved(lambda b: np.log(b.by_doc(b.y)) - softmax(rates(b.theta, c.lam, c.rho, c.kap))[1])
+
+
+def fit_grid(tables: dict[str, Packed], variants: dict[str, bool] | None = None) -> dict[tuple[str, str], JointFit]:
+    """Joint fits of several tables (levels of topics), with and without the discount of counts."""
+    variants = variants or {"calibrated": True, "plain": False}
+    return {(level, name): fit_joint(packed, calibrated=on) for level, packed in tables.items() for name, on in variants.items()}
+
+
 def standard(packed: Packed) -> tuple[float, float]:
     """Mean and deviation of positions."""
     return _standard(*packed.sums(lambda b: np.array([b.documents, b.theta.sum(), (b.theta**2).sum()])))

@@ -6,6 +6,7 @@ pass sends the parameters along, every task adds up its own sums, and one row a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from ..plans.lineage import cut
 
 #: Topics or terms that a fit takes at most; its parameters are kept on the driver.
 MOST_ITEMS = 100_000
+#: Numbers in one piece of a sum, and tasks whose sums come to the driver as they are.
+CHUNK, DIRECT = 1_000_000, 64
 
 
 @dataclass
@@ -56,6 +59,7 @@ class Packed:
 
     def __init__(self, table: DataFrame, items: list) -> None:
         self.table, self.items = table, items
+        self._tasks: int | None = None
 
     @classmethod
     def of(cls, cells: DataFrame, doc: str = "doc_id", topic: str = "topic", weight: DataFrame | None = None) -> Packed:
@@ -73,7 +77,12 @@ class Packed:
         return cls(cut(g.select("doc", F.col("c.item").alias("item"), F.col("c.y").alias("y"), F.col("c.s").alias("s"), w.alias("weight"), F.lit(0.0).alias("theta"))), names)
 
     def sums(self, f: Callable[[Batch], np.ndarray]) -> np.ndarray:
-        """The sum over all batches of f's vector, whose length does not depend on the data."""
+        """The sum over all batches of f's vector, whose length does not depend on the data.
+
+        Every task hands on its sum in binary pieces of CHUNK numbers. Where tasks are many or vectors long, pieces of one
+        place are brought together and added before they come to the driver, which then gets about one vector.
+        """
+        schema = pa.schema([("k", pa.int32()), ("v", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -82,10 +91,34 @@ class Packed:
                     x = f(_read(b))
                     total = x if total is None else total + x
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+                for k in range(0, len(total), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([np.ascontiguousarray(total[k : k + CHUNK], dtype=np.float64).tobytes()])], schema=schema)
 
-        rows = self.table.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        return np.array([r.v for r in rows])
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    x = np.frombuffer(v)
+                    held[k] = held[k] + x if k in held else x
+            for k, x in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()])], schema=schema)
+
+        parts = self.table.mapInArrow(run, "k int, v binary")
+        tasks = self.tasks
+        if tasks > DIRECT:
+            parts = parts.repartition(max(1, math.isqrt(tasks))).mapInArrow(add, "k int, v binary")
+        held: dict[int, np.ndarray] = {}
+        for r in parts.collect():
+            x = np.frombuffer(r.v)
+            held[r.k] = held[r.k] + x if r.k in held else x
+        return np.concatenate([held[k] for k in sorted(held)]) if held else np.zeros(0)
+
+    @property
+    def tasks(self) -> int:
+        """Partitions of the packed table; a checkpointed table knows them without a job."""
+        if self._tasks is None:
+            self._tasks = self.table.rdd.getNumPartitions()
+        return self._tasks
 
     def moved(self, f: Callable[[Batch], np.ndarray], keep: bool = True) -> Packed:
         """The same documents with new positions; cut from what made them."""
@@ -97,4 +130,6 @@ class Packed:
                     yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(f(_read(b)))], names=schema.names)
 
         out = self.table.mapInArrow(run, schema)
-        return Packed(cut(out) if keep else out, self.items)
+        moved = Packed(cut(out) if keep else out, self.items)
+        moved._tasks = self._tasks
+        return moved

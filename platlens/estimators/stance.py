@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -21,13 +21,18 @@ class StanceFit:
 
 
 def _item_lines(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intercept and slope per item from sums of w, w t, w t t, w s, w t s; a slope without spread is 0."""
-    w, wt, wtt, ws, wts = m
-    mean_t, mean_s = np.divide(wt, w, out=np.zeros_like(w), where=w > 0), np.divide(ws, w, out=np.zeros_like(w), where=w > 0)
-    sxx, sxs = wtt - wt * mean_t, wts - wt * mean_s
-    floor = 64 * EPS * np.maximum.reduce([np.abs(wtt), np.abs(wt), w, np.ones_like(w)])
-    beta = np.where(sxx > floor, sxs / np.where(sxx > floor, sxx, 1), 0.0)
-    return mean_s - beta * mean_t, beta
+    """Least-squares lines of stance on position, one an item, from sums of w, w t, w t t, w s, w t s. In centred moments the
+    slope is covariance over variance; items without weight, and those whose positions differ no more than rounding does,
+    have slope 0."""
+    raw = np.asarray(m, dtype=float)
+    total = np.where(raw[0] > 0, raw[0], 1.0)
+    t, tt, s, ts = raw[1:] / total
+    variance, covariance = tt - t**2, ts - t * s
+    noise = 64 * EPS * np.maximum(1.0, np.maximum(tt, np.abs(t)))
+    told = (raw[0] > 0) & (variance > noise)
+    slope = np.zeros_like(t)
+    slope[told] = covariance[told] / variance[told]
+    return s - slope * t, slope
 
 
 def _standard(n: float, total: float, squares: float) -> tuple[float, float]:
@@ -48,12 +53,17 @@ def _start(b: Batch) -> np.ndarray:
     return b.by_doc(np.clip(b.s, -b.y, b.y)) / b.by_doc(b.y)
 
 
-def _solve(b: Batch, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """The position of each document that its cells' lines fit best; 0 where they don't say anything."""
-    slope = beta[b.item]
-    num, den = b.by_doc(b.y * slope * (b.s / b.y - alpha[b.item])), b.by_doc(b.y * slope**2)
-    floor = 64 * EPS * max(float(den.max(initial=0.0)), 1.0)
-    return np.where(den > floor, num / np.where(den > floor, den, 1), 0.0)
+def _solve(b: Batch, alpha: np.ndarray, beta: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """The position of each document at which the lines of its cells meet its mean stances best: the projection of what the
+    intercepts leave over onto the slopes. With a ridge it is drawn to 0; without one, documents whose cells have no slope
+    stay there."""
+    line = beta[b.item]
+    left = b.s - alpha[b.item] * b.y  # stance sums less what intercepts explain
+    along, length = b.by_doc(line * left), b.by_doc(line * line * b.y) + ridge
+    told = length > 64 * EPS * max(1.0, float(np.max(length, initial=0.0)))
+    out = np.zeros(b.documents)
+    out[told] = along[told] / length[told]
+    return out
 
 
 def _scaled(m: np.ndarray, items: int) -> tuple[np.ndarray, float, float, np.ndarray]:
@@ -98,3 +108,24 @@ def fit_stance(packed: Packed, sweeps: int = 100, tolerance: float = 1e-4, orien
     placed = packed.moved(lambda b: (_solve(b, a, b_) - mean) / sd)
     weight = float(k[0].sum())
     return StanceFit(placed, alpha, beta, 2 * losses[-1] / max(weight, EPS), losses)
+
+
+def fit_stance_ridge(packed: Packed, sweeps: int = 400, tolerance: float = 1e-8, ridge: float = 1.0) -> StanceFit:
+    """The plain factor model of mean stances: a line per topic weighted by counts, positions with a ridge, standardized over
+    documents (unweighted) each sweep. It ends when no line moves by `tolerance` any more, and with the lines the positions
+    stand still. Documents' own weights are not used."""
+    t = len(packed.items)
+    one = lambda b, theta, more: _moments(replace(b, weight=np.ones(b.documents)), theta, t, np.array([more]))
+    k, mean, sd, _ = _scaled(packed.sums(lambda b: one(b, _start(b), 0.0)), t)
+    alpha, beta = _item_lines(k[:5])
+    losses, now = [_loss(k, alpha, beta)], (alpha, beta)
+    for _ in range(sweeps):
+        now = (alpha, beta)
+        k, mean, sd, _ = _scaled(packed.sums(lambda b, now=now: one(b, _solve(b, *now, ridge), 0.0)), t)
+        alpha, beta = _item_lines(k[:5])
+        losses.append(_loss(k, alpha, beta))
+        if max(np.abs(alpha - now[0]).max(), np.abs(beta - now[1]).max()) < tolerance:
+            break
+    a, c = now
+    placed = packed.moved(lambda b: (_solve(b, a, c, ridge) - mean) / sd)
+    return StanceFit(placed, alpha, beta, 2 * losses[-1] / max(float(k[0].sum()), EPS), losses)

@@ -1 +1 @@
-"""Part of the library; see README.md for the operator list."""
+"""Column functions beyond Spark's own."""

@@ -6,9 +6,11 @@ of deviations, null if either is constant or fewer than three pairs are left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
+
 
 def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
@@ -43,11 +45,7 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Rows with the average rank of their value among all rows. Ranks come from the counts of distinct values: only those
     are ordered, in range partitions, and no window runs over the rows."""
     n = df.where(finite(value)).groupBy(value).agg(F.count("*").alias("__n"))
-    parts = n.repartitionByRange(F.col(value)).withColumn("__p", F.spark_partition_id())
-    per = parts.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    before = per.select("__p", (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__b"))
-    within = F.sum("__n").over(Window.partitionBy("__p").orderBy(value))
-    ranks = parts.join(F.broadcast(before), "__p").select(value, (F.col("__b") + within - (F.col("__n") - 1) / F.lit(2.0)).alias(name))
+    ranks = numbered(n, [value], "__b", "__n").select(value, (F.col("__b") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, value, "left")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import broadcast_if_small, numbered
+
 
 def hash_order(key: str, seed: str = "") -> Column:
     """A random-looking order that other engines can reproduce."""
@@ -23,12 +25,14 @@ def uniform(df: DataFrame, key: str, k: int, seed: str = "") -> DataFrame:
 
 
 def oversample(df: DataFrame, cls: str, key: str) -> DataFrame:
-    """Every class repeated until it has as many rows as the largest; copy says which repetition a row is."""
+    """Every class repeated until it has as many rows as the largest; copy says which repetition a row is. Places within a
+    class follow from places in the order of class and key, so that no class has to fit one task."""
     n = df.groupBy(cls).agg(F.count("*").alias("__n"))
+    sizes = n.withColumn("__first", F.sum("__n").over(Window.orderBy(cls)) - F.col("__n"))  # one row a class
     most = n.agg(F.max("__n").alias("m")).scalar()
-    ranked = df.join(F.broadcast(n), cls).withColumn("__r", F.row_number().over(Window.partitionBy(cls).orderBy(key)) - 1)
+    ranked = numbered(df, [cls, key], "__r").join(broadcast_if_small(sizes), cls).withColumn("__r", F.col("__r") - F.col("__first"))
     copies = F.floor((most - 1 - F.col("__r")) / F.col("__n")).cast("int")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("__n", "__r")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("__n", "__r", "__first")
 
 
 def group_split(df: DataFrame, group: str, train: int = 70, validation: int = 15, seed: str = "split") -> DataFrame:
@@ -57,10 +61,5 @@ def capped_allocation(sizes: DataFrame, total: int, name: str = "party", n: str
 
 
 def batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
-    """Rows with batch, of `size` consecutive keys each. Ranks come from range partitions: each one's rows are numbered
-    where they are, behind the counts of those before it."""
-    parts = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id())
-    per = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = per.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    return parts.join(F.broadcast(before), "__p").withColumn("batch", F.floor((F.col("__b") + rank) / size)).drop("__p", "__b")
+    """Rows with batch, of `size` consecutive keys each."""
+    return numbered(df, [key], "__r").withColumn("batch", F.floor(F.col("__r") / size)).drop("__r")

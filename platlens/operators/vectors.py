@@ -64,7 +64,10 @@ def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, tile
                 s = np.round(m @ x.T, 9)
                 s[ids[:, None] == keys[None, :]] = -2.0
                 s, kk = np.hstack([best_s, s]), np.hstack([best_k, np.broadcast_to(keys, s.shape)])
-                order = np.lexsort((kk, -s))[:, :k]
+                # Similarity and place of the key in one number: a partial sort finds the k best, ties to the smaller key.
+                place = np.unique(kk, return_inverse=True)[1].reshape(kk.shape)
+                rank = np.rint(s * 1e9).astype(np.int64) * (1 << 31) - place
+                order = np.argpartition(-rank, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.argsort(-rank, axis=1)
                 best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(kk, order, 1)
             if best_s.shape[1]:
                 ok = best_s > -2.0

@@ -62,10 +62,10 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, weight: str |
     range-partitioned by the order and kept, so that their partitions stay what they are; each partition is numbered by
     itself, behind the counts of those before it, of which there are as many as partitions."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = cut(df.repartitionByRange(*cols)).withColumn("__p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*cols)).withColumn("__range", F.spark_partition_id())
     total = F.count("*") if weight is None else F.sum(weight)
-    per = parts.groupBy("__p").agg(total.alias("__n"))
-    before = per.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
-    w = Window.partitionBy("__p").orderBy(*cols)
+    per = parts.groupBy("__range").agg(total.alias("__rows"))
+    before = per.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))
+    w = Window.partitionBy("__range").orderBy(*cols)
     own = F.row_number().over(w) - 1 if weight is None else F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
-    return parts.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + own).cast("bigint")).drop("__p", "__b")
+    return parts.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + own).cast("bigint")).drop("__range", "__before")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import upsert
+from ..plans.lineage import exists
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, text: str | None = None) -> DataFrame:
@@ -19,6 +20,19 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
+def with_required(df: DataFrame, required: list[str], key: str | None = None) -> DataFrame:
+    """A small table (crosswalk, codebook) under its trimmed column names, of which `required` must be there and `key` must
+    not repeat; texts are trimmed, rows without any value left out. What is wrong is an error that names it."""
+    named = df.select(*(F.trim(F.col(f"`{c}`")).alias(c.strip()) if t == "string" else F.col(f"`{c}`").alias(c.strip()) for c, t in df.dtypes))
+    missing = [c for c in required if c not in named.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    named = named.na.drop("all")
+    if key and (twice := named.groupBy(key).count().where("count > 1").limit(5).collect()):
+        raise ValueError(f"repeated {key}: {', '.join(str(r[key]) for r in twice)}")
+    return named
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str], form: str = "parquet") -> DataFrame:
     """Some columns of a parquet or ORC table; only they are read."""
     return spark.read.format(form).load(path).select(*columns)
@@ -45,12 +59,6 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at path, built and written first if it isn't there yet or `force` is set."""
     if force or not exists(spark, path):
@@ -87,6 +95,17 @@ def register_time(spark: SparkSession, path: str, stage: str, corpus: str, step:
     df.withColumn("run_started", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def rows_to_vectors(cells: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, vector) of cells (key, i, value): zeros where there is none. The way back from vectors_to_rows."""
+    m = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
+    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def read_times(spark: SparkSession, path: str) -> DataFrame:
+    """Total seconds and runs by stage and corpus of a register of run times."""
+    return spark.read.parquet(path).groupBy("stage", "corpus").agg(F.count("*").alias("runs"), F.round(F.sum("seconds"), 3).alias("seconds"), F.max("n_docs").alias("n_docs"))
+
+
 def vectors_to_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     """A matrix as (key, i, value) cells without its zeros, the sparse form of all matrices here."""
     return df.select(key, F.posexplode(vector).alias("i", "value")).where("value <> 0")

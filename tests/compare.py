@@ -36,14 +36,24 @@ def differing(spark, directory, names, say=print):
     sql, con, bad = entry.oracle_sql(), duck(directory), []
     for name in names:
         t = time.time()
-        df = entry.queries()[name](spark, directory)
-        got = rows_of(df.columns, df.collect())
+        try:
+            df = entry.queries()[name](spark, directory)
+            got = rows_of(df.columns, df.collect())
+        except Exception as e:  # noqa: BLE001  (one failing query must not hide the others)
+            bad.append(name)
+            say(f"FAILS {name}: {type(e).__name__} {str(e)[:600]}")
+            continue
         took = time.time() - t
         if name not in sql:
             say(f"rows {name}: {len(got[1])} in {took:.1f} s")
             continue
-        r = con.execute(sql[name])
-        want = rows_of([c[0] for c in r.description], r.fetchall())
+        try:
+            r = con.execute(sql[name])
+            want = rows_of([c[0] for c in r.description], r.fetchall())
+        except Exception as e:  # noqa: BLE001
+            bad.append(name)
+            say(f"FAILS {name} in DuckDB: {str(e)[:600]}")
+            continue
         if got != want:
             bad.append(name)
             a, b = set(map(repr, got[1])), set(map(repr, want[1]))
