@@ -41,14 +41,48 @@ def _centred(x: np.ndarray) -> np.ndarray:
     return x - x.mean(axis=-1, keepdims=True)
 
 
-def fit_counts(packed: Packed, start: Counts | None = None, tau2: float = np.inf, steps: int = 30, curved: bool = True, tolerance: float = 1e-7) -> Counts:
-    """lambda, rho and kappa per topic at fixed positions: Newton steps on each topic's 3 x 3 block, halved until the loss
-    does not rise; parameters are centred, as only their differences are identified."""
+#: Item parameters up to which Newton steps use the information of all items together; beyond, that of each item by itself.
+TOGETHER = 1500
+
+
+def _information(x: np.ndarray, w: np.ndarray, mu: np.ndarray, together: bool) -> np.ndarray:
+    """Information of the parameters (one set x of regressors for all items) that multinomials with probabilities mu and
+    weights w give, flat: (k, l, t, u) for all items together, else (k, l, t), which bounds it from above."""
+    k, t = len(x), mu.shape[1]
+    if not together:
+        return np.einsum("kd,ld,dt->klt", x * w, x, mu).ravel()
+    out = np.empty((k, k, t, t))
+    for i in range(k):
+        for j in range(i, k):
+            q = w * x[i] * x[j]
+            out[i, j] = out[j, i] = np.diag(q @ mu) - (mu * q[:, None]).T @ mu
+    return out.ravel()
+
+
+def _newton_move(g: np.ndarray, h: np.ndarray, together: bool, free: int) -> np.ndarray:
+    """The step h^-1 g for gradients g (k, t), on the first `free` rows; a little is added to what h leaves undetermined."""
+    k, t = g.shape
+    move = np.zeros_like(g)
+    if together:
+        full = h.reshape(k, k, t, t)[:free, :free].transpose(0, 2, 1, 3).reshape(free * t, free * t)
+        full[np.diag_indices(free * t)] += 1e-8 * max(float(np.trace(full)) / (free * t), 1e-6)
+        move[:free] = np.linalg.solve(full, g[:free].ravel()).reshape(free, t)
+        return move
+    blocks = h.reshape(k, k, t)[:free, :free].transpose(2, 0, 1).copy()
+    blocks += 1e-9 * np.maximum(blocks[:, 0, 0], 1.0)[:, None, None] * np.eye(free)
+    move[:free] = np.linalg.solve(blocks, g[:free].T[..., None])[..., 0].T
+    return move
+
+
+def fit_counts(packed: Packed, start: Counts | None = None, tau2: float = np.inf, steps: int = 50, curved: bool = True, tolerance: float = 1e-5) -> Counts:
+    """lambda, rho and kappa per topic at fixed positions: Newton steps, halved until the loss does not rise; parameters are
+    centred, as only their differences are identified. tau2 is the prior variance of kappa at these positions."""
     t = len(packed.items)
     c = start or Counts(np.zeros(t), np.zeros(t), np.zeros(t))
     p = np.stack([c.lam, c.rho, c.kap])
     kappa = c.kappa
     free = 3 if curved else 2
+    together = 3 * t <= TOGETHER
 
     def step_sums(q: np.ndarray) -> np.ndarray:
         def f(b: Batch) -> np.ndarray:
@@ -59,9 +93,8 @@ def fit_counts(packed: Packed, start: Counts | None = None, tau2: float = np.inf
             x = np.stack([np.ones(b.documents), b.theta, b.theta**2 - 1])
             seen = np.stack([b.by_item(w[b.doc] * b.y * x[k][b.doc], t) for k in range(3)])
             grad = (x * (w * n)) @ mu - seen
-            h = np.einsum("kd,ld,dt->klt", x * (w * n), x, mu)
             loss = (w * n * lse).sum() - (w[b.doc] * b.y * r[b.doc, b.item]).sum()
-            return np.concatenate([grad.ravel(), h.ravel(), [loss]])
+            return np.concatenate([grad.ravel(), _information(x, w * n, mu, together), [loss]])
 
         return packed.sums(f)
 
@@ -71,14 +104,14 @@ def fit_counts(packed: Packed, start: Counts | None = None, tau2: float = np.inf
     m = step_sums(p)
     losses = [m[-1] + penalty(p)]
     for _ in range(steps):
-        g, h = m[: 3 * t].reshape(3, t).copy(), m[3 * t : 12 * t].reshape(3, 3, t).copy()
+        g, h = m[: 3 * t].reshape(3, t).copy(), m[3 * t : -1].copy()
         if not np.isinf(tau2):
             g[2] += p[2] / tau2
-            h[2, 2] += 1 / tau2
-        move = np.zeros_like(p)
-        for i in range(t):
-            block = h[:free, :free, i] + 1e-9 * np.eye(free) * max(h[0, 0, i], 1.0)
-            move[:free, i] = np.linalg.solve(block, g[:free, i])
+            if together:
+                h.reshape(3, 3, t, t)[2, 2][np.diag_indices(t)] += 1 / tau2
+            else:
+                h.reshape(3, 3, t)[2, 2] += 1 / tau2
+        move = _newton_move(g, h, together, free)
         size = 1.0
         for _ in range(20):
             q = _centred(p - size * move)
@@ -93,7 +126,7 @@ def fit_counts(packed: Packed, start: Counts | None = None, tau2: float = np.inf
         losses.append(loss)
         if losses[-2] - losses[-1] <= tolerance * max(1.0, abs(losses[-1])):
             break
-    return Counts(p[0], p[1], p[2], kappa, tau2, losses)
+    return Counts(p[0], p[1], p[2], kappa, c.tau2, losses)
 
 
 def dirichlet_scale(packed: Packed, c: Counts) -> float:
@@ -135,7 +168,7 @@ def curvature_variance(packed: Packed, c: Counts, rounds: int = 25) -> Counts:
     t = len(c.lam)
     tau2 = max(float((c.kap**2).mean()), 1e-12)
     for i in range(rounds):
-        c = fit_counts(packed, c, tau2)
+        c = fit_counts(packed, c, tau2, steps=3)  # some way down is enough before the variance is looked at again
         lam, rho, kap, kappa = c.lam, c.rho, c.kap, c.kappa
 
         def f(b: Batch) -> np.ndarray:
@@ -166,64 +199,94 @@ class PoissonFit:
 
 def fit_poisson(packed: Packed, sweeps: int = 50, prior_theta: float = 1.0, prior_beta: float = 0.1, cap: float | None = None, tolerance: float = 1e-6) -> PoissonFit:
     """Word or topic counts with log rate a_d + psi_j + beta_j theta_d; a_d is profiled out, so that a document's counts are a
-    multinomial. Positions have a normal prior and are standardized each sweep; the largest loading is positive."""
+    multinomial. Positions and loadings have normal priors; positions are standardized each sweep, and the largest loading is
+    positive.
+
+    One pass does a sweep: every document finds its position by itself, and what items need is added up. Standardized
+    positions are a line of raw ones, so gradients and information on their scale follow from the sums. After two sweeps
+    the items' movement is extrapolated; if that proves no better, the fit goes on from where it was. It ends when the loss
+    of a sweep changes by no more than `tolerance` of it.
+    """
     t = len(packed.items)
-    total = packed.sums(lambda b: np.concatenate([b.by_item(np.minimum(b.y, cap) if cap else b.y, t), [b.documents]]))
-    psi = np.log(np.maximum(total[:t], 0.5))
+    total = packed.sums(lambda b: b.by_item(np.minimum(b.y, cap) if cap else b.y, t))
+    psi = np.log(np.maximum(total, 0.5))
     psi -= psi.mean()
-    beta = np.random.default_rng(11).normal(0, 0.1, t)
-    beta = _first_axis(packed, psi, beta, cap)
-    losses: list[float] = []
+    beta = _first_axis(packed, psi, np.random.default_rng(11).normal(0, 0.1, t), cap)
+    together = 2 * t <= TOGETHER
+    parameters = np.stack([psi, beta])
 
-    def newton(b: Batch, psi: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    def place(b: Batch, now: np.ndarray) -> np.ndarray:
         y = np.minimum(b.y, cap) if cap else b.y
-        n, yb = b.by_doc(y), b.by_doc(y * beta[b.item])
+        n, yb = b.by_doc(y), b.by_doc(y * now[1][b.item])
         theta = b.theta.copy()
-        for _ in range(12):
-            mu, _ = softmax(psi + beta * theta[:, None])
-            e = mu @ beta
-            v = np.maximum(mu @ beta**2 - e**2, 1e-9)
-            theta += np.clip((yb - n * e - theta / prior_theta) / (n * v + 1 / prior_theta), -1, 1)
+        for _ in range(25):
+            mu, _ = softmax(now[0] + now[1] * theta[:, None])
+            e = mu @ now[1]
+            v = np.maximum(mu @ now[1] ** 2 - e**2, 1e-9)
+            step = np.clip((yb - n * e - theta / prior_theta) / (n * v + 1 / prior_theta), -1, 1)
+            theta += step
+            if np.abs(step).max(initial=0.0) < 1e-9:
+                break
         return theta
 
-    placed = packed
-    for _ in range(sweeps):
-        p, q = psi, beta
-        placed = placed.moved(lambda b: newton(b, p, q))
-        m = placed.sums(lambda b: np.array([b.documents, b.theta.sum(), (b.theta**2).sum()]))
-        mean, sd = _standard(*m)
-        placed = placed.moved(lambda b: (b.theta - mean) / sd, keep=False)
-        psi, beta = psi + beta * mean, beta * sd
-        for _ in range(3):
-            p, q = psi, beta
-
-            def f(b: Batch) -> np.ndarray:
-                y = np.minimum(b.y, cap) if cap else b.y
-                n = b.by_doc(y)
-                r = p + q * b.theta[:, None]
-                mu, lse = softmax(r)
-                x = np.stack([np.ones(b.documents), b.theta])
-                g = np.stack([b.by_item(y * x[k][b.doc], t) for k in range(2)]) - (x * n) @ mu
-                h = np.einsum("kd,ld,dt->klt", x * n, x, mu)
-                loss = (n * lse).sum() - (y * r[b.doc, b.item]).sum() + (b.theta**2).sum() / (2 * prior_theta)
-                return np.concatenate([g.ravel(), h.ravel(), [loss]])
-
-            s = placed.sums(f)
-            g, h = s[: 2 * t].reshape(2, t), s[2 * t : 6 * t].reshape(2, 2, t).copy()
-            g = g - np.stack([np.zeros(t), q / prior_beta])
+    def sweep(now: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+        """(the items' parameters after a sweep, loss before it, mean and deviation of raw positions)."""
+
+        def f(b: Batch) -> np.ndarray:
+            y = np.minimum(b.y, cap) if cap else b.y
+            n, theta = b.by_doc(y), place(b, now)
+            r = now[0] + now[1] * theta[:, None]
+            mu, lse = softmax(r)
+            x = np.stack([np.ones(b.documents), theta])
+            g = np.stack([b.by_item(y * x[k][b.doc], t) for k in range(2)]) - (x * n) @ mu
+            loss = (n * lse).sum() - (y * r[b.doc, b.item]).sum()
+            return np.concatenate([[b.documents, theta.sum(), (theta**2).sum(), loss], g.ravel(), _information(x, n, mu, together)])
+
+        m = packed.sums(f)
+        mean, sd = _standard(*m[:3])
+        turn = np.array([[1.0, 0.0], [-mean / sd, 1 / sd]])  # regressors on the scale of standardized positions
+        g = turn @ m[4 : 4 + 2 * t].reshape(2, t)
+        shape = (2, 2, t, t) if together else (2, 2, t)
+        h = np.einsum("ka,lb,ab...->kl...", turn, turn, m[4 + 2 * t :].reshape(shape)).copy()
+        p = np.stack([now[0] + now[1] * mean, now[1] * sd])
+        loss = float(m[3] + m[0] / (2 * prior_theta) + (p[1] ** 2).sum() / (2 * prior_beta))
+        g[1] -= p[1] / prior_beta
+        if together:
+            h[1, 1][np.diag_indices(t)] += 1 / prior_beta
+        else:
             h[1, 1] += 1 / prior_beta
-            h += 1e-9 * np.eye(2)[:, :, None] * np.maximum(h[0, 0], 1.0)
-            det = h[0, 0] * h[1, 1] - h[0, 1] ** 2
-            psi = p + (h[1, 1] * g[0] - h[0, 1] * g[1]) / det
-            beta = q + (h[0, 0] * g[1] - h[0, 1] * g[0]) / det
-            psi -= psi.mean()
-        losses.append(float(s[-1]))
+        move = _newton_move(g, h.ravel(), together, 2)
+        p = p + move * min(1.0, 2 / max(float(np.abs(move).max()), 1e-12))
+        p[0] -= p[0].mean()
+        return p, loss, mean, sd
+
+    losses: list[float] = []
+    trail, fallback = [parameters], None
+    for _ in range(sweeps):
+        after, loss, _, _ = sweep(parameters)
+        if fallback is not None and not (np.isfinite(loss) and loss <= losses[-1] + 1e-9 * abs(losses[-1])):
+            parameters, fallback, trail = fallback, None, [fallback]  # the extrapolation was no good
+            continue
+        fallback = None
+        losses.append(loss)
+        parameters = after
+        trail.append(after)
         if len(losses) > 1 and abs(losses[-2] - losses[-1]) <= tolerance * abs(losses[-1]):
             break
-    if beta[np.abs(beta).argmax()] < 0:
-        beta = -beta
-        placed = placed.moved(lambda b: -b.theta)
-    return PoissonFit(placed, psi, beta, losses)
+        if len(trail) == 3:
+            first, second = trail[1] - trail[0], trail[2] - 2 * trail[1] + trail[0]
+            bend = float(np.linalg.norm(second))
+            if bend > 1e-12:
+                a = -max(1.0, float(np.linalg.norm(first)) / bend)
+                fallback, parameters = after, trail[0] - 2 * a * first + a * a * second
+            trail = [parameters]
+    _, loss, mean, sd = sweep(parameters)
+    losses.append(loss)
+    psi, beta = parameters[0] + parameters[1] * mean, parameters[1] * sd
+    sign = -1.0 if beta[np.abs(beta).argmax()] < 0 else 1.0
+    last = parameters
+    placed = packed.moved(lambda b: sign * (place(b, last) - mean) / sd)
+    return PoissonFit(placed, psi - psi.mean(), sign * beta, losses)
 
 
 def poisson_errors(f: PoissonFit, prior_theta: float = 1.0, prior_beta: float = 0.1, cap: float | None = None) -> tuple[Packed, np.ndarray]:

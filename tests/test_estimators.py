@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
-from platlens.estimators.counts import correspondence, fit_counts, fit_poisson, softmax
+from platlens.estimators.counts import correspondence, fit_counts, fit_poisson, poisson_errors, softmax
 from platlens.estimators.joint import fit_joint, fit_two_stage, oriented, sandwich, standard
 from platlens.estimators.packed import Packed
-from platlens.estimators.stance import fit_stance
+from platlens.estimators.stance import fit_stance, fit_stance_ridge
 
 D, T = 150, 6
 
@@ -113,3 +113,85 @@ def test_registered_fits_end_by_the_operators_rule(monkeypatch, name):
     with pytest.raises(StopIteration):
         getattr(catalog, name)(None, "")
     assert not {"sweeps", "settle", "tolerance"} & asked.keys()
+
+
+def test_sums_in_pieces_and_by_tree(packed, monkeypatch):
+    from platlens.estimators import packed as module
+
+    f = lambda b: np.r_[b.by_item(b.y, T), b.documents, (b.y**2).sum()]
+    want = packed.sums(f)
+    spread = Packed(packed.table.repartition(7), packed.items)
+    monkeypatch.setattr(module, "CHUNK", 3)
+    monkeypatch.setattr(module, "DIRECT", 2)
+    assert np.allclose(spread.sums(f), want) and len(want) == T + 2
+    assert len(Packed(packed.table.limit(0), packed.items).sums(f)) == 0
+
+
+def dense(packed):
+    rows = packed.table.select("doc", "item", "y", "s").orderBy("doc").collect()
+    y, s = np.zeros((len(rows), T)), np.zeros((len(rows), T))
+    for i, r in enumerate(rows):
+        y[i, r["item"]], s[i, r["item"]] = r.y, r.s
+    return y, s
+
+
+def test_ridge_model_equals_a_dense_one(packed):
+    y, s = dense(packed)
+    z = np.divide(s, y, out=np.zeros_like(s), where=y > 0)
+    th = (y * z).sum(1) / y.sum(1)
+    th = (th - th.mean()) / th.std()
+    for _ in range(3000):
+        lines = [np.linalg.lstsq(np.sqrt(y[:, t : t + 1]) * np.c_[np.ones(len(th)), th], np.sqrt(y[:, t]) * z[:, t], rcond=None)[0] for t in range(T)]
+        a, b = np.array(lines).T
+        th = (y * b * (z - a)).sum(1) / ((y * b * b).sum(1) + 1)
+        th = (th - th.mean()) / th.std()
+    f = fit_stance_ridge(packed, sweeps=3000, tolerance=1e-10)
+    assert np.allclose(positions(f.packed), th, atol=1e-5) and np.allclose(f.beta, b, atol=1e-5)
+
+
+def test_poisson_errors_equal_dense_information(packed):
+    f = fit_poisson(packed)
+    y, _ = dense(packed)
+    th = positions(f.packed)
+    mu = softmax(f.psi + f.beta * th[:, None])[0] * y.sum(1)[:, None]
+    of_docs, of_items = poisson_errors(f)
+    for i in (0, 7, 100):
+        h = np.array([[mu[i].sum(), mu[i] @ f.beta], [mu[i] @ f.beta, mu[i] @ f.beta**2 + 1]])
+        assert positions(of_docs)[i] == pytest.approx(np.sqrt(np.linalg.inv(h)[1, 1]), rel=1e-5)
+    for t in range(T):
+        h = np.array([[mu[:, t].sum(), mu[:, t] @ th], [mu[:, t] @ th, mu[:, t] @ th**2 + 10]])
+        assert of_items[t] == pytest.approx(np.sqrt(np.linalg.inv(h)[1, 1]), rel=1e-5)
+
+
+def test_curvature_prior_follows_the_scale_of_positions(packed):
+    from platlens.estimators.counts import Counts, raw_variance, square_deviation
+
+    placed = fit_stance(packed).packed
+    x = positions(placed)
+    line = np.c_[np.ones(D), x]
+    left = x**2 - line @ np.linalg.lstsq(line, x**2, rcond=None)[0]
+    assert square_deviation(placed) == pytest.approx(left.std(), rel=1e-9)
+    twice = placed.moved(lambda b: 2 * b.theta)
+    c = Counts(np.zeros(T), np.zeros(T), np.zeros(T), tau2=3.0)
+    assert raw_variance(placed, c) == pytest.approx(16 * raw_variance(twice, c))
+
+
+def test_counts_agree_by_blocks_and_together(packed, monkeypatch):
+    from platlens.estimators import counts
+
+    placed = fit_stance(packed).packed
+    a = fit_counts(placed, tau2=0.5, tolerance=1e-10)
+    monkeypatch.setattr(counts, "TOGETHER", 0)
+    b = fit_counts(placed, tau2=0.5, tolerance=1e-12, steps=300)
+    assert a.losses[-1] == pytest.approx(b.losses[-1], rel=1e-6) and np.allclose(a.rho, b.rho, atol=1e-2) and len(a.losses) < len(b.losses)
+
+
+def test_orientation_by_parties(spark, packed):
+    j = fit_joint(packed, sweeps=2)
+    x = positions(j.packed)
+    rows = [(f"d{i:03}", float(-v), f"p{k}") for i, v in enumerate(x) for k in [int(np.argsort(np.argsort(x))[i] // 30)]]
+    means = {p: np.mean([v for _, v, q in rows if q == p]) for p in {q for _, _, q in rows}}
+    bench = spark.createDataFrame([(d, float(means[p]), p) for d, _, p in rows], "doc_id string, benchmark double, party string")
+    assert np.allclose(oriented(j, bench, party="party").beta, -j.beta)
+    up = bench.withColumn("benchmark", -bench.benchmark)
+    assert oriented(j, up, party="party") is j
