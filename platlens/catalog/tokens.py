@@ -85,6 +85,13 @@ def stem_labels(spark, d):
     return ops.stem_labels(ops.vocabulary(_chunks(spark, d), "doc_id", "tokens"), ops.suffix_stem(F.col("token")))
 
 
+@query(f"SELECT chunk_id, array_to_string(list_filter({_TOK.format('chunk_text')}, lambda w: w NOT IN ('the', 'de')), ' ') AS tokens FROM (SELECT DISTINCT chunk_id, chunk_text FROM br_manifestos_chunks_sent WHERE chunk_text IS NOT NULL)")
+def negations_kept(spark, d):
+    """Tokens without stop words, but with the negations among them."""
+    c = table(spark, d, "br_manifestos_chunks_sent").where("chunk_text is not null").select("chunk_id", "chunk_text").distinct()
+    return c.select("chunk_id", F.array_join(ops.tokenise(F.col("chunk_text"), ["the", "de", "sem", "não"]), " ").alias("tokens"))
+
+
 def _terms(spark, d):
     c = _chunks(spark, d).join(_topics(spark, d).where("topic >= 0"), "chunk_id")
     return c.select("topic", F.explode("tokens").alias("token")).groupBy("topic", "token").agg(F.count("*").alias("n"))

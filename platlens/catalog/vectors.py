@@ -55,6 +55,29 @@ def embedding_pca(spark, d):
     return ops.principal_scores(table(spark, d, "embeddings"), "vec_id", "embedding", 64)
 
 
+@query("SELECT true AS centred, true AS ordered, true AS uncorrelated")
+def pca_check(spark, d):
+    """What must hold of principal components: scores have mean 0, falling variances and no correlation."""
+    s = ops.principal_scores(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 3)
+    m = s.agg(*(F.avg(f"score{k}").alias(f"m{k}") for k in (1, 2, 3)), *(F.var_pop(f"score{k}").alias(f"v{k}") for k in (1, 2, 3)), F.covar_pop("score1", "score2").alias("c"))
+    return m.select((F.greatest(*(F.abs(f"m{k}") for k in (1, 2, 3))) < 1e-6).alias("centred"), ((F.col("v1") >= F.col("v2")) & (F.col("v2") >= F.col("v3"))).alias("ordered"), (F.abs("c") < 1e-6).alias("uncorrelated"))
+
+
+@query("SELECT count(*) AS rows, count(*) AS in_nearest FROM embeddings")
+def kmeans_check(spark, d):
+    """Rows, and those whose cluster is the one with the nearest mean of its members, by squared distance of converged means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = table(spark, d, "embeddings").select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
+    model = KMeans(k=10, seed=7, maxIter=100, tol=0.0).fit(x)
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
+    far = lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
+    every = model.transform(x).select("prediction", F.transform(centres, far).alias("ds"))
+    near = F.get("ds", F.col("prediction")) <= F.array_min("ds") + 1e-9
+    return every.agg(F.count("*").alias("rows"), F.count_if(near).alias("in_nearest"))
+
+
 @query()
 def kmeans_topics(spark, d):
     """Clusters of embeddings by k-means, the declared substitute for density clustering."""

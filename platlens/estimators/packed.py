@@ -21,6 +21,8 @@ from ..plans.lineage import cut
 MOST_ITEMS = 100_000
 #: Numbers in one piece of a sum, and tasks whose sums come to the driver as they are.
 CHUNK, DIRECT = 1_000_000, 64
+#: Numbers in a table of documents by items that a task makes at a time; batches are cut so that none is larger.
+DENSE = 8_000_000
 
 
 @dataclass
@@ -46,7 +48,7 @@ def _read(b: pa.RecordBatch) -> Batch:
     def flat(i: int, kind) -> np.ndarray:
         return b.column(i).flatten().to_numpy(zero_copy_only=False).astype(kind)
 
-    lengths = np.diff(b.column(1).offsets.to_numpy())
+    lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
     n = b.num_rows
     return Batch(np.repeat(np.arange(n), lengths), flat(1, np.int64), flat(2, np.float64), flat(3, np.float64), b.column(4).to_numpy(zero_copy_only=False).astype(np.float64), b.column(5).to_numpy(zero_copy_only=False).astype(np.float64), n)
 
@@ -84,11 +86,13 @@ class Packed:
         """
         schema = pa.schema([("k", pa.int32()), ("v", pa.binary())])
 
+        step = max(1, DENSE // max(1, len(self.items)))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                if b.num_rows:
-                    x = f(_read(b))
+                for i in range(0, b.num_rows, step):
+                    x = f(_read(b.slice(i, step)))
                     total = x if total is None else total + x
             if total is not None:
                 for k in range(0, len(total), CHUNK):
@@ -122,12 +126,13 @@ class Packed:
 
     def moved(self, f: Callable[[Batch], np.ndarray], keep: bool = True) -> Packed:
         """The same documents with new positions; cut from what made them."""
-        schema = self.table.schema
+        schema, step = self.table.schema, max(1, DENSE // max(1, len(self.items)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(f(_read(b)))], names=schema.names)
+                for i in range(0, b.num_rows, step):
+                    own = b.slice(i, step)
+                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(5)), pa.array(f(_read(own)))], names=schema.names)
 
         out = self.table.mapInArrow(run, schema)
         moved = Packed(cut(out) if keep else out, self.items)

@@ -39,12 +39,12 @@ def topic_totals(cells: DataFrame, topic: str = "topic") -> DataFrame:
 
 def roll_up(cells: DataFrame, crosswalk: DataFrame, doc: str = "doc_id", topic: str = "topic", code: str = "code") -> DataFrame:
     """Cells summed in the classes of a crosswalk; topics without a class are left out (see uncovered)."""
-    return cells.join(F.broadcast(crosswalk.select(topic, code)), topic).groupBy(doc, code).agg(F.sum("y").alias("y"), F.sum("s").alias("s")).where("y > 0")
+    return cells.join(crosswalk.select(topic, code), topic).groupBy(doc, code).agg(F.sum("y").alias("y"), F.sum("s").alias("s")).where("y > 0")
 
 
 def uncovered(cells: DataFrame, crosswalk: DataFrame, topic: str = "topic") -> DataFrame:
     """Topics of cells that a crosswalk does not cover, with their chunks."""
-    return cells.join(F.broadcast(crosswalk.select(topic)), topic, "left_anti").groupBy(topic).agg(F.sum("y").alias("y"))
+    return cells.join(crosswalk.select(topic), topic, "left_anti").groupBy(topic).agg(F.sum("y").alias("y"))
 
 
 def drop_classes(cells: DataFrame, codes: list[str], doc: str = "doc_id", code: str = "code") -> tuple[DataFrame, DataFrame]:

@@ -123,4 +123,4 @@ def overlap(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
 def best_flag(df: DataFrame, column: str, value: str) -> DataFrame:
     """Rows with best: whether the value is the largest of its column."""
     top = df.groupBy(column).agg(F.max(value).alias("__m"))
-    return df.join(F.broadcast(top), column).withColumn("best", F.col(value) == F.col("__m")).drop("__m")
+    return df.join(top, column).withColumn("best", F.col(value) == F.col("__m")).drop("__m")

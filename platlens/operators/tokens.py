@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 TOKEN = r"[a-zà-ÿ][a-zà-ÿ]+"
 
 
-def tokenise(text: Column, stop: list[str] = ()) -> Column:
-    """Lower-case runs of at least two Latin letters, without stop words."""
+# Words that turn a statement round, kept even where a list of stop words has them.
+NEGATIONS = "no not nor never none without não nem nunca nenhum nenhuma sem jamais ni sin ningún".split()
+
+
+def tokenise(text: Column, stop: list[str] = (), keep: list[str] = NEGATIONS) -> Column:
+    """Lower-case runs of at least two Latin letters, without stop words, of which those in `keep` stay."""
     t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(t, lambda w: ~w.isin(list(stop))) if stop else t
+    gone = sorted(set(stop) - set(keep))
+    return F.filter(t, lambda w: ~w.isin(gone)) if gone else t
 
 
 def token_stream(df: DataFrame, doc: str, order: str, tokens: str, eos: str = "eos") -> DataFrame:
@@ -38,7 +43,7 @@ def fold_rare(df: DataFrame, doc: str, tokens: str, least_tf: int, least_df: int
 def fold_to_target(dfm: DataFrame, doc: str, target: int, oov: str = "__oov__") -> DataFrame:
     """(doc, token, n) with all but the `target` most frequent tokens folded into one."""
     keep = dfm.where(F.col("token") != oov).groupBy("token").agg(F.sum("n").alias("tf")).orderBy(F.desc("tf"), "token").limit(target).select("token", F.lit(True).alias("ok"))
-    return dfm.join(F.broadcast(keep), "token", "left").groupBy(doc, F.when(F.col("ok"), F.col("token")).otherwise(oov).alias("token")).agg(F.sum("n").alias("n"))
+    return dfm.join(keep, "token", "left").groupBy(doc, F.when(F.col("ok"), F.col("token")).otherwise(oov).alias("token")).agg(F.sum("n").alias("n"))
 
 
 def bigrams(df: DataFrame, tokens: str) -> DataFrame:
@@ -128,23 +133,24 @@ def _top(s: DataFrame, cls: str, score: Column, k: int) -> DataFrame:
 
 def keyword_spread(df: DataFrame, doc: str, tokens: str, keywords: DataFrame, cls: str = "topic") -> DataFrame:
     """Per class the median, over its keywords, of the documents that have the word."""
-    used = df.select(doc, F.explode(F.array_distinct(tokens)).alias("token")).join(F.broadcast(keywords.select("token").distinct()), "token", "left_semi")
+    used = df.select(doc, F.explode(F.array_distinct(tokens)).alias("token")).join(keywords.select("token").distinct(), "token", "left_semi")
     per = used.distinct().groupBy("token").agg(F.count("*").alias("docs"))
     return keywords.join(per, "token", "left").groupBy(cls).agg(F.median(F.coalesce("docs", F.lit(0))).alias("spread"))
 
 
 def topic_coherence(df: DataFrame, doc: str, tokens: str, keywords: DataFrame, cls: str = "topic") -> DataFrame:
-    """Per class the mean NPMI, over pairs of its keywords, of occurring in one document."""
-    has = df.select(doc, F.explode(F.array_distinct(tokens)).alias("token")).join(F.broadcast(keywords.select("token").distinct()), "token", "left_semi").distinct()
+    """Per class the mean NPMI, over pairs of its keywords, of occurring in one document. Pairs are made within a document and
+    class, of whose keywords there are few, and counted in each task before they are shuffled."""
+    words = df.select(doc, F.explode(F.array_distinct(tokens)).alias("token"))
+    has = words.join(keywords.select("token", cls), "token").distinct()
     n = df.select(doc).distinct().agg(F.count("*").alias("n")).scalar()
-    single = has.groupBy("token").agg(F.count("*").alias("n"))
-    # Keywords of one document are few; their pairs are made within it, and only pairs of one class are kept.
-    sets = has.groupBy(doc).agg(F.array_sort(F.collect_set("token")).alias("s"))
+    single = has.select(doc, "token").distinct().groupBy("token").agg(F.count("*").alias("n"))
+    sets = has.groupBy(doc, cls).agg(F.array_sort(F.collect_set("token")).alias("s"))
     pair = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = sets.select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = sets.select(cls, F.explode(pair).alias("p")).select(cls, "p.*").groupBy(cls, "a", "b").agg(F.count("*").alias("n"))
     k = keywords.select(cls, "token")
     wanted = k.withColumnRenamed("token", "a").join(k.withColumnRenamed("token", "b"), cls).where("a < b")
-    j = wanted.join(both, ["a", "b"], "left").join(single.select(F.col("token").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b", "left").withColumn("t", n)
+    j = wanted.join(both, [cls, "a", "b"], "left").join(single.select(F.col("token").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b", "left").withColumn("t", n)
     d = lambda c: F.col(c).cast("double")
     npmi = F.when(F.col("n").isNull(), F.lit(-1.0)).when(F.col("n") == F.col("t"), F.lit(1.0)).otherwise(F.log(d("n") * d("t") / (d("na") * d("nb"))) / -F.log(d("n") / d("t")))
     return j.groupBy(cls).agg(F.round(F.avg(npmi), 6).alias("npmi"))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Classes whose centroids are sent to every task at most.
+MOST_CLASSES = 10_000
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product in doubles, inside generated code."""
     x, y = (F.transform(F.col(c) if isinstance(c, str) else c, lambda v: v.cast("double")) for c in (a, b))
@@ -30,7 +34,9 @@ def mean_unit_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest_centroid(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """key, label of the nearest class centroid by cosine (the lowest of equals) and whether it is the row's own.
 
-    Centroids number as many as classes; they are joined as one broadcast row."""
+    Centroids number as many as classes; they are joined as one broadcast row. More than MOST_CLASSES are an error."""
+    if df.select(label).distinct().limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     cells = df.select(F.col(label).alias("c"), F.posexplode(unit(vector)).alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("v"))
     cents = cells.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("c", F.col("s.v").alias("v")).withColumn("v", unit("v"))
     table = cents.agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("cs"))
@@ -134,8 +140,8 @@ def purify(df: DataFrame, key: str, vector: str, topic: str, spread: DataFrame,
     """key, topic: rows of topics whose keyword spread is below `least` get the topic that most of their k nearest kept rows
     have; others stay. The masked rows are the stated query set, in tiles."""
     weak = spread.where(F.col("spread") < least).select(topic)
-    masked = df.join(F.broadcast(weak), topic, "left_semi")
-    kept = df.join(F.broadcast(weak), topic, "left_anti")
+    masked = df.join(weak, topic, "left_semi")
+    kept = df.join(weak, topic, "left_anti")
     new = majority(knn(masked, kept, key, vector, k), kept, key, topic)
     moved = masked.select(key, topic).join(new.select(F.col("query").alias(key), F.col("label").alias("__new")), key, "left")
     return kept.select(key, topic).unionByName(moved.select(key, F.coalesce("__new", topic).alias(topic)))
