@@ -47,6 +47,17 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(chunks.distinct(), fit_on(chunks))
 
 
+def p2_text_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Per text how far its sentences reach, whether their ends rise, and whether any ends in white space."""
+    chunks = _both_chunks(spark, d)
+    plain = chunks.where(F.col("chunk_text").isNotNull() & ~F.col("chunk_text").contains("\n"))
+    e = sentence_ends(plain.distinct(), fit_on(chunks), ["chunk_id", "chunk_text"])
+    rise = F.forall(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.get("ends", i) > F.get("ends", i - 1))
+    blank = F.exists("ends", lambda x: F.substring(F.col("chunk_text"), x.cast("int"), F.lit(1)).rlike(r"^[\s\p{Z}]$"))
+    some = e.where(F.size("ends") > 0)
+    return some.select("chunk_id", F.element_at("ends", -1).alias("reach"), F.when(F.size("ends") > 1, rise).otherwise(True).alias("rising"), blank.alias("blank_end")).distinct()
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     return NearDuplicates(pieces_of(table(spark, d, US), "us").unionByName(pieces_of(table(spark, d, BR), "br")))
 
@@ -145,6 +156,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).report()
 
 
+def p9_report_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The report with sizes in pieces between white space, which SQL can count as well."""
+    r = SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=None).report()
+    return r.select("source", "available", "slots", "filled_slots", "reached_size", "short")
+
+
+def p9_mix_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix with such sizes adds up to, by source."""
+    m = SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=None).mix()
+    return m.groupBy("source").agg(F.count_distinct("slot").alias("filled_slots"), F.sum(F.col("to_token") - F.col("from_token")).alias("reached_size"), (F.max("pass") + 1).alias("passes"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).mix()
 
@@ -157,14 +180,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).where("not is_prose").select("doc_id").distinct()
 
 
+def p10_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Characters, lines and share of digits of every document that has a text, which SQL can count as well."""
+    return _quality(spark, d).where("is_prose is not null").select("doc_id", "chars", "lines")
+
+
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        p1_found, p1_term_frequencies, p2_found, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_drawn, p4_sample, p5_found, p5_cleaned, p6_found, p6_repaired,
-        p7_found, p7_residuals, p8_found, p8_leaked_items, p9_found, p9_report, p9_mix, p10_found, p10_statistics,
+        p1_found, p1_term_frequencies, p2_found, p2_text_ends, p2_sentences, p3_found, p3_classes, p4_found, p4_report, p4_drawn, p4_sample, p5_found, p5_cleaned, p6_found, p6_repaired,
+        p7_found, p7_residuals, p8_found, p8_leaked_items, p9_found, p9_report, p9_report_pieces, p9_mix_pieces, p9_mix, p10_found, p10_lengths, p10_statistics,
     )
     return {f.__name__: f for f in own}
 
@@ -235,6 +263,31 @@ x AS (SELECT DISTINCT item_id, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT
 y AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) > 9))
 """
 
+# Documents with their sets of word runs; equal sets make copies, alike ones links, and links classes.
+_CLASSES = _SIMILAR.replace("WITH c AS", "WITH RECURSIVE c AS").rsplit("SELECT b.corpus", 1)[0] + """,
+f AS (SELECT corpus, doc_id, md5(string_agg(s, chr(31) ORDER BY s)) AS h FROM s GROUP BY ALL),
+l AS MATERIALIZED (SELECT b.corpus, doc_a AS x, doc_b AS y FROM b JOIN n p ON p.corpus = b.corpus AND p.doc_id = doc_a JOIN n q ON q.corpus = b.corpus AND q.doc_id = doc_b WHERE both_ >= 0.6 * (p.n + q.n - both_)),
+e AS MATERIALIZED (SELECT corpus, x, y FROM l UNION ALL SELECT corpus, y, x FROM l),
+r(corpus, doc, top) AS (SELECT corpus, doc_id, doc_id FROM f UNION SELECT e.corpus, e.y, r.top FROM r JOIN e ON e.corpus = r.corpus AND e.x = r.doc WHERE r.top < e.y)
+SELECT f.corpus, f.doc_id AS doc, m.class, coalesce(k.links, 0) AS links, c.copies FROM f JOIN (SELECT corpus, doc, min(top) AS class FROM r GROUP BY 1, 2) m ON m.corpus = f.corpus AND m.doc = f.doc_id
+LEFT JOIN (SELECT e.corpus, e.x, count(DISTINCT g.h) AS links FROM e JOIN f g ON g.corpus = e.corpus AND g.doc_id = e.y JOIN f o ON o.corpus = e.corpus AND o.doc_id = e.x WHERE g.h <> o.h GROUP BY 1, 2) k ON k.corpus = f.corpus AND k.x = f.doc_id
+JOIN (SELECT corpus, h, count(*) AS copies FROM f GROUP BY 1, 2) c ON c.corpus = f.corpus AND c.h = f.h
+"""
+
+# Chunks with the lines of their party that stand in too many of its documents taken out.
+_CLEANED = _LINES.rsplit("SELECT DISTINCT chunk_id", 1)[0] + """,
+o AS (SELECT DISTINCT b.doc_id, b.chunk_id, b.chunk_text, p.party FROM br_manifestos_chunks_sent b LEFT JOIN p USING (doc_id) WHERE b.doc_id IS NOT NULL),
+x AS (SELECT *, unnest(range(1, len(string_split(chunk_text, chr(10))) + 1)) AS i FROM o WHERE chunk_text IS NOT NULL),
+z AS (SELECT x.doc_id, x.chunk_id, x.chunk_text, x.i, string_split(chunk_text, chr(10))[x.i] AS line, y.w IS NOT NULL AS gone FROM x LEFT JOIN y ON y.party = x.party AND y.w = regexp_extract_all(lower(string_split(chunk_text, chr(10))[x.i]), '[\\p{L}\\p{N}]+'))
+SELECT DISTINCT chunk_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS chunk_text, CAST(count(*) FILTER (gone) AS INTEGER) AS lines_removed FROM z GROUP BY doc_id, chunk_id, z.chunk_text
+UNION SELECT chunk_id, NULL, 0 FROM o WHERE chunk_text IS NULL
+"""
+
+_ENDS = """
+WITH t AS (SELECT chunk_id, chunk_text FROM campaignview_chunks_sent UNION SELECT chunk_id, chunk_text FROM br_manifestos_chunks_sent)
+SELECT DISTINCT chunk_id, CAST(length(regexp_replace(chunk_text, '[\\s\\p{Z}]+$', '')) AS BIGINT) AS reach, true AS rising, false AS blank_end FROM t WHERE chunk_text IS NOT NULL AND NOT contains(chunk_text, chr(10)) AND regexp_matches(chunk_text, '[\\p{L}\\p{N}]')
+"""
+
 _MIX = """
 WITH s AS (SELECT lower(trim(source)) AS s, CASE WHEN trim(text) = '' OR text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) END AS n FROM documents),
 t AS (SELECT source, lower(trim(source)) AS s, target_permille AS p, max_repeat AS r FROM mix_targets),
@@ -243,18 +296,34 @@ k AS (SELECT sum(n) AS k FROM g)
 SELECT source FROM g, k WHERE n * r * 1000 < p * k
 """
 
+# The schedule of slots at golden-ratio points, sizes in pieces between white space.
+_SLOTS = _MIX.rsplit("SELECT source FROM", 1)[0].replace("'\\s+'", "'[\\s\\p{Z}]+'") + """,
+o AS (SELECT *, sum(p) OVER (ORDER BY lower(trim(source))) AS upto, sum(p) OVER () AS all_ FROM g),
+i AS (SELECT unnest(range(0, CAST(ceil(k / 512.0) AS BIGINT))) AS slot FROM k),
+u AS (SELECT slot, (slot + 0.5) * CAST('0.6180339887498949' AS DOUBLE) - floor((slot + 0.5) * CAST('0.6180339887498949' AS DOUBLE)) AS u FROM i),
+w AS (SELECT source, count(*) AS slots FROM u JOIN o ON u < CAST(upto AS DOUBLE) / greatest(1000, all_) AND u >= CAST(upto - p AS DOUBLE) / greatest(1000, all_) GROUP BY 1),
+b AS (SELECT o.source, n, r, p, coalesce(slots, 0) AS slots, CAST(ceil(n / 512.0) AS BIGINT) AS blocks, least(coalesce(slots, 0), CAST(ceil(n / 512.0) AS BIGINT) * r) AS filled FROM o LEFT JOIN w USING (source)),
+q AS (SELECT *, CASE WHEN blocks = 0 THEN 0 ELSE filled // blocks END AS full_, CASE WHEN blocks = 0 THEN 0 ELSE filled % blocks END AS rest FROM b)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p1_term_frequencies": _TERMS + "SELECT term, tf, df, docs, mark FROM m",
+        "p2_text_ends": _ENDS,
         "p3_found": _SIMILAR,
+        "p3_classes": _CLASSES,
         "p4_found": _CELLS + "SELECT dimension, stance FROM r WHERE available < required",
         "p4_report": _SEATS + "SELECT dimension, stance, available, required, coalesce(drawn, 0) AS drawn, available < required AS short FROM r LEFT JOIN d USING (dimension, stance)",
         "p4_drawn": _SEATS + "SELECT * FROM d",
         "p5_found": _LINES,
+        "p5_cleaned": _CLEANED,
         "p7_found": _TOPIC_TERMS + "SELECT topic, term FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 5",
         "p7_residuals": _TOPIC_TERMS + "SELECT topic, term, a AS documents, d AS documents_all, round((a - r * d / n) / sqrt(r * d / n), 6) AS residual, CASE WHEN (1 - r / n) * (1 - d / n) > 0 THEN round((a - r * d / n) / sqrt(r * d / n * (1 - r / n) * (1 - d / n)), 6) END AS adjusted, weight FROM s",
         "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)",
         "p9_found": _MIX,
+        "p9_report_pieces": _SLOTS + "SELECT source, CAST(n AS BIGINT) AS available, slots, CAST(filled AS BIGINT) AS filled_slots, CAST(full_ * n + least(rest * 512, n) AS BIGINT) AS reached_size, n * r * 1000 < p * k AS short FROM q, k",
+        "p9_mix_pieces": _SLOTS + "SELECT source, CAST(filled AS BIGINT) AS filled_slots, CAST(full_ * n + least(rest * 512, n) AS BIGINT) AS reached_size, CAST(full_ + CASE WHEN rest > 0 THEN 1 ELSE 0 END AS BIGINT) AS passes FROM q WHERE filled > 0",
+        "p10_lengths": "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]')",
     }
