@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .words import column
+from .words import column, emit
 
 # Marks that can end a sentence. The first group is ambiguous, the second is not.
 WEAK = ".…․‥"
@@ -42,12 +42,81 @@ class Seen:
     inside: int = 0
 
 
+def _code(kind: str) -> int:
+    """The 64-bit hash by which a type is looked up, the same as the JVM's."""
+    from xxhash import xxh64_intdigest
+
+    x = xxh64_intdigest(kind.encode("utf-8", "surrogatepass"), seed=42)
+    return x - 2**64 if x >= 2**63 else x
+
+
+class Odds:
+    """Log odds of types in two sorted arrays, 16 bytes a type; a type that is not there has 0."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        self.codes, self.values, self.memo = codes, values, {}
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Odds) and np.array_equal(self.codes, other.codes) and np.array_equal(self.values, other.values)
+
+    def __getitem__(self, kind: str) -> float:
+        return self.get(kind)
+
+    def __getstate__(self) -> tuple:
+        return self.codes, self.values
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def get(self, kind: str, default: float = 0.0) -> float:
+        got = self.memo.get(kind)
+        if got is None:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            c = _code(kind)
+            i = int(np.searchsorted(self.codes, c))
+            got = self.memo[kind] = float(self.values[i]) if i < len(self.codes) and self.codes[i] == c else default
+        return got
+
+
+class TypeTable:
+    """Counts of types in sorted arrays: their hash, how often last, how often inside, and whether they are short or have a
+    stop inside."""
+
+    def __init__(self, codes: np.ndarray, last: np.ndarray, inside: np.ndarray, short: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self.codes, self.last, self.inside, self.short = (x[order] for x in (codes, last, inside, short))
+
+    @classmethod
+    def of(cls, counts: dict[str, Seen]) -> TypeTable:
+        n = len(counts)
+        codes = np.fromiter(map(_code, counts), dtype=np.int64, count=n)
+        last, inside = (np.fromiter((getattr(s, k) for s in counts.values()), dtype=np.int64, count=n) for k in ("last", "inside"))
+        return cls(codes, last, inside, np.fromiter((len(k) <= 4 or "." in k for k in counts), dtype=bool, count=n))
+
+    def get(self, kind: str) -> Seen:
+        c = _code(kind)
+        i = int(np.searchsorted(self.codes, c))
+        return Seen(int(self.last[i]), int(self.inside[i])) if i < len(self.codes) and self.codes[i] == c else Seen()
+
+    def odds(self, base: float, longer: float) -> Odds:
+        """Log odds of last against inside, over those of all types, of the types seen twice; longer types need more to tell."""
+        some = self.last + self.inside > 1
+        weight = np.where(self.short[some], 1.0, longer)
+        values = np.log((self.last[some] + weight * base) / (self.inside[some] + weight * (1 - base))) - math.log(base / (1 - base))
+        return Odds(self.codes[some], values)
+
+
+def _no_odds() -> Odds:
+    return Odds(np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
 @dataclass
 class BoundaryModel:
     """A maximum-entropy classifier of candidate boundaries, with the type statistics that it reads."""
 
-    ends: dict[str, float] = field(default_factory=dict)
-    starts: dict[str, float] = field(default_factory=dict)
+    ends: Odds = field(default_factory=_no_odds)
+    starts: Odds = field(default_factory=_no_odds)
     weights: list[float] = field(default_factory=list)
 
 
@@ -249,10 +318,6 @@ class Splitter:
         return out
 
 
-def _log_odds(hit: int, miss: int, base: float, weight: float) -> float:
-    return math.log((hit + weight * base) / (miss + weight * (1 - base))) - math.log(base / (1 - base))
-
-
 @dataclass
 class TypeCounts:
     """How often types stand before a full stop at the end of texts and inside them, and begin texts or stand inside."""
@@ -287,34 +352,35 @@ class TypeCounts:
         return spots
 
 
-def fit(texts: Iterable[str], steps: int = 40, ridge: float = 0.3, counts: TypeCounts | None = None, totals: tuple[int, int, int, int] | None = None) -> BoundaryModel:
+Spot = tuple[str, str, bool, bool, str]
+
+
+def fit(texts: Iterable[str] = (), steps: int = 40, ridge: float = 0.3, counts: tuple[TypeTable, TypeTable] | None = None, totals: tuple[int, int, int, int] | None = None, spots: dict[Spot, int] | None = None) -> BoundaryModel:
     """A model learnt from unlabelled texts.
 
     What is known for certain trains it: a stop before a lower-case word, a comma or within a number ends nothing;
     the type before a stop that is often seen within texts and never at their end is an abbreviation; an unambiguous
     mark, or a full stop after a type that does end texts, before a capitalised type that begins texts, is a boundary.
-    The texts train the weights. Types are counted over them, or come counted over more texts as `counts`, which may
-    leave out types seen once, with `totals` of all: stops last and inside, firsts last and inside.
+    The texts give the stops that train the weights, and the counts of types before stops and at beginnings; or both come
+    from elsewhere, as `spots` with how often each was met, and as `counts`, which may leave out types seen once, with
+    `totals` of all: stops last and inside, firsts last and inside.
     """
     own = TypeCounts()
-    spots = [x for t in texts if t.strip() for x in own.add(t.strip())]
-    counts = counts or own
-    stops, firsts = counts.stops, counts.firsts
-    last, inside, begin, within = totals or (sum(getattr(s, k) for s in d.values()) for d in (stops, firsts) for k in ("last", "inside"))
+    met = Counter(x for t in texts if t.strip() for x in own.add(t.strip()))
+    spots = met if spots is None else spots
+    stops, firsts = counts or (TypeTable.of(own.stops), TypeTable.of(own.firsts))
+    last, inside, begin, within = totals or (int(getattr(d, k).sum()) for d in (stops, firsts) for k in ("last", "inside"))
     base = min(0.9, max(0.1, last / max(1, last + inside)))
     first = min(0.9, max(0.1, begin / max(1, begin + within)))
-    m = BoundaryModel(
-        {k: _log_odds(s.last, s.inside, base, 1.0 if len(k) <= 4 or "." in k else 6.0) for k, s in stops.items() if s.last + s.inside > 1},
-        {k: _log_odds(s.last, s.inside, first, 1.0) for k, s in firsts.items() if s.last + s.inside > 1},
-    )
+    m = BoundaryModel(stops.odds(base, 6.0), firsts.odds(first, 1.0))
     xs: list[list[float]] = []
     ys: list[float] = []
     n: list[float] = []
-    for spot, times in Counter(spots).items():
+    for spot, times in spots.items():
         before, stop, _, _, after = spot
         x = _features(m, *spot)
         c, kind = after.lstrip(OPENERS)[:1], _kind(before)
-        seen = stops.get(kind, Seen())
+        seen = stops.get(kind)
         y = None
         if c.islower() or after[:1] in ",;:":
             y = 0.0
@@ -370,25 +436,44 @@ def _counted(texts: DataFrame) -> DataFrame:
     return counted.groupBy("what", "w").agg(F.sum("last").alias("last"), F.sum("inside").alias("inside"))
 
 
-def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000) -> BoundaryModel:
-    """A model whose types are counted over all different texts without line feed, and whose weights are trained on the
-    `sample` different ones that come first in hash order (a documented bound of the classifier).
+def _spots(texts: DataFrame) -> DataFrame:
+    """Every stop of the texts in the column t that white space follows, as _features takes it, and how often it was met."""
+    schema = pa.schema([("before", pa.string()), ("stop", pa.string()), ("closed", pa.bool_()), ("glued", pa.bool_()), ("after", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [x for t in column(b, "t") if (own := t.strip()) for x in TypeCounts().add(own)]
+            yield from emit(found, schema)
+
+    return texts.mapInArrow(run, "before string, stop string, closed boolean, glued boolean, after string").groupBy(*schema.names).agg(F.count("*").alias("times"))
+
+
+def fit_on(df: DataFrame, text: str = "chunk_text", sample: int = 40_000, most_spots: int = 400_000) -> BoundaryModel:
+    """A model whose types are counted over all different texts without line feed, and whose weights are trained on the stops
+    of the `sample` different ones that come first in hash order, at most `most_spots` different stops (documented bounds of
+    the classifier).
 
-    Every other step of this module covers all texts. All types seen twice come to the driver: they grow as the vocabulary.
+    Every other step of this module covers all texts. Types seen twice come to the driver as hashes and counts, not as
+    strings, and go to the tasks as 16 bytes each; they grow as the vocabulary.
     """
     t = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & ~F.col("t").contains("\n")).withColumn("h", F.xxhash64("t"))
     counted = cut(_counted(t.select("t").distinct()))
     of = {r.what: r for r in counted.groupBy("what").agg(F.sum("last").alias("last"), F.sum("inside").alias("inside")).collect()}
     totals = tuple(of[w][k] if w in of else 0 for w in ("stop", "first") for k in ("last", "inside"))
-    kept = counted.where((F.col("what") != "texts") & (F.col("last") + F.col("inside") > 1)).toArrow()
-    counts = TypeCounts()
-    for what, w, last, inside in zip(*(kept.column(k).to_pylist() for k in ("what", "w", "last", "inside"))):
-        (counts.stops if what == "stop" else counts.firsts)[w] = Seen(last, inside)
+    kept = counted.where((F.col("what") != "texts") & (F.col("last") + F.col("inside") > 1))
+    short = (F.length("w") <= 4) | F.col("w").contains(".")
+    coded = kept.select((F.col("what") == "stop").alias("stop"), F.xxhash64("w").alias("code"), "last", "inside", short.alias("short")).toArrow()
+    is_stop, *columns = (coded.column(k).to_numpy() for k in ("stop", "code", "last", "inside", "short"))
+    is_stop = is_stop.astype(bool)
+    counts = tuple(TypeTable(*(c[side] for c in columns[:3]), columns[3][side].astype(bool)) for side in (is_stop, ~is_stop))
     n = of["texts"]["last"] if "texts" in of else 0
     if n > 4 * sample:  # only hashes so low that about three times the sample has them need be looked at and ordered
         t = t.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (3 * sample / n))).cast("bigint"))
-    rows = t.distinct().orderBy("h", "t").limit(sample).select("t").toPandas()
-    return fit(sorted(rows["t"]), counts=counts, totals=totals)
+    chosen = _spots(t.distinct().orderBy("h", "t").limit(sample).select("t"))
+    spot = ["before", "stop", "closed", "glued", "after"]
+    rows = chosen.orderBy(F.xxhash64(*spot), *spot).limit(most_spots).toArrow().to_pylist()
+    spots = {tuple(r[k] for k in spot): r["times"] for r in sorted(rows, key=lambda r: tuple(r[k] for k in spot))}
+    return fit(counts=counts, totals=totals, spots=spots)
 
 
 def sentence_ends(df: DataFrame, model: BoundaryModel, key: list[str], text: str = "chunk_text") -> DataFrame:
@@ -398,9 +483,10 @@ def sentence_ends(df: DataFrame, model: BoundaryModel, key: list[str], text: str
     empty table no rows. A blank line ends a sentence, a single line break does not. Equal rows stay equal rows.
     """
     schema = df.select(*key).withColumn("ends", F.array().cast("array<bigint>")).schema
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Splitter(model).ends
+        ends = Splitter(sent.value).ends
         for b in batches:
             found = pa.array([ends(t) if t else [] for t in column(b, "__text")], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), found], names=[*key, "ends"])
