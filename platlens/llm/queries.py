@@ -263,6 +263,14 @@ x AS (SELECT DISTINCT item_id, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT
 y AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) > 9))
 """
 
+# The longest run of words that a document and an item share: windows that match along one diagonal without a gap.
+_RUNS = _LEAKS.rsplit("x AS (", 1)[0] + """x AS (SELECT item_id, len(w) AS n, k, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i WHERE len(w) > 9)),
+y AS (SELECT doc_id, k AS j, array_to_string(w[k:k+9], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) > 9)),
+m AS (SELECT doc_id, item_id, n, j - k AS diagonal, k - row_number() OVER (PARTITION BY doc_id, item_id, j - k ORDER BY k) AS part FROM x JOIN y USING (s)),
+r AS (SELECT doc_id, item_id, n, count(*) + 9 AS run FROM m GROUP BY doc_id, item_id, n, diagonal, part), b AS (SELECT doc_id, item_id, max(run / n) AS share FROM r GROUP BY 1, 2)
+SELECT item_id, count(*) AS documents, round(max(share), 6) AS most_share FROM b GROUP BY 1
+"""
+
 # Documents with their sets of word runs; equal sets make copies, alike ones links, and links classes.
 _CLASSES = _SIMILAR.replace("WITH c AS", "WITH RECURSIVE c AS").rsplit("SELECT b.corpus", 1)[0] + """,
 f AS (SELECT corpus, doc_id, md5(string_agg(s, chr(31) ORDER BY s)) AS h FROM s GROUP BY ALL),
@@ -322,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": _TOPIC_TERMS + "SELECT topic, term FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 5",
         "p7_residuals": _TOPIC_TERMS + "SELECT topic, term, a AS documents, d AS documents_all, round((a - r * d / n) / sqrt(r * d / n), 6) AS residual, CASE WHEN (1 - r / n) * (1 - d / n) > 0 THEN round((a - r * d / n) / sqrt(r * d / n * (1 - r / n) * (1 - d / n)), 6) END AS adjusted, weight FROM s",
         "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)",
+        "p8_leaked_items": _RUNS,
         "p9_found": _MIX,
         "p9_report_pieces": _SLOTS + "SELECT source, CAST(n AS BIGINT) AS available, slots, CAST(filled AS BIGINT) AS filled_slots, CAST(full_ * n + least(rest * 512, n) AS BIGINT) AS reached_size, n * r * 1000 < p * k AS short FROM q, k",
         "p9_mix_pieces": _SLOTS + "SELECT source, CAST(filled AS BIGINT) AS filled_slots, CAST(full_ * n + least(rest * 512, n) AS BIGINT) AS reached_size, CAST(full_ + CASE WHEN rest > 0 THEN 1 ELSE 0 END AS BIGINT) AS passes FROM q WHERE filled > 0",
