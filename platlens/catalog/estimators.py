@@ -107,11 +107,11 @@ def stance_ridge_fit(spark, d):
     return _positions(fit_stance_ridge(_packed(spark, d)).packed)
 
 
-@query(_true("standard", "normal_equations", "settled"))
+@query(_true("standard", "normal_equations"))
 def stance_ridge_check(spark, d):
     f = fit_stance_ridge(_packed(spark, d))
     mean, sd = _mean_and_deviation(f.packed)
-    return _flags(spark, standard=abs(mean) < 1e-9 and abs(sd - 1) < 1e-9, normal_equations=_normal_equations(f.packed, f.alpha, f.beta) < 1e-9, settled=len(f.losses) <= 400)
+    return _flags(spark, standard=abs(mean) < 1e-9 and abs(sd - 1) < 1e-9, normal_equations=_normal_equations(f.packed, f.alpha, f.beta) < 1e-9)
 
 
 @query()
