@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import numbered
+from ..plans.lineage import cut, numbered
 
 
 def finite(c: str) -> Column:
@@ -42,7 +42,7 @@ def weighted_r() -> Column:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Rows with the average rank of their value among all rows. Ranks come from the counts of distinct values: only those
+    """Rows with the average rank of their value among all rows; values must be the same whenever they are computed. Ranks come from the counts of distinct values: only those
     are ordered, in range partitions, and no window runs over the rows."""
     n = df.where(finite(value)).groupBy(value).agg(F.count("*").alias("__n"))
     ranks = numbered(n, [value], "__b", "__n").select(value, (F.col("__b") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
@@ -50,8 +50,9 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, rho of finite pairs with average ranks for ties."""
-    pairs = df.where(finite(x) & finite(y)).select(x, y)
+    """One row: n, rho of finite pairs with average ranks for ties. The pairs are kept: computed again, a mean may differ in its
+    last digit, and its rank would not be found."""
+    pairs = cut(df.where(finite(x) & finite(y)).select(x, y))
     ranked = average_rank(average_rank(pairs, x, "__rx"), y, "__ry")
     return ranked.agg(F.count("*").alias("n"), F.round(pearson("__rx", "__ry"), 6).alias("rho"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import catalog
-from .catalog import cells, classify, estimators, frames, metrics, relational, sampling, scalars, segment, streams, tokens, vectors  # noqa: F401
+from .catalog import cells, classify, estimators, frames, metrics, pipelines, relational, sampling, scalars, segment, sources, streams, tokens, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     """A CSV with header and quoted line breaks under a given schema (ids stay text); rows whose `text` is blank are left out."""
     df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', quote='"').csv(path)
     if text:
-        df = df.where(F.trim(text) != "")
+        df = df.where(F.col(text).rlike(r"[^\s\p{Z}]"))
     return df.select(*columns) if columns else df
 
 
@@ -38,6 +38,47 @@ def read_columns(spark: SparkSession, path: str, columns: list[str], form: str =
     return spark.read.format(form).load(path).select(*columns)
 
 
+def read_feather(spark: SparkSession, paths: list[str], schema: str, columns: list[str] | None = None) -> DataFrame:
+    """Some columns of Arrow (feather) files that all executors see: one task a file, batch by batch, other columns unread.
+    A column that a file lacks is null; one of another type is cast."""
+    wanted = T.StructType([f for f in T.StructType.fromDDL(schema) if columns is None or f.name in columns])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(wanted)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with pa.memory_map(path) as f:
+                    reader = pa.ipc.open_file(f)
+                    here = [reader.schema.get_field_index(n) for n in arrow.names]
+                    reader = pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=sorted(i for i in here if i >= 0)))
+                    for k in range(reader.num_record_batches):
+                        own = reader.get_batch(k)
+                        cells = [own.column(n).cast(t) if n in own.schema.names else pa.nulls(own.num_rows, t) for n, t in zip(arrow.names, arrow.types)]
+                        yield pa.RecordBatch.from_arrays(cells, schema=arrow)
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInArrow(run, wanted)
+
+
+def write_bundle(path: str, tables: dict[str, DataFrame], **meta) -> None:
+    """Tables that belong together, with a row of what is to be known of them, written last: without it there is no bundle."""
+    first = next(iter(tables.values()))
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = [(k, str(v)) for k, v in sorted({**meta, "tables": ",".join(sorted(tables))}.items())]
+    first.sparkSession.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta_of_bundle")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    if not exists(spark, f"{path}/meta_of_bundle"):
+        raise FileNotFoundError(f"no complete bundle at {path}")
+    meta = {r.key: r.value for r in spark.read.parquet(f"{path}/meta_of_bundle").limit(10_000).collect()}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in meta.pop("tables").split(",")}, meta
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
     """Records of a JSON-lines log; a truncated line is skipped, as are records of another schema version."""
     fields = T.StructType.fromDDL(schema)

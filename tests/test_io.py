@@ -1,3 +1,4 @@
+import pytest
 from platlens.sources import io
 
 
@@ -26,3 +27,23 @@ def test_cache_upsert_and_register(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r").count() == 2
     m = spark.createDataFrame([("a", [0.0, 2.0])], "k string, v array<double>")
     assert [tuple(r) for r in io.vectors_to_rows(m, "k", "v").collect()] == [("a", 1, 2.0)]
+
+
+def test_feather_files_by_column(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for k in range(3):
+        feather.write_feather(pa.table({"id": [10 * k, 10 * k + 1], "text": ["a", None], "other": [1.0, 2.0], **({"n": pa.array([1, 2], pa.int32())} if k else {})}), f"{tmp_path}/{k}.feather", compression="uncompressed")
+    got = io.read_feather(spark, [f"{tmp_path}/{k}.feather" for k in range(3)], "id bigint, text string, n bigint, other double", ["id", "n", "text"])
+    assert got.columns == ["id", "text", "n"] and sorted(map(tuple, got.collect())) == [(0, "a", None), (1, None, None), (10, "a", 1), (11, None, 2), (20, "a", 1), (21, None, 2)]
+
+
+def test_an_unfinished_bundle_is_none(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    df.write.parquet(f"{tmp_path}/b/cells")
+    with pytest.raises(FileNotFoundError):
+        io.read_bundle(spark, f"{tmp_path}/b")
+    io.write_bundle(f"{tmp_path}/b", {"cells": df}, level="micro", documents=1)
+    tables, meta = io.read_bundle(spark, f"{tmp_path}/b")
+    assert tables["cells"].count() == 1 and meta == {"level": "micro", "documents": "1"}
