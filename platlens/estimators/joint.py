@@ -249,7 +249,8 @@ def document_intercepts(j: JointFit) -> Packed:
 def fit_grid(tables: dict[str, Packed], variants: dict[str, bool] | None = None) -> dict[tuple[str, str], JointFit]:
     """Joint fits of several tables (levels of topics), with and without the discount of counts."""
     variants = variants or {"calibrated": True, "plain": False}
-    return {(level, name): fit_joint(packed, calibrated=on) for level, packed in tables.items() for name, on in variants.items()}
+    stances = {level: fit_stance(packed) for level, packed in tables.items()}
+    return {(level, name): fit_joint(packed, calibrated=on, stance=stances[level]) for level, packed in tables.items() for name, on in variants.items()}
 
 
 def standard(packed: Packed) -> tuple[float, float]:
