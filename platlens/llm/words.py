@@ -9,23 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: A word is a longest run of letters and digits after lower-casing.
 WORD = re.compile(r"[^\W_]+")
-WORD_JVM = r"[\p{L}\p{N}]+"
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def words_column(text: Column) -> Column:
-    """The words of a text as array<string>, inside whole-stage code generation."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_JVM), F.lit(0))
-
-
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
