@@ -81,7 +81,7 @@ class SourceMix:
         if kind != "bigint":
             own = own.withColumn("d", F.col("d").cast("string"))
 
-        sent = self.spark.sparkContext.broadcast(read_ranks(tokenizer) if tokenizer else None)
+        sent = self.spark.sparkContext.broadcast(None if tokenizer is None else read_ranks(tokenizer))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = TokenCounter(sent.value)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,8 +143,10 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str, **more) -> SourceMix:
-    """Sizes in tokens if the driver has the vocabulary, else in pieces between white space, for all tasks alike."""
-    return SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER if os.path.exists(TOKENIZER) else None, **more)
+    """Sizes in tokens of the vocabulary file that the setting `spark.platlens.tokenizer` names, by default TOKENIZER; a missing
+    file is an error. Pieces between white space are counted only if the setting says "none"."""
+    named = spark.conf.get("spark.platlens.tokenizer", TOKENIZER)
+    return SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=None if named == "none" else named, **more)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

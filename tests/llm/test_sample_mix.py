@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from platlens.llm import queries
 from platlens.llm.mixing import SourceMix, TokenCounter
 from platlens.llm.quota_sample import TargetSample, seats
 
@@ -94,3 +95,21 @@ def test_token_counter_without_file(spark):
     assert TokenCounter(None)("two words") == 2 and TokenCounter(None)("") == 0
     with pytest.raises(FileNotFoundError):  # never some texts in tokens and others in pieces between white space
         SourceMix(docs(spark), spark.createDataFrame(MIX, "source string, target_permille int, max_repeat int"), tokenizer="/nowhere")
+
+
+def test_mix_queries_without_vocabulary(spark, sf_dir, monkeypatch):
+    """A missing vocabulary is an error, pieces are counted only on demand, and a name that is empty is no demand."""
+    monkeypatch.setattr(queries, "TOKENIZER", "/nowhere")
+    for query in (queries.p9_found, queries.p9_report, queries.p9_mix):
+        with pytest.raises(FileNotFoundError):
+            query(spark, sf_dir)
+    try:
+        spark.conf.set("spark.platlens.tokenizer", "")
+        with pytest.raises(FileNotFoundError):
+            queries.p9_found(spark, sf_dir)
+        spark.conf.set("spark.platlens.tokenizer", "none")
+        pieces = queries.p9_report_pieces(spark, sf_dir)
+        assert queries.p9_report(spark, sf_dir).select(pieces.columns).collect() == pieces.collect()
+        assert queries.p9_found(spark, sf_dir).collect() == pieces.where("short").select("source").collect()
+    finally:
+        spark.conf.unset("spark.platlens.tokenizer")
