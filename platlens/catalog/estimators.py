@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..estimators import joint as joint_model
+from ..estimators import wordvectors
 from ..estimators.counts import correspondence, fit_counts, fit_poisson, poisson_errors
 from ..estimators.nmf import fit_nmf
 from ..estimators.packed import Packed
@@ -346,11 +347,9 @@ def nmf_check(spark, d):
 @query()
 def word_embedding_positions(spark, d):
     """Mean word vectors of documents and their first principal component, the declared substitute for document vectors."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
     from ..operators.vectors import principal_scores
 
-    docs = tokens.token_stream(_chunks(spark, d).withColumn("n", F.regexp_extract("chunk_id", "#s([0-9]+)$", 1).cast("bigint")), "doc_id", "n", "tokens").select("doc_id", F.split("tokens", " ").alias("w"))
-    model = Word2Vec(vectorSize=32, minCount=10, seed=5, maxIter=15, windowSize=15, inputCol="w", outputCol="v").fit(docs)
-    return principal_scores(model.transform(docs).select("doc_id", vector_to_array("v").alias("v")), "doc_id", "v", 32)
+    docs = tokens.token_stream(_chunks(spark, d).withColumn("n", F.regexp_extract("chunk_id", "#s([0-9]+)$", 1).cast("bigint")), "doc_id", "n", "tokens")
+    texts, counts = wordvectors.numbered_words(docs.select("doc_id", F.split("tokens", " ").alias("w")), "doc_id", "w", least=10)
+    u = wordvectors.fit_vectors(texts, "w", counts, dimensions=32, window=15, rounds=15)
+    return principal_scores(wordvectors.mean_vectors(texts, "doc_id", "w", u), "doc_id", "v", 32)
