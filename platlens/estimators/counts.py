@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from .packed import Batch, Packed
+from .packed import DENSE, Batch, Packed
 from .stance import EPS, _standard
 
 
@@ -189,6 +192,60 @@ def curvature_variance(packed: Packed, c: Counts, rounds: int = 25) -> Counts:
     return c
 
 
+#: Nodes that a lattice has at most, gaps of it in one over the spread of loadings, nodes whose polynomial stands for a position,
+#: and how far positions are looked for at first; where one goes further, so does the lattice.
+NODES, FINE, AROUND, NEAR = 200_000, 10, 8, 5.0
+
+
+@dataclass
+class Lattice:
+    """Evenly spaced positions, so close that what depends on a position alone follows from those around it (error about 1e-10).
+
+    The normalising sum over items is a function of the position, the same for all documents: it is made at the nodes, not
+    for every document. So are sums over documents of a function of their position: documents leave their weights at nodes."""
+
+    reach: float
+    start: float
+    gap: float
+    nodes: int
+
+    @classmethod
+    def of(cls, reach: float, beta: np.ndarray) -> Lattice | None:
+        """For positions up to `reach` from 0; None where loadings are so far apart, or not finite, that it would be too long."""
+        spread = float(np.ptp(beta))
+        if not 2 * reach * FINE * spread <= NODES:
+            return None
+        gap = 1 / max(FINE * spread, 4)
+        return cls(reach, -reach - gap * AROUND / 2, gap, math.ceil(2 * reach / gap) + 2 * AROUND)
+
+    def shares(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes around each position, what share of it each has), both of AROUND rows."""
+        x = (theta - self.start) / self.gap
+        first = np.clip(np.floor(x).astype(np.int64) - (AROUND // 2 - 1), 0, self.nodes - AROUND)
+        left = x - first - np.arange(AROUND)[:, None]
+        before, after = np.ones_like(left), np.ones_like(left)
+        for k in range(1, AROUND):
+            before[k] = before[k - 1] * left[k - 1]
+            after[-1 - k] = after[-k] * left[-k]
+        base = np.array([math.prod(k - m for m in range(AROUND) if m != k) for k in range(AROUND)], dtype=float)
+        return first + np.arange(AROUND)[:, None], before * after / base[:, None]
+
+    def slices(self, psi: np.ndarray, beta: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, probabilities of items, log of the normalising sum) of the nodes `own`, some at a time."""
+        step = max(1, DENSE // len(psi))
+        for i in range(0, len(own), step):
+            some = own[i : i + step]
+            yield some, *softmax(psi + beta * (self.start + self.gap * some)[:, None])
+
+    def normal(self, psi: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """Log of the normalising sum, and mean and variance of loadings, at all nodes."""
+        out = np.empty((3, self.nodes))
+        for some, mu, lse in self.slices(psi, beta, np.arange(self.nodes)):
+            mean = mu @ beta
+            out[:, some] = lse, mean, np.maximum(mu @ beta**2 - mean**2, 0)
+        return out
+
+
 @dataclass
 class PoissonFit:
     packed: Packed
@@ -202,39 +259,77 @@ def fit_poisson(packed: Packed, sweeps: int = 50, prior_theta: float = 1.0, prio
     multinomial. Positions and loadings have normal priors; positions are standardized each sweep, and the largest loading is
     positive.
 
-    One pass does a sweep: every document finds its position by itself, and what items need is added up. Standardized
+    One pass does a sweep: every document finds its position by itself, and what items need is added up, by way of a lattice
+    of positions, so that a pass costs as much as there are cells, not documents times items. Standardized
     positions are a line of raw ones, so gradients and information on their scale follow from the sums. After two sweeps
     the items' movement is extrapolated; if that proves no better, the fit goes on from where it was. It ends when the loss
     of a sweep changes by no more than `tolerance` of it.
     """
     t = len(packed.items)
-    total = packed.sums(lambda b: b.by_item(np.minimum(b.y, cap) if cap else b.y, t))
+    total = packed.sums(lambda b: b.by_item(np.minimum(b.y, cap) if cap else b.y, t), dense=False)
+    start = float(packed.table.agg(F.max(F.abs("theta")).alias("most")).first().most or 0)
+    reach, farthest = start + NEAR, start + 25  # as far as 25 steps go
     psi = np.log(np.maximum(total, 0.5))
     psi -= psi.mean()
     beta = _first_axis(packed, psi, np.random.default_rng(11).normal(0, 0.1, t), cap)
     together = 2 * t <= TOGETHER
     parameters = np.stack([psi, beta])
 
-    def place(b: Batch, now: np.ndarray) -> np.ndarray:
+    def place(b: Batch, now: np.ndarray, lattice: Lattice | None, normal: np.ndarray | None) -> tuple[np.ndarray, int]:
+        """Positions, and of how many documents they were beyond the lattice on their way."""
         y = np.minimum(b.y, cap) if cap else b.y
         n, yb = b.by_doc(y), b.by_doc(y * now[1][b.item])
-        theta = b.theta.copy()
+        theta, beyond = b.theta.copy(), np.zeros(b.documents, dtype=bool)
         for _ in range(25):
-            mu, _ = softmax(now[0] + now[1] * theta[:, None])
-            e = mu @ now[1]
-            v = np.maximum(mu @ now[1] ** 2 - e**2, 1e-9)
+            if lattice is not None:
+                at, share = lattice.shares(theta)
+                e, v = (share * normal[1][at]).sum(axis=0), (share * normal[2][at]).sum(axis=0)
+            else:
+                mu, _ = softmax(now[0] + now[1] * theta[:, None])
+                e = mu @ now[1]
+                v = mu @ now[1] ** 2 - e**2
+            v = np.maximum(v, 1e-9)
             step = np.clip((yb - n * e - theta / prior_theta) / (n * v + 1 / prior_theta), -1, 1)
             theta += step
+            if lattice is not None:
+                beyond |= np.abs(theta) > lattice.reach
+                theta = np.clip(theta, -lattice.reach, lattice.reach)
             if np.abs(step).max(initial=0.0) < 1e-9:
                 break
-        return theta
+        return theta, int(beyond.sum())
+
+    def spread_sums(now: np.ndarray, lattice: Lattice) -> np.ndarray | None:
+        """What a sweep adds up, by way of the lattice: documents give their positions' sums and leave counts at nodes. None if
+        it doesn't reach far enough."""
+        normal = lattice.normal(*now)
+
+        def f(b: Batch) -> np.ndarray:
+            y = np.minimum(b.y, cap) if cap else b.y
+            n, (theta, beyond) = b.by_doc(y), place(b, now, lattice, normal)
+            at, share = lattice.shares(theta)
+            loss = n @ (share * normal[0][at]).sum(axis=0) - theta @ b.by_doc(y * now[1][b.item])
+            left = [np.bincount(at.ravel(), weights=(share * (n * theta**k)).ravel(), minlength=lattice.nodes) for k in range(3)]
+            return np.concatenate([[b.documents, theta.sum(), (theta**2).sum(), loss], b.by_item(y * theta[b.doc], t), *left, [beyond]])
+
+        m = packed.sums(f, dense=False)
+        if m[-1]:
+            return None
+        left = m[4 + t : -1].reshape(3, lattice.nodes)
+        expected, pairs = np.zeros((3, t)), np.zeros((3, t, t) if together else 0)
+        for some, mu, _ in lattice.slices(*now, np.flatnonzero(left.any(axis=0))):
+            expected += left[:, some] @ mu
+            for k in range(3 if together else 0):
+                pairs[k] += (mu * left[k, some, None]).T @ mu
+        g = np.stack([total, m[4 : 4 + t]]) - expected[:2]
+        h = np.stack([np.stack([(np.diag(expected[i + j]) - pairs[i + j]) if together else expected[i + j] for j in range(2)]) for i in range(2)])
+        return np.concatenate([m[:3], [m[3] - total @ now[0]], g.ravel(), h.ravel()])
 
     def sweep(now: np.ndarray) -> tuple[np.ndarray, float, float, float]:
         """(the items' parameters after a sweep, loss before it, mean and deviation of raw positions)."""
 
         def f(b: Batch) -> np.ndarray:
             y = np.minimum(b.y, cap) if cap else b.y
-            n, theta = b.by_doc(y), place(b, now)
+            n, (theta, _) = b.by_doc(y), place(b, now, None, None)
             r = now[0] + now[1] * theta[:, None]
             mu, lse = softmax(r)
             x = np.stack([np.ones(b.documents), theta])
@@ -242,7 +337,13 @@ def fit_poisson(packed: Packed, sweeps: int = 50, prior_theta: float = 1.0, prio
             loss = (n * lse).sum() - (y * r[b.doc, b.item]).sum()
             return np.concatenate([[b.documents, theta.sum(), (theta**2).sum(), loss], g.ravel(), _information(x, n, mu, together)])
 
-        m = packed.sums(f)
+        nonlocal reach
+        m = None
+        while m is None:
+            lattice = Lattice.of(reach, now[1])
+            m = packed.sums(f) if lattice is None else spread_sums(now, lattice)
+            if m is None:
+                reach = min(2 * reach, farthest)
         mean, sd = _standard(*m[:3])
         turn = np.array([[1.0, 0.0], [-mean / sd, 1 / sd]])  # regressors on the scale of standardized positions
         g = turn @ m[4 : 4 + 2 * t].reshape(2, t)
@@ -284,8 +385,9 @@ def fit_poisson(packed: Packed, sweeps: int = 50, prior_theta: float = 1.0, prio
     losses.append(loss)
     psi, beta = parameters[0] + parameters[1] * mean, parameters[1] * sd
     sign = -1.0 if beta[np.abs(beta).argmax()] < 0 else 1.0
-    last = parameters
-    placed = packed.moved(lambda b: sign * (place(b, last) - mean) / sd)
+    last, lattice = parameters, Lattice.of(reach, parameters[1])
+    normal = lattice and lattice.normal(*last)
+    placed = packed.moved(lambda b: sign * (place(b, last, lattice, normal)[0] - mean) / sd, dense=lattice is None)
     return PoissonFit(placed, psi - psi.mean(), sign * beta, losses)
 
 
@@ -328,7 +430,7 @@ def _first_axis(packed: Packed, psi: np.ndarray, beta: np.ndarray, cap: float |
             score = b.by_doc(y * (u / root)[b.item]) / np.sqrt(n) - np.sqrt(n) * (u @ root)
             return b.by_item(y / np.sqrt(n)[b.doc] * score[b.doc], t) / root - root * (np.sqrt(n) * score).sum()
 
-        v = packed.sums(f)
+        v = packed.sums(f, dense=False)
         v -= root * (root @ v)
         v /= max(np.linalg.norm(v), 1e-300)
     x = v / np.maximum(root, 1e-9)

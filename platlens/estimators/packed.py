@@ -78,15 +78,16 @@ class Packed:
             w = F.coalesce("weight", F.lit(1.0))
         return cls(cut(g.select("doc", F.col("c.item").alias("item"), F.col("c.y").alias("y"), F.col("c.s").alias("s"), w.alias("weight"), F.lit(0.0).alias("theta"))), names)
 
-    def sums(self, f: Callable[[Batch], np.ndarray]) -> np.ndarray:
-        """The sum over all batches of f's vector, whose length does not depend on the data.
+    def sums(self, f: Callable[[Batch], np.ndarray], dense: bool = True) -> np.ndarray:
+        """The sum over all batches of f's vector, whose length does not depend on the data. Batches are small enough for a
+        table of documents by items, unless f makes none (`dense`).
 
         Every task hands on its sum in binary pieces of CHUNK numbers. Where tasks are many or vectors long, pieces of one
         place are brought together and added before they come to the driver, which then gets about one vector.
         """
         schema = pa.schema([("k", pa.int32()), ("v", pa.binary())])
 
-        step = max(1, DENSE // max(1, len(self.items)))
+        step = max(1, DENSE // max(1, len(self.items) if dense else 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -124,9 +125,9 @@ class Packed:
             self._tasks = self.table.rdd.getNumPartitions()
         return self._tasks
 
-    def moved(self, f: Callable[[Batch], np.ndarray], keep: bool = True) -> Packed:
-        """The same documents with new positions; cut from what made them."""
-        schema, step = self.table.schema, max(1, DENSE // max(1, len(self.items)))
+    def moved(self, f: Callable[[Batch], np.ndarray], keep: bool = True, dense: bool = True) -> Packed:
+        """The same documents with new positions; cut from what made them. For `dense` see sums."""
+        schema, step = self.table.schema, max(1, DENSE // max(1, len(self.items) if dense else 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -195,3 +195,24 @@ def test_orientation_by_parties(spark, packed):
     assert np.allclose(oriented(j, bench, party="party").beta, -j.beta)
     up = bench.withColumn("benchmark", -bench.benchmark)
     assert oriented(j, up, party="party") is j
+
+
+@pytest.mark.parametrize("fine", [True, False])
+def test_positions_by_a_lattice_equal_document_by_document(packed, monkeypatch, fine):
+    """No table of documents by items is made, and the fit is the one that such tables give."""
+    from platlens.estimators import counts
+
+    asked = []
+    sums = Packed.sums
+    monkeypatch.setattr(Packed, "sums", lambda p, f, dense=True: asked.append(dense) or sums(p, f, dense))
+    if not fine:
+        monkeypatch.setattr(counts, "TOGETHER", 0)
+    fit = fit_poisson(packed, cap=20.0)
+    assert asked and not any(asked)
+    monkeypatch.setattr(counts, "NEAR", 0.1)  # has to reach further again and again
+    again = fit_poisson(packed, cap=20.0)
+    monkeypatch.setattr(counts, "NODES", 0)
+    dense = fit_poisson(packed, cap=20.0)
+    for f in (fit, again):
+        assert np.allclose(positions(f.packed), positions(dense.packed), atol=1e-7) and np.allclose(f.beta, dense.beta, atol=1e-7)
+        assert len(f.losses) == len(dense.losses) and np.allclose(f.losses, dense.losses, rtol=1e-9)
